@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.metrics import shape_columns
-from tidemark.functions.numeric import number, safe_div
 from tidemark.operators.indicators import (
     COUNTS,
     MACD,
@@ -28,13 +27,8 @@ from tidemark.operators.rules import CONTEXT_PROFILES, ENTRY_EXIT, Rule
 from tidemark.operators.series import by_symbol
 
 BASE = ("open", "high", "low", "close", "body", "range", "upper_shadow", "lower_shadow", "is_bullish", "is_bearish")
-_COMPARE = {
-    "gt": lambda a, b: a > b,
-    "gte": lambda a, b: a >= b,
-    "lt": lambda a, b: a < b,
-    "lte": lambda a, b: a <= b,
-    "eq": lambda a, b: a == b,
-}
+_COMPARE = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "="}
+_JOIN = {"all": " AND ", "any": " OR ", "add": " + ", "sub": " - ", "mul": " * "}
 
 
 def _leaves(tree: Any):
@@ -104,51 +98,58 @@ def prepare(bars: DataFrame, rules: list[Rule]) -> DataFrame:
     return df.withColumns(lagged) if lagged else df
 
 
-def value(node: Any, params: dict[str, float]) -> Column:
-    """One node as a Column over prepared bars."""
-    if isinstance(node, (bool, int, float)):
-        return F.lit(node)
+def text(node: Any, params: dict[str, float]) -> str:
+    """One node as a Spark SQL expression over prepared bars.
+
+    Text rather than Column calls: a scan of hundreds of rules then costs one
+    call into the JVM per rule instead of one per node.
+    """
+    if isinstance(node, bool):
+        return str(node).lower()
+    if isinstance(node, (int, float)):
+        return f"{float(node)!r}D"
     (op, body), = node.items()
     if op == "param":
-        return F.lit(float(params[body]))
+        return f"{float(params[body])!r}D"
     if op == "metric":
-        return F.col(_shifted(*_reference(body)))
+        return f"`{_shifted(*_reference(body))}`"
     if op == "context":
-        return F.coalesce(F.col(column_name((body["name"], body["window"]))) >= body["min_count"], F.lit(False))
-    parts = [value(child, params) for child in (body if isinstance(body, list) else [body])]
+        return f"coalesce(`{column_name((body['name'], body['window']))}` >= {int(body['min_count'])}, false)"
+    parts = [text(child, params) for child in (body if isinstance(body, list) else [body])]
     if op in _COMPARE:
-        return F.coalesce(_COMPARE[op](*parts), F.lit(False))
-    if op == "all":
-        return reduce(lambda a, b: a & b, [_truth(p) for p in parts])
-    if op == "any":
-        return reduce(lambda a, b: a | b, [_truth(p) for p in parts])
+        return f"coalesce({parts[0]} {_COMPARE[op]} {parts[1]}, false)"
+    if op in ("all", "any"):
+        return "(" + _JOIN[op].join(f"coalesce({p}, false)" for p in parts) + ")"
     if op == "not":
-        return ~_truth(parts[0])
-    if op == "add":
-        return reduce(lambda a, b: a + b, parts)
-    if op == "mul":
-        return reduce(lambda a, b: a * b, parts)
-    if op == "sub":
-        return parts[0] - parts[1]
+        return f"(NOT coalesce({parts[0]}, false))"
+    if op in _JOIN:
+        return "(" + _JOIN[op].join(parts) + ")"
     if op == "div":
-        return F.try_divide(parts[0], parts[1])
+        return f"try_divide({parts[0]}, {parts[1]})"
     if op == "safe_div":
-        return safe_div(parts[0], parts[1])
+        return f"CASE WHEN {parts[1]} = 0D THEN 0D ELSE try_divide({parts[0]}, {parts[1]}) END"
     if op == "abs":
-        return F.abs(parts[0])
+        return f"abs({parts[0]})"
     if op in ("min", "max"):
-        pick = F.least if op == "min" else F.greatest
-        return parts[0] if len(parts) == 1 else pick(*parts)
+        return parts[0] if len(parts) == 1 else f"{'least' if op == 'min' else 'greatest'}({', '.join(parts)})"
     raise ValueError(f"unknown node {op}")
 
 
+def value(node: Any, params: dict[str, float]) -> Column:
+    return F.expr(text(node, params))
+
+
 def _truth(col: Column) -> Column:
     return F.coalesce(col, F.lit(False))
 
 
+def match_text(rule: Rule) -> str:
+    return f"(bar_ix >= {lookback(rule)} AND coalesce({text(rule.condition, rule.params)}, false))"
+
+
 def matches(rule: Rule) -> Column:
     """True where the rule holds; never before its look-back is complete."""
-    return (F.col("bar_ix") >= lookback(rule)) & value(rule.condition, rule.params)
+    return F.expr(match_text(rule))
 
 
 def visible(back: int, observed: Column, available: str = "available_at") -> Column:
@@ -208,19 +209,20 @@ def explanation(rule: Rule) -> Column:
 
 def matched_rules(rules: list[Rule]) -> Column:
     """Positions (in ``rules``) of all rules that hold on the bar."""
-    flags = [F.when(matches(rule), F.lit(i)) for i, rule in enumerate(rules)]
-    return F.array_compact(F.array(*flags))
+    flags = ", ".join(f"CASE WHEN {match_text(rule)} THEN {i} END" for i, rule in enumerate(rules))
+    return F.expr(f"array_compact(array({flags}))")
 
 
 def scan(bars: DataFrame, rules: list[Rule]) -> DataFrame:
-    """Bars with at least one match, with the array ``matched`` of rule positions.
+    """All bars with the array ``matched`` of the rules that hold (may be empty).
 
     One pass whatever the number of rules: a single exchange on symbol, every
-    indicator once, one boolean per rule, no explode before the caller asks.
+    indicator once, one boolean per rule.  There is no filter on the array here:
+    pushed below the projection it would evaluate every rule twice, and an
+    explode drops the empty arrays anyway.
     """
     keep = bars.columns
-    df = prepare(bars, rules).withColumn("matched", matched_rules(rules))
-    return df.select(*keep, "matched").where(F.size("matched") > 0)
+    return prepare(bars, rules).withColumn("matched", matched_rules(rules)).select(*keep, "matched")
 
 
 def signals(bars: DataFrame, rules: list[Rule]) -> DataFrame:
@@ -282,7 +284,8 @@ def context_flags(bars: DataFrame, benchmark: DataFrame, profiles: list[str] | N
             test = F.col(f"volume_ratio_{f[1]}") >= f[2]
         else:
             prefix = "relative_strength" if f[0] == "relative_strength" else "volatility"
-            test = _COMPARE[f[2]](F.col(f"{prefix}_{f[1]}"), number(f[3]))
+            level = F.col(f"{prefix}_{f[1]}")
+            test = level >= f[3] if f[2] == "gte" else level <= f[3]
         return F.coalesce(test, F.lit(False))
 
     flags = {name: reduce(lambda a, b: a & b, [hit(f) for f in filters]) for name, filters in chosen.items()}

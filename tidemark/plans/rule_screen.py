@@ -10,7 +10,8 @@ from tidemark.operators import outcomes as oc
 from tidemark.operators.indicators import market_regime
 from tidemark.operators.intervals import members_only
 from tidemark.operators.rules import Rule
-from tidemark.operators.signals import lookback, matched_rules, prepare
+from tidemark.operators.signals import lookback, scan
+from tidemark.runtime import stage
 
 
 def long_enough(bars: DataFrame, rules: list[Rule], study: oc.Study) -> DataFrame:
@@ -19,15 +20,14 @@ def long_enough(bars: DataFrame, rules: list[Rule], study: oc.Study) -> DataFram
 
 
 def matched_bars(bars: DataFrame, rules: list[Rule], study: oc.Study, memberships: DataFrame | None = None, ahead: bool = True) -> DataFrame:
-    """Bars with a non-empty ``matched`` array and their forward columns.
+    """Bars with their ``matched`` array and, with ``ahead``, forward columns.
 
-    Forward returns are computed once per bar, not once per rule.
+    Forward returns are computed once per bar, not once per rule; above their
+    windows the filter on the array cannot be pushed down and is cheap.
     """
-    keep = bars.columns
-    df = prepare(long_enough(bars, rules, study), rules).withColumn("matched", matched_rules(rules)).select(*keep, "matched")
+    df = scan(long_enough(bars, rules, study), rules)
     if ahead:
-        df = oc.look_ahead(oc.gate_flags(df), study.horizons, excursions=False)
-    df = df.where(F.size("matched") > 0)
+        df = oc.look_ahead(oc.gate_flags(df), study.horizons, excursions=False).where(F.size("matched") > 0)
     if study.min_signal_amount is not None:
         df = df.where(F.coalesce(F.col("amount") >= study.min_signal_amount, F.lit(False)))
     return members_only(df, memberships) if memberships is not None else df
@@ -73,7 +73,7 @@ def screen_without_duplicates(
     the pair table (one row per pair of passing rules) come to the driver; bars
     never do.
     """
-    verdict = screen(bars, rules, benchmark, study, memberships).cache()
+    verdict = stage(screen(bars, rules, benchmark, study, memberships), "verdict")
     place = {r.name: i for i, r in enumerate(rules)}
     passed = [row["rule_id"] for row in verdict.where("status = 'passed_screen'").orderBy(F.desc("best_mean"), "rule_id").select("rule_id").collect()]
     if not passed:

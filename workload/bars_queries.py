@@ -75,7 +75,7 @@ def observation_id(spark, sf):
     return c.publish(b.select("symbol", "session", oid.alias("observation_id")))
 
 
-@query(with_bars(select=f"""SELECT symbol, CAST(session AS VARCHAR) AS session, m AS multiple, {r('close / prev_close - 1 - m * 0.0016', 'net')}
+@query(with_bars(select=f"""SELECT symbol, CAST(session AS VARCHAR) AS session, m AS multiple, {r('(close / prev_close - 1 - 0.0016 * 1.0) - (m - 1.0) * 0.0016', 'net')}
   FROM bars, (VALUES (1.0::DOUBLE), (2.0), (3.0)) v(m) WHERE prev_close IS NOT NULL"""))
 def cost_stress(spark, sf):
     b = c.bars(spark, sf).where("prev_close is not null")
@@ -105,35 +105,35 @@ def amount_floor(spark, sf):
 _ROLL = [("sma", 20), ("sma", 60), ("roc", 10), ("max_high", 20), ("min_low", 20), ("boll_upper", 20), ("boll_lower", 20), ("volume_ratio", 20), ("lower_close_count", 5), ("higher_close_count", 5)]
 _roll_steps = f"steps AS (SELECT *, CASE WHEN close < lag(close) OVER {sr.PLAIN} THEN 1 ELSE 0 END AS down, CASE WHEN close > lag(close) OVER {sr.PLAIN} THEN 1 ELSE 0 END AS up FROM bars)"
 _roll_cols = ", ".join(
-    r(sr.rolling(n, w), f"{n}_{w}") if not n.endswith("count") else f"CAST({sr.rolling(n, w)} AS BIGINT) AS {n}_{w}" for n, w in _ROLL
+    r(sr.rolling(n, w), f"{n}_{w}", 6) if not n.endswith("count") else f"CAST({sr.rolling(n, w)} AS BIGINT) AS {n}_{w}" for n, w in _ROLL
 )
 
 
 @query(with_bars(_roll_steps, select=f"SELECT symbol, bar_ix, {_roll_cols} FROM steps"))
 def rolling_indicators(spark, sf):
     df = ind.add_indicators(c.bars(spark, sf), set(_ROLL))
-    return c.publish(df.select("symbol", "bar_ix", *[ind.column_name(k) for k in _ROLL]))
+    return c.publish(df.select("symbol", "bar_ix", *[ind.column_name(k) for k in _ROLL]), 6)
 
 
 _EWM = [("ema", 12), ("ema", 60), ("rsi", 7), ("rsi", 14), ("macd_dif", 26), ("macd_dea", 26), ("macd_hist", 26)]
 
 
 @query(with_bars(*sr.recursion({12, 60}, {7, 14}, True), recursive=True,
-    select=f"SELECT symbol, bar_ix, {', '.join(r(f'{n}_{w}', f'{n}_{w}') for n, w in _EWM)} FROM ewm"))
+    select=f"SELECT symbol, bar_ix, {', '.join(r(f'{n}_{w}', f'{n}_{w}', 6) for n, w in _EWM)} FROM ewm"))
 def smoothed_indicators(spark, sf):
     df = ind.add_indicators(c.bars(spark, sf), set(_EWM))
-    return c.publish(df.select("symbol", "bar_ix", *[ind.column_name(k) for k in _EWM]))
+    return c.publish(df.select("symbol", "bar_ix", *[ind.column_name(k) for k in _EWM]), 6)
 
 
 @query(with_bars(f"d AS (SELECT *, close - lag(close) OVER {sr.PLAIN} AS ch, close / lag(close) OVER {sr.PLAIN} - 1 AS ret FROM bars)",
     f"""g AS (SELECT symbol, bar_ix, avg(CASE WHEN ch IS NOT NULL THEN greatest(ch, 0.0) END) OVER {sr.over(14)} AS gain,
        avg(CASE WHEN ch IS NOT NULL THEN greatest(-ch, 0.0) END) OVER {sr.over(14)} AS loss,
        stddev_samp(ret) OVER {sr.over(20)} AS vol FROM d)""",
-    select=f"""SELECT symbol, bar_ix, {r('CASE WHEN bar_ix >= 14 THEN CASE WHEN loss > 0 THEN 100.0 - 100.0 / (1.0 + gain / loss) WHEN gain > 0 THEN 100.0 ELSE 50.0 END END', 'simple_rsi_14')},
-       {r('CASE WHEN bar_ix >= 20 THEN vol END', 'volatility_20')} FROM g"""))
+    select=f"""SELECT symbol, bar_ix, {r(c.settled('CASE WHEN bar_ix >= 14 THEN CASE WHEN loss > 0 THEN 100.0 - 100.0 / (1.0 + gain / loss) WHEN gain > 0 THEN 100.0 ELSE 50.0 END END'), 'simple_rsi_14', 6)},
+       {r(c.settled('CASE WHEN bar_ix >= 20 THEN vol END'), 'volatility_20', 6)} FROM g"""))
 def mean_rsi_and_volatility(spark, sf):
     df = ind.add_indicators(c.bars(spark, sf), {("simple_rsi", 14), ("volatility", 20)})
-    return c.publish(df.select("symbol", "bar_ix", "simple_rsi_14", "volatility_20"))
+    return c.publish(df.select("symbol", "bar_ix", "simple_rsi_14", "volatility_20"), 6)
 
 
 @query(with_bars(c.BENCH_SQL, f"m AS (SELECT session, row_number() OVER (ORDER BY session) AS n, {c.settled('close')} AS close, {c.settled('avg(close) OVER (ORDER BY session ROWS BETWEEN 59 PRECEDING AND CURRENT ROW)')} AS sma FROM bench)",
@@ -145,10 +145,10 @@ def market_regime(spark, sf):
 
 @query(with_bars(c.BENCH_SQL, "j AS (SELECT b.*, n.close AS bc FROM bars b LEFT JOIN bench n USING (session) )",
     f"k AS (SELECT symbol, bar_ix, close / lag(close, 20) OVER {sr.PLAIN} - 1 - (bc / lag(bc, 20) OVER {sr.PLAIN} - 1) AS rs, count(bc) OVER {sr.over(21)} AS n FROM j)",
-    select=f"SELECT symbol, bar_ix, {r('CASE WHEN n = 21 THEN rs END', 'relative_strength_20')} FROM k"))
+    select=f"SELECT symbol, bar_ix, {r(c.settled('CASE WHEN n = 21 THEN rs END'), 'relative_strength_20', 6)} FROM k"))
 def relative_strength(spark, sf):
     df = ind.relative_strength(c.bars(spark, sf), c.benchmark(spark, sf), 20)
-    return c.publish(df.select("symbol", "bar_ix", "relative_strength_20"))
+    return c.publish(df.select("symbol", "bar_ix", "relative_strength_20"), 6)
 
 
 @query(with_bars(f"v AS (SELECT symbol, bar_ix, CASE WHEN bar_ix >= 19 THEN {c.settled(f'volume / avg(volume) OVER {sr.over(20)}')} END AS vr FROM bars)",

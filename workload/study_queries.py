@@ -91,18 +91,18 @@ def visibility_guard(spark, sf):
 
 # ---- outcomes ---------------------------------------------------------------
 _LIMIT = "(CASE WHEN is_st THEN 0.05 WHEN symbol LIKE '688%' THEN 0.2 WHEN (symbol LIKE '300%' OR symbol LIKE '301%') AND session >= DATE '2020-08-24' THEN 0.2 ELSE 0.1 END::DOUBLE)"
-GATES = f"""gates AS (SELECT *, coalesce(open > 0 AND prev_close > 0 AND open / prev_close - 1 >= {_LIMIT} - 0.001, FALSE) AS up,
-  coalesce(close > 0 AND prev_close > 0 AND close / prev_close - 1 <= -{_LIMIT} + 0.001, FALSE) AS down,
+GATES = f"""gates AS (SELECT *, coalesce(open > 0 AND prev_close > 0 AND open / prev_close - 1 >= {_LIMIT} - 0.001, FALSE) AS lim_up,
+  coalesce(close > 0 AND prev_close > 0 AND close / prev_close - 1 <= -{_LIMIT} + 0.001, FALSE) AS lim_down,
   coalesce(volume <= 0, FALSE) AS no_volume, coalesce(amount <= 0, FALSE) AS no_amount FROM bars)"""
 
 
 def ahead(source: str, keep: str) -> str:
-    cols = [keep, f"lead(g.session) OVER w AS entry_at", "lead(g.open) OVER w AS entry_price", "lead(g.up) OVER w AS entry_up"]
+    cols = [keep, f"lead(g.session) OVER w AS entry_at", "lead(g.open) OVER w AS entry_price", "lead(g.lim_up) OVER w AS entry_up"]
     for h in H:
         f = f"(PARTITION BY g.symbol ORDER BY g.session ROWS BETWEEN 1 FOLLOWING AND {h} FOLLOWING)"
         cols += [
             f"lead(g.session, {h}) OVER w AS exit_at_{h}", f"lead(g.close, {h}) OVER w AS exit_{h}",
-            f"lead(g.down OR g.no_volume OR g.no_amount, {h}) OVER w AS blocked_{h}", f"lead(g.down, {h}) OVER w AS down_{h}",
+            f"lead(g.lim_down OR g.no_volume OR g.no_amount, {h}) OVER w AS blocked_{h}", f"lead(g.lim_down, {h}) OVER w AS down_{h}",
             f"max(g.high) OVER {f} AS hi_{h}", f"min(g.low) OVER {f} AS lo_{h}",
         ]
     return f"ahead AS (SELECT {', '.join(cols)} FROM {source} WINDOW w AS (PARTITION BY g.symbol ORDER BY g.session))"
@@ -216,11 +216,11 @@ def matured_or_tail(spark, sf):
     return c.publish(oc.maturity(df, (5, 10, 20), delay=5).select("symbol", "bar_ix", "horizon", "status"))
 
 
-_PANEL_WHY = """array_to_string(list_filter([CASE WHEN no_volume THEN 'zero_or_invalid_volume' END, CASE WHEN no_amount THEN 'zero_or_invalid_amount' END, CASE WHEN down THEN 'limit_down_sell_unavailable' END], lambda x: x IS NOT NULL), ',')"""
+_PANEL_WHY = """array_to_string(list_filter([CASE WHEN no_volume THEN 'zero_or_invalid_volume' END, CASE WHEN no_amount THEN 'zero_or_invalid_amount' END, CASE WHEN lim_down THEN 'limit_down_sell_unavailable' END], lambda x: x IS NOT NULL), ',')"""
 
 
-@query(with_bars(GATES, select=f"""SELECT symbol, {S}, NOT up AS tradeable_open, NOT (down OR no_volume OR no_amount) AS tradeable_close,
-  CASE WHEN up THEN 'limit_up_buy_unavailable' ELSE '' END AS open_reason_codes, {_PANEL_WHY} AS close_reason_codes FROM gates WHERE prev_close IS NOT NULL"""))
+@query(with_bars(GATES, select=f"""SELECT symbol, {S}, NOT lim_up AS tradeable_open, NOT (lim_down OR no_volume OR no_amount) AS tradeable_close,
+  CASE WHEN lim_up THEN 'limit_up_buy_unavailable' ELSE '' END AS open_reason_codes, {_PANEL_WHY} AS close_reason_codes FROM gates WHERE prev_close IS NOT NULL"""))
 def execution_panel(spark, sf):
     panel, _ = oc.execution_panel(c.bars(spark, sf))
     return c.publish(panel.select("symbol", "session", "tradeable_open", "tradeable_close", "open_reason_codes", "close_reason_codes"))
