@@ -225,15 +225,24 @@ def scan(bars: DataFrame, rules: list[Rule]) -> DataFrame:
     return prepare(bars, rules).withColumn("matched", matched_rules(rules)).select(*keep, "matched")
 
 
+def each_match(scanned: DataFrame) -> DataFrame:
+    """One row per matched rule, its position in column ``rule``.
+
+    ``explode_outer`` with a later filter: a plain explode makes Catalyst infer
+    a filter on the array and push it below, where all rules run again.
+    """
+    keep = [c for c in scanned.columns if c != "matched"]
+    return scanned.select(*keep, F.explode_outer("matched").alias("rule")).where(F.col("rule").isNotNull())
+
+
 def signals(bars: DataFrame, rules: list[Rule]) -> DataFrame:
     """One row per (rule, bar) that matches."""
     names = F.array(*[F.lit(r.id) for r in rules])
     versions = F.array(*[F.lit(r.version) for r in rules])
     return (
-        scan(bars, rules)
-        .withColumn("__rule", F.explode("matched"))
-        .withColumns({"rule_id": F.element_at(names, F.col("__rule") + 1), "rule_version": F.element_at(versions, F.col("__rule") + 1)})
-        .drop("matched", "__rule")
+        each_match(scan(bars, rules))
+        .withColumns({"rule_id": F.element_at(names, F.col("rule") + 1), "rule_version": F.element_at(versions, F.col("rule") + 1)})
+        .drop("rule")
     )
 
 

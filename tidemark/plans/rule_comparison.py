@@ -9,7 +9,7 @@ from tidemark.operators import events as ev
 from tidemark.operators import outcomes as oc
 from tidemark.operators import stats
 from tidemark.operators.rules import Rule
-from tidemark.operators.signals import scan
+from tidemark.operators.signals import each_match, scan
 from tidemark.plans.event_study import with_regime
 from tidemark.runtime import stage
 
@@ -20,7 +20,7 @@ def rule_outcomes(bars: DataFrame, rules: list[Rule], benchmark: DataFrame, stud
     legs = oc.benchmark_return(oc.stack_horizons(ahead, study.horizons, excursions=False), benchmark)
     rows = with_regime(oc.returns(legs, study), benchmark, study)
     names = F.array(*[F.lit(r.id) for r in rules])
-    return rows.withColumn("__r", F.explode("matched")).withColumn("rule_id", F.element_at(names, F.col("__r") + 1)).drop("matched", "__r")
+    return each_match(rows).withColumn("rule_id", F.element_at(names, F.col("rule") + 1)).drop("rule")
 
 
 def cooled(rows: DataFrame, bars: int = 20) -> DataFrame:

@@ -10,7 +10,7 @@ from tidemark.operators import outcomes as oc
 from tidemark.operators.indicators import market_regime
 from tidemark.operators.intervals import members_only
 from tidemark.operators.rules import Rule
-from tidemark.operators.signals import lookback, scan
+from tidemark.operators.signals import each_match, lookback, scan
 from tidemark.runtime import stage
 
 
@@ -45,7 +45,7 @@ def group_statistics(bars: DataFrame, rules: list[Rule], benchmark: DataFrame, s
     rows = oc.returns(legs, study).where((F.col("sample_split") == "out_of_sample") & F.col("net_excess_return").isNotNull())
     regime = market_regime(benchmark, study.regime_window).select("session", "regime")
     rows = rows.join(F.broadcast(regime), "session", "left").withColumn("regime", F.coalesce("regime", F.lit("unknown")))
-    rows = rows.select("horizon", "regime", "net_excess_return", F.explode("matched").alias("rule"))
+    rows = each_match(rows.select("horizon", "regime", "net_excess_return", "matched"))
     names = F.array(*[F.lit(r.name) for r in rules])
     stats_rows = stats.summarize(rows, ["rule", "horizon", "regime"])
     return stats_rows.withColumn("rule_id", F.element_at(names, F.col("rule") + 1)).drop("rule")
@@ -54,7 +54,7 @@ def group_statistics(bars: DataFrame, rules: list[Rule], benchmark: DataFrame, s
 def signal_counts(bars: DataFrame, rules: list[Rule], study: oc.Study, memberships: DataFrame | None = None) -> DataFrame:
     """Signals per rule, also for rules whose signals have no outcome."""
     names = F.array(*[F.lit(r.name) for r in rules])
-    hits = matched_bars(bars, rules, study, memberships, ahead=False).select(F.explode("matched").alias("rule"))
+    hits = each_match(matched_bars(bars, rules, study, memberships, ahead=False).select("matched"))
     return hits.groupBy("rule").agg(F.count(F.lit(1)).alias("signals")).select(F.element_at(names, F.col("rule") + 1).alias("rule_id"), "signals")
 
 

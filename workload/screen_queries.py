@@ -231,7 +231,7 @@ _events_sql = "evs AS (SELECT symbol, bar_ix, session, {names}[rule + 1] AS rule
 def cat_events(spark, sf):
     hits = rs.matched_bars(c.bars(spark, sf), CAT, STUDY, ahead=False)
     names = F.array(*[F.lit(x.id) for x in CAT])
-    return hits.select("symbol", "session", "bar_ix", F.explode("matched").alias("r")).select("symbol", "session", "bar_ix", F.element_at(names, F.col("r") + 1).alias("rule_id"))
+    return sg.each_match(hits.select("symbol", "session", "bar_ix", "matched")).select("symbol", "session", "bar_ix", F.element_at(names, F.col("rule") + 1).alias("rule_id"))
 
 
 _cat = scan_ctes(CAT, forward=False, member=False)
