@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.numeric import settle
 from tidemark.operators.series import by_symbol
 
 
@@ -46,9 +47,9 @@ def daily_ic(rows: DataFrame, score: str = "score", label: str = "label", day: s
 
 
 def _corr(a: str, b: str) -> Column:
-    """NULL instead of NaN when a side does not vary or a day has one symbol."""
+    """NULL when a side does not vary; settled, so that zero has no sign."""
     flat = (F.count(F.lit(1)) < 2) | (F.max(a) == F.min(a)) | (F.max(b) == F.min(b))
-    return F.when(~flat, F.corr(a, b))
+    return F.when(~flat, settle(F.corr(a, b)))
 
 
 def ic_by_year(ics: DataFrame, day: str = "session") -> DataFrame:

@@ -73,9 +73,10 @@ def daily_tradability(
     """Six evidence domains per (symbol, session) to buy/sell flags and reasons.
 
     Every input carries ``available_at``; a row counts only if known by 09:30
-    local time of the session.  All six must be present.
+    local time of the session.  All six must be present.  Sessions are read as
+    UTC dates (the session time zone every plan assumes).
     """
-    cut = F.to_utc_timestamp(F.col("session").cast("timestamp_ntz") + F.expr("INTERVAL 570 MINUTES"), zone)
+    cut = F.to_utc_timestamp(F.col("session").cast("timestamp") + F.expr("INTERVAL 570 MINUTES"), zone)
 
     def known(df: DataFrame, *values: str) -> DataFrame:
         keys = [k for k in ("symbol", "session") if k in df.columns]
