@@ -36,17 +36,15 @@ def media_issue(media_type: Column, content: Column) -> Column:
     return F.when(F.length(content) == 0, "empty_file").when(~fits, "signature_mismatch")
 
 
-def first_copies(assets: DataFrame, content: Column, order: str) -> DataFrame:
-    """One row per distinct content, the earliest, with the number of copies.
+def first_copies(assets: DataFrame, content: Column, order: str, keep: tuple[str, ...]) -> DataFrame:
+    """The ``keep`` columns of the earliest row of each content, and its copies.
 
-    Copies of one content may be most of the table: they fold in the map tasks,
-    keyed by digest, and only the key columns travel.
+    Copies of one content may be most of the table: they fold in the map tasks
+    by digest, and the content itself is not shuffled.
     """
-    rest = [c for c in assets.columns]
-    hashed = assets.withColumn("sha256", F.sha2(content, 256))
-    return (
-        hashed.groupBy("sha256").agg(F.min_by(F.struct(*rest), order).alias("r"), F.count(F.lit(1)).alias("copies")).select("sha256", "r.*", "copies")
-    )
+    hashed = assets.select(*keep, F.col(order).alias("__order"), F.sha2(content, 256).alias("sha256"))
+    first = F.min_by(F.struct(*keep), "__order")
+    return hashed.groupBy("sha256").agg(first.alias("r"), F.count(F.lit(1)).alias("copies")).select("sha256", "r.*", "copies")
 
 
 def spans(regions: DataFrame) -> DataFrame:

@@ -31,23 +31,23 @@ _COMPARE = {"gt": ">", "gte": ">=", "lt": "<", "lte": "<=", "eq": "="}
 _JOIN = {"all": " AND ", "any": " OR ", "add": " + ", "sub": " - ", "mul": " * "}
 
 
-def _leaves(tree: Any):
+def leaves(tree: Any):
     """The metric and context nodes of a tree."""
     if isinstance(tree, list):
         for child in tree:
-            yield from _leaves(child)
+            yield from leaves(child)
     elif isinstance(tree, dict):
         for op, body in tree.items():
             if op in ("metric", "context"):
                 yield op, body
             elif op != "param":
-                yield from _leaves(body)
+                yield from leaves(body)
 
 
 def lookback(rule: Rule) -> int:
     """Bars that must lie before a bar for the rule to be judged on it."""
     need = rule.warmup
-    for op, body in _leaves(rule.condition):
+    for op, body in leaves(rule.condition):
         if op == "context":
             reach = body["window"]
         elif body["name"] in MACD:
@@ -83,7 +83,7 @@ def prepare(bars: DataFrame, rules: list[Rule]) -> DataFrame:
     keys: set[Key] = set()
     refs: set[tuple[str, int]] = set()
     for rule in rules:
-        for op, body in _leaves(rule.condition):
+        for op, body in leaves(rule.condition):
             if op == "context":
                 if body["name"] not in COUNTS:
                     raise ValueError(f"unknown context {body['name']}")

@@ -122,12 +122,12 @@ def answers(spark, sf):
  SELECT conv_id, turn, sha256(text) AS sha256, copies FROM k WHERE rn = 1""")
 def conversation_first_copies(spark, sf):
     d = c.table(spark, sf, "conversations").withColumn("ord", F.col("conv_id") * 1000 + F.col("turn"))
-    return evd.first_copies(d, F.col("text"), "ord").select("conv_id", "turn", "sha256", "copies")
+    return evd.first_copies(d, F.col("text"), "ord", ("conv_id", "turn")).select("conv_id", "turn", "sha256", "copies")
 
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS sha256, count(*) AS copies FROM documents GROUP BY sha256(text)")
 def document_first_copies(spark, sf):
-    return evd.first_copies(c.table(spark, sf, "documents"), F.col("text"), "doc_id").select("doc_id", "sha256", "copies")
+    return evd.first_copies(c.table(spark, sf, "documents"), F.col("text"), "doc_id", ("doc_id",)).select("doc_id", "sha256", "copies")
 
 
 @query("SELECT page_id, kind AS media_type, CASE WHEN length(html) = 0 THEN 'empty_file' WHEN kind = 'application/pdf' AND html LIKE '%PDF-%' AND left(html, 5) = '%PDF-' THEN NULL ELSE 'signature_mismatch' END AS issue FROM (SELECT page_id, CASE WHEN url LIKE '%/en/%' THEN '%PDF-' || html ELSE html END AS html, 'application/pdf' AS kind FROM pages)")
@@ -139,14 +139,14 @@ def media_signatures(spark, sf):
 
 
 # Spans: an order is a span, its line items are the regions.
-_REG = "reg AS (SELECT l_orderkey AS span_id, l_discount AS x0, l_tax AS y0, l_discount + l_quantity / 100 AS x1, l_tax + l_quantity / 60 AS y1, CASE WHEN l_returnflag <> 'R' THEN l_discount * 10 END AS confidence FROM lineitem)"
+_REG = "reg AS (SELECT l_orderkey AS span_id, l_discount AS x0, l_tax AS y0, l_discount + l_quantity / 100 AS x1, l_tax + l_quantity / 45 AS y1, CASE WHEN l_returnflag <> 'R' THEN l_discount * 10 END AS confidence FROM lineitem)"
 
 
 def _regions(spark, sf):
     li = c.table(spark, sf, "lineitem")
     return li.select(
         F.col("l_orderkey").alias("span_id"), F.col("l_discount").alias("x0"), F.col("l_tax").alias("y0"), (F.col("l_discount") + F.col("l_quantity") / 100).alias("x1"),
-        (F.col("l_tax") + F.col("l_quantity") / 60).alias("y1"), F.when(F.col("l_returnflag") != "R", F.col("l_discount") * 10).alias("confidence"),
+        (F.col("l_tax") + F.col("l_quantity") / 45).alias("y1"), F.when(F.col("l_returnflag") != "R", F.col("l_discount") * 10).alias("confidence"),
     )
 
 
