@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -44,10 +46,21 @@ def cjk_grams(text: Column, sizes: tuple[int, ...]) -> Column:
     return F.flatten(F.transform(runs, lambda r: grams(r, sizes)))
 
 
+def _words(text: Column) -> Column:
+    """ASCII words, lower case; only A-Z is folded, as words hold nothing else."""
+    return F.regexp_extract_all(F.translate(text, ascii_uppercase, ascii_lowercase), F.lit(_WORD), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Lower-cased words plus 1-, 2- and 3-grams of each CJK run."""
-    words = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), lambda t: F.lower(t))
-    return F.concat(words, cjk_grams(text, (1, 2, 3)))
+    return F.concat(_words(text), cjk_grams(text, (1, 2, 3)))
+
+
+def token_count(text: Column) -> Column:
+    """``size(tokens(text))`` without building the grams."""
+    runs = F.regexp_extract_all(text, F.lit(_CJK), F.lit(0))
+    per_run = lambda r: F.length(r) + F.greatest(F.length(r) - 1, F.lit(0)) + F.greatest(F.length(r) - 2, F.lit(0))
+    return F.size(_words(text)) + F.aggregate(runs, F.lit(0), lambda acc, r: acc + per_run(r))
 
 
 def key_text(text: Column) -> Column:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import cjk_grams, key_text, title_entities, tokens
+from tidemark.functions.text import cjk_grams, key_text, title_entities, token_count, tokens
 
 # Our stated choice of the formula: idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 K1 = 1.5
@@ -33,8 +33,9 @@ def term_weights(cards: DataFrame, queries: DataFrame) -> DataFrame:
     counting them is complete in the map task.  Collection size and mean length
     are scalar subqueries.
     """
-    docs = searchable(cards).select("card_id", tokens(F.col("body")).alias("t")).withColumn("len", F.size("t"))
-    totals = docs.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("mean"))
+    published = searchable(cards).select("card_id", "body")
+    totals = published.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(token_count(F.col("body"))).alias("mean"))
+    docs = published.select("card_id", tokens(F.col("body")).alias("t")).withColumn("len", F.size("t"))
     vocabulary = queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
     hits = docs.select("card_id", "len", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi")
     tf = hits.groupBy("card_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))

@@ -178,13 +178,13 @@ def positive_year_share(effects: DataFrame, by: list[str] = SERIES, day: str = "
 
 
 # ---- gates on statistics ----------------------------------------------------
-def stressed(groups: DataFrame, study: Study, level: float = 0.95) -> DataFrame:
+def stressed(groups: DataFrame, study: Study, multiples: tuple[float, ...] | None = None, level: float = 0.95) -> DataFrame:
     """The same groups under multiplied costs.
 
     A constant extra cost moves the mean and leaves the spread, so nothing is
     aggregated again.
     """
-    legs = F.array(*[F.lit(float(m)) for m in study.stress])
+    legs = F.array(*[F.lit(float(m)) for m in (multiples or study.stress)])
     base = groups.select("rule_id", "horizon", "regime", "sample_size", "mean_return", "sample_stddev")
     moved = base.withColumn("multiple", F.explode(legs)).withColumn(
         "mean_return", F.col("mean_return") - (F.col("multiple") - 1.0) * study.round_trip
@@ -200,17 +200,21 @@ def _passes(study: Study) -> Column:
 
 
 def screen_verdict(groups: DataFrame, study: Study) -> tuple[DataFrame, DataFrame]:
-    """(groups with ``passes``, one verdict per rule).
+    """(groups with ``passes`` and the worst stressed bound, one verdict per rule).
 
     The false-discovery family of every cost multiple spans all rules and is
     settled before the pass decision.
     """
-    tested = false_discovery(groups, skip_null=True, alpha=study.alpha).withColumn("__base", _passes(study))
-    stress = false_discovery(stressed(groups, study), family=["multiple"], skip_null=True, alpha=study.alpha)
-    survived = stress.withColumn("__ok", _passes(study)).groupBy("rule_id", "horizon", "regime").agg(F.bool_and("__ok").alias("__survived"))
-    judged = tested.join(survived, ["rule_id", "horizon", "regime"], "left").withColumn(
-        "passes", F.col("__base") & F.coalesce(F.col("__survived"), F.lit(False))
-    ).drop("__base", "__survived")
+    keys = ["rule_id", "horizon", "regime"]
+    # multiple 1 is the base: one pass over the groups settles every family
+    tested = false_discovery(stressed(groups, study, (1.0, *study.stress)), family=["multiple"], skip_null=True, alpha=study.alpha)
+    rest = [c for c in tested.columns if c not in (*keys, "multiple")]
+    base = F.col("multiple") == 1.0
+    judged = tested.withColumn("__ok", _passes(study)).groupBy(*keys).agg(
+        F.max(F.when(base, F.struct(*rest))).alias("b"),
+        F.bool_and("__ok").alias("passes"),
+        F.min(F.when(~base, F.col("ci_lower"))).alias("worst_stress_lower"),
+    ).select(*keys, "b.*", "passes", "worst_stress_lower")
     ok = F.col("passes")
     best = F.max_by(F.struct("horizon", "regime", "mean_return", "sample_size"), F.when(ok, F.col("mean_return")))
     verdict = judged.groupBy("rule_id").agg(
@@ -265,8 +269,7 @@ def evidence_table(groups: DataFrame, min_samples: int = 300) -> DataFrame:
 
 def state_evidence(judged: DataFrame, study: Study) -> DataFrame:
     """Per rule and regime: passing horizons, best group and worst stressed lower bound."""
-    worst = stressed(judged, study).groupBy("rule_id", "horizon", "regime").agg(F.min("ci_lower").alias("worst_stress_lower"))
-    rows = judged.where("passes").join(worst, ["rule_id", "horizon", "regime"])
+    rows = judged.where("passes")
     best = F.max(F.struct("mean_return", "horizon"))
     return (
         rows.groupBy("rule_id", "regime")

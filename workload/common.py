@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.operators import series
+from tidemark.runtime import stage
 
 OOS = dt.date(1999, 1, 1)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -71,7 +72,9 @@ def bars(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    return series.equal_weight_benchmark(series.build_bars(ticks(spark, sf)))
+    """One row per session, staged: a study reads it three times, and deriving it
+    takes a scan of all ticks."""
+    return stage(series.equal_weight_benchmark(series.build_bars(ticks(spark, sf))), "benchmark")
 
 
 def memberships(spark: SparkSession, sf: str) -> DataFrame:
