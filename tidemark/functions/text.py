@@ -84,6 +84,8 @@ def html_text(html: Column) -> Column:
     """
     x = F.regexp_replace(html, "(?is)<(script|style)\\b[^>]*>.*?</\\1\\s*>", "")
     x = F.regexp_replace(x, "(?is)<!--.*?-->|<![^>]*>", "")
+    # a self-closing tag counts as an opening and a closing one
+    x = F.regexp_replace(x, f"(?i)<({_BLOCK})\\b[^>]*/>", "\n\n")
     x = F.regexp_replace(x, f"(?i)</?({_BLOCK})\\b[^>]*>", "\n")
     x = F.regexp_replace(x, "(?s)<[/a-zA-Z][^>]*>", "")
     for name, value in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):

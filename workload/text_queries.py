@@ -27,10 +27,10 @@ def squeeze_whitespace(spark, sf):
     return d.select("conv_id", "turn", F.md5(tx.squeeze(F.col("text"))).alias("squeezed"))
 
 
-_HTML = "html"
 _h1 = r"regexp_replace(regexp_replace(html, '(?is)<script\b[^>]*>.*?</script\s*>', '', 'g'), '(?is)<style\b[^>]*>.*?</style\s*>', '', 'g')"
 _h2 = rf"regexp_replace({_h1}, '(?is)<!--.*?-->|<![^>]*>', '', 'g')"
-_h3 = rf"regexp_replace({_h2}, '(?i)</?(p|div|section|article|li|br|h1|h2|h3|h4|h5|h6|tr)\b[^>]*>', chr(10), 'g')"
+_h3a = rf"regexp_replace({_h2}, '(?i)<(p|div|section|article|li|br|h1|h2|h3|h4|h5|h6|tr)\b[^>]*/>', chr(10) || chr(10), 'g')"
+_h3 = rf"regexp_replace({_h3a}, '(?i)</?(p|div|section|article|li|br|h1|h2|h3|h4|h5|h6|tr)\b[^>]*>', chr(10), 'g')"
 _h4 = rf"regexp_replace({_h3}, '(?s)<[/a-zA-Z][^>]*>', '', 'g')"
 _h5 = f"replace(replace(replace(replace(replace(replace({_h4}, '&nbsp;', ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&#39;', ''''), '&amp;', '&')"
 _h6 = rf"trim(regexp_replace(regexp_replace({_h5}, '[ \t\r\f\x0B]+', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), ' ' || chr(10) || chr(9))"
