@@ -33,6 +33,8 @@ def main() -> None:
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.driver.memory", "20g")
         .config("spark.ui.enabled", "false")
+        # no call-site capture per Column: plans here have thousands of them
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # the derived bars are a few megabytes but cost windows, not I/O: keep
         # all cores busy instead of merging them into one partition
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")

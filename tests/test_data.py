@@ -156,6 +156,19 @@ def test_interval_flags(spark):
     assert [r["is_member"] for r in iv.active(rows, m).orderBy("session").collect()] == [False, True, True, False, True]
 
 
+def test_overlapping_intervals_merge(spark):
+    rng = np.random.default_rng(4)
+    rows = [(s, D(2020, 1, 1) + dt.timedelta(days=int(a)), None if a > 115 else D(2020, 1, 1) + dt.timedelta(days=int(a + n))) for s in "AB" for a, n in zip(rng.integers(0, 120, 15), rng.integers(0, 6, 15))]
+    m = spark.createDataFrame(rows, "symbol string, active_from date, active_to date")
+    spans = iv.covered(m).collect()
+    for s in "AB":
+        own = sorted((x["active_from"], x["active_to"]) for x in spans if x["symbol"] == s)
+        assert all(b[0] > a[1] + dt.timedelta(days=1) for a, b in zip(own, own[1:]))
+        for i in range(130):
+            day = D(2020, 1, 1) + dt.timedelta(days=i)
+            assert any(a <= day <= b for a, b in own) == any(t == s and a <= day and (b is None or day <= b) for t, a, b in rows)
+
+
 def test_average_rank_with_ties(spark):
     rng = np.random.default_rng(9)
     pdf = pd.DataFrame({"g": rng.integers(0, 3, 400), "v": np.r_[np.full(150, 0.5), rng.normal(0, 1, 240).round(2), [-1e6, 1e6] * 5]})

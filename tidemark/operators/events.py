@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.runtime import stage
+
 
 def cooldown(events: DataFrame, bars: int = 20, by: tuple[str, ...] = ("rule_id", "symbol")) -> DataFrame:
     """Keep an event only if it lies ``bars`` or more after the last kept one.
@@ -189,6 +191,7 @@ def same_day_selection(plans: DataFrame, k: int) -> DataFrame:
     rest by key, so a day holding most plans is never sorted as a whole.
     """
     key = ["rule_id", "horizon", "entry_at"]
+    plans = stage(plans, "plans")  # read twice below
     open_plans = plans.where("entry_tradeable")
     order = Window.partitionBy(*key).orderBy("selection_rank", "symbol")
     best = open_plans.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k)

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.series import FIRST_DAY, LAST_DAY
+
 
 def _covers(day: Column) -> Column:
     return (day >= F.col("active_from")) & (F.col("active_to").isNull() | (day <= F.col("active_to")))
@@ -23,15 +25,36 @@ def members_only(rows: DataFrame, memberships: DataFrame, day: str = "session")
     return rows.join(m, (F.col("symbol") == F.col("__s")) & _covers(F.col(day)), "left_semi")
 
 
+def covered(memberships: DataFrame) -> DataFrame:
+    """Disjoint spans per symbol: overlapping and adjoining intervals merged.
+
+    Every interval adds one at its start and takes one after its end; the
+    changes of a day are summed in the map tasks first, so the running sum sees
+    one row per symbol and calendar day however many intervals there are.
+    """
+    start = F.greatest("active_from", F.lit(FIRST_DAY))
+    after = F.date_add(F.least(F.coalesce("active_to", F.lit(LAST_DAY)), F.lit(LAST_DAY)), 1)
+    edge = lambda day, step: F.struct(day.alias("day"), F.lit(step).alias("step"))
+    steps = (
+        memberships.where(start < after)
+        .select("symbol", F.explode(F.array(edge(start, 1), edge(after, -1))).alias("e"))
+        .groupBy("symbol", "e.day").agg(F.sum("e.step").alias("step")).where("step <> 0")
+    )
+    order = Window.partitionBy("symbol").orderBy("day")
+    depth = steps.withColumn("depth", F.sum("step").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    turns = depth.withColumn("before", F.coalesce(F.lag("depth").over(order), F.lit(0))).where("(before = 0) <> (depth = 0)")
+    ends = turns.withColumn("after", F.lead("day").over(order)).where("depth > 0")
+    return ends.select("symbol", F.col("day").alias("active_from"), F.date_sub("after", 1).alias("active_to"))
+
+
 def active(rows: DataFrame, memberships: DataFrame, day: str = "session", flag: str = "is_member") -> DataFrame:
     """All rows with a membership flag, each row once.
 
-    The intervals of a symbol travel as one short array, so overlapping
-    intervals cannot repeat a row.
+    A day lies in at most one disjoint span, so the left join repeats nothing.
     """
-    spans = memberships.groupBy("symbol").agg(F.collect_set(F.struct("active_from", "active_to")).alias("__spans"))
-    inside = F.exists("__spans", lambda s: (F.col(day) >= s["active_from"]) & (s["active_to"].isNull() | (F.col(day) <= s["active_to"])))
-    return rows.join(spans, "symbol", "left").withColumn(flag, F.coalesce(inside, F.lit(False))).drop("__spans")
+    spans = covered(memberships).select(F.col("symbol").alias("__s"), F.col("active_from").alias("__from"), F.col("active_to").alias("__to"))
+    inside = (F.col("symbol") == F.col("__s")) & F.col(day).between(F.col("__from"), F.col("__to"))
+    return rows.join(spans, inside, "left").withColumn(flag, F.col("__s").isNotNull()).drop("__s", "__from", "__to")
 
 
 def members_on(memberships: DataFrame, day: dt.date) -> DataFrame:

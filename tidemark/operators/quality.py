@@ -263,7 +263,8 @@ def walk_forward(dates: DataFrame, train: int, test: int, purge: int, expanding:
     start = F.lit(train + purge) + F.col("fold_id") * test
     bounds = folds.select(
         "fold_id",
-        (F.lit(0).cast("long") if expanding else start - purge - train).alias("train_from"),
+        # least() keeps the key an expression: a constant would plan a nested loop
+        (F.least(F.lit(0).cast("long"), F.col("fold_id")) if expanding else start - purge - train).alias("train_from"),
         (start - purge - 1).alias("train_to"),
         start.alias("test_from"),
         (F.least(start + test, F.col("n")) - 1).alias("test_to"),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import outcomes as oc
@@ -236,3 +238,25 @@ def execution_panel_set_aside(spark, sf):
 def membership_semi_join(spark, sf):
     hits = sg.signal(c.bars(spark, sf), BREAKDOWN.condition)
     return c.publish(members_only(hits, c.memberships(spark, sf)).select("symbol", "session"))
+
+
+_within = [
+    "cut AS (SELECT * EXCLUDE (bar_ix, n_bars, prev_close) FROM bars WHERE session BETWEEN DATE '1996-01-01' AND DATE '2000-12-31')",
+    "inside AS (SELECT *, row_number() OVER w - 1 AS bar_ix, count(*) OVER (PARTITION BY symbol) AS n_bars, lag(close) OVER w AS prev_close FROM cut WINDOW w AS (PARTITION BY symbol ORDER BY session))",
+    *[x.replace("FROM bars)", "FROM inside)") if x.startswith("gates AS") else x for x in study_ctes()],
+]
+
+
+@query(with_bars(*_within, select=f"SELECT symbol, {S}, horizon::BIGINT AS horizon, CAST(exit_at AS VARCHAR) AS exit_at, {r('net_excess_return', 'net_excess_return')}, sample_split FROM outc"))
+def study_within_boundaries(spark, sf):
+    """Start, out-of-sample start, end and lockbox: the end cuts the bars first."""
+    rows = es.run_within(
+        c.bars(spark, sf), BREAKDOWN, dt.date(1996, 1, 1), dt.date(1999, 1, 1), dt.date(2000, 12, 31), dt.date(2001, 6, 1),
+        benchmark=c.benchmark(spark, sf), memberships=c.memberships(spark, sf), study=STUDY,
+    )
+    return c.publish(rows.select("symbol", "session", "horizon", "exit_at", "net_excess_return", "sample_split"))
+
+
+@query(with_bars(*_bd_ctes, select=f"SELECT symbol, {S}, bar_ix FROM prep WHERE {sr.matches(BREAKDOWN)} ORDER BY symbol, session"))
+def ordered_signals(spark, sf):
+    return c.publish(sg.signal(c.bars(spark, sf), BREAKDOWN.condition).select("symbol", "session", "bar_ix")).orderBy("symbol", "session")
