@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from tidemark.functions.identity import row_identity
 from tidemark.operators import events as ev
 from tidemark.operators import outcomes as oc
 from tidemark.operators import rules as ru
@@ -17,7 +19,7 @@ from tidemark.plans import rule_screen as rs
 from workload import common as c
 from workload import sql_rules as sr
 from workload.common import query, r, with_bars
-from workload.study_queries import BREAKDOWN, GATES, H, IS_MEMBER, STUDY, ahead, study_ctes, study_rows
+from workload.study_queries import BREAKDOWN, GATES, H, IS_MEMBER, LIVE, OUT, STUDY, ahead, legs, study_ctes, study_rows
 
 S = "CAST(session AS VARCHAR) AS session"
 SCREEN = ru.screen_rules()
@@ -35,8 +37,6 @@ def scan_ctes(rules, forward=True, member=True):
     ctes, _ = sr.prepared(rules, source="gates")
     keep = f"g.symbol, g.session, g.bar_ix, g.n_bars, {sr.matched_list(rules)} AS matched"
     where = f"len(matched) > 0 AND n_bars > {need}" + (f" AND {IS_MEMBER}" if member else "")
-    from workload.study_queries import LIVE, OUT, legs
-
     out = [GATES, *ctes, ahead("prep g", keep), c.BENCH_SQL, c.REGIME_SQL, c.MEMBERS_SQL, f"hits AS (SELECT * FROM ahead WHERE {where})"]
     if forward:
         out += [legs(where), OUT.format(gate=LIVE)]
@@ -271,16 +271,12 @@ _row_hash = "'sha256:' || sha256(concat_ws('|', 'close=' || CAST(CAST(close AS D
 
 @query(with_bars(select=f"SELECT symbol, {S}, row_hash FROM (SELECT symbol, session, {_row_hash} AS row_hash FROM rawbars) ORDER BY row_hash LIMIT 25"))
 def audit_sample(spark, sf):
-    from tidemark.functions.identity import row_identity
-
     b = c.raw_bars(spark, sf)
     return c.publish(ev.audit_sample(b, row_identity(b, ["symbol", "session", "close"]), 25).select("symbol", "session", "row_hash"))
 
 
 @query(with_bars(select="SELECT symbol, min(session)::VARCHAR AS min_session, max(session)::VARCHAR AS max_session, count(*) AS bars, CASE WHEN symbol IN ('600000', '600001') THEN 'already_selected' WHEN min(session) > DATE '1995-01-03' THEN 'starts_late' WHEN max(session) < DATE '2001-11-01' THEN 'ends_early' END AS reason FROM rawbars GROUP BY symbol"))
 def symbol_selection(spark, sf):
-    import datetime as dt
-
     b = c.raw_bars(spark, sf)
     taken = b.select("symbol").distinct().where(F.col("symbol").isin("600000", "600001"))
     return c.publish(ev.next_symbols(b, F.lit(dt.date(1995, 1, 3)), F.lit(dt.date(2001, 11, 1)), taken, 5)[1])
@@ -431,8 +427,6 @@ def state_evidence(spark, sf):
     select=f"""SELECT base.rule_id, base.regime, CASE WHEN base.regime = 'unknown' THEN 'expired' WHEN bh.n IS NULL THEN 'not_revalidated' WHEN bh.n < 30 THEN 'insufficient_sample'
       WHEN bh.m < 0 OR base.m - bh.m > 0.01 OR coalesce(bh.m - {c.Z95} * bh.se <= 0, TRUE) OR NOT coalesce(adj <= 0.05, FALSE) THEN 'drifted' ELSE 'revalidated' END AS verdict FROM base LEFT JOIN bh USING (rule_id, regime)"""))
 def drift_check(spark, sf):
-    import datetime as dt
-
     rows = _oos(spark, sf).where("horizon = 5")
     cut = F.lit(dt.date(2001, 1, 1))
     base = rows.where(F.col("session") < cut).groupBy("rule_id", "regime").agg(F.avg("net_excess_return").alias("mean_return"))

@@ -1,4 +1,4 @@
-"""The incremental study: bars arrive in three files, in order."""
+"""The incremental study: bars arrive in three periods, in order."""
 
 from __future__ import annotations
 
@@ -6,31 +6,36 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from tidemark.operators.signals import lookback
 from tidemark.runtime import scratch
 from tidemark.streaming import incremental as inc
 from workload import common as c
 from workload.common import query, r, with_bars
 from workload.screen_queries import hac_sql
-from workload.study_queries import BREAKDOWN, STUDY, sg, study_ctes
+from workload.study_queries import BREAKDOWN, STUDY, study_ctes, study_rows
 
 S = "CAST(session AS VARCHAR) AS session"
 D = dt.date
 CUTS = (D(1995, 1, 1), D(1998, 1, 1), D(2000, 6, 1), D(2002, 1, 1))
 
-_ctes = [x.replace(f"AND n_bars >= {sg.lookback(BREAKDOWN) + max(STUDY.horizons) + 1} AND bar_ix < n_bars - 1 ", "") for x in study_ctes()]
+_ctes = [x.replace(f"AND n_bars >= {lookback(BREAKDOWN) + max(STUDY.horizons) + 1} AND bar_ix < n_bars - 1 ", "") for x in study_ctes()]
 
 
 def followed(spark, sf, repeat: bool = False) -> inc.FutureRun:
-    """Write the bars period by period and run the stream over them."""
+    """Write the bars period by period; after each, the stream takes what came.
+
+    Every period starts a new query on the same checkpoint, so the state comes
+    back from storage each time.
+    """
     root = scratch(spark, "future")
     bars = c.raw_bars(spark, sf).select(*[f.split()[0] for f in inc.BAR_SCHEMA.split(", ")])
+    run = inc.FutureRun(BREAKDOWN, c.benchmark(spark, sf), c.memberships(spark, sf), root, STUDY)
     for lo, hi in zip(CUTS, CUTS[1:]):
         part = bars.where((F.col("session") >= F.lit(lo)) & (F.col("session") < F.lit(hi)))
         if repeat:  # the last weeks of the period before come again
             part = part.unionByName(bars.where((F.col("session") >= F.date_sub(F.lit(lo), 20)) & (F.col("session") < F.lit(lo))))
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")  # one file is one arrival here
-    run = inc.FutureRun(BREAKDOWN, c.benchmark(spark, sf), c.memberships(spark, sf), root, STUDY)
-    run.start(inc.read_bar_stream(spark, f"{root}/in"), f"{root}/checkpoint").awaitTermination()
+        part.write.mode("append").parquet(f"{root}/in")
+        run.start(inc.read_bar_stream(spark, f"{root}/in", files_per_batch=100_000), f"{root}/checkpoint").awaitTermination()
     return run
 
 
@@ -65,15 +70,11 @@ def append_once(spark, sf):
 @query(with_bars(*_ctes, "cd AS (SELECT session, count(*) OVER (ORDER BY session ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM (SELECT DISTINCT session FROM rawbars WHERE session <= DATE '2001-03-01'))",
     select="SELECT count(*) AS window_dates, count(*) FILTER (WHERE later >= 20) AS committed_dates, (SELECT count(*) FROM outc WHERE session BETWEEN DATE '1999-01-01' AND DATE '2001-06-30') AS events, 'accumulating_not_adjudicable' AS status FROM cd WHERE session >= DATE '1999-01-01'"))
 def run_status(spark, sf):
-    from workload.study_queries import study_rows
-
     return inc.run_status(_batch(spark, sf), c.raw_bars(spark, sf), D(1999, 1, 1), D(2001, 6, 30), D(2001, 3, 1), 20)
 
 
 def _batch(spark, sf):
     """The same committed rows from the batch study (equal to the stream)."""
-    from workload.study_queries import study_rows
-
     rows = study_rows(spark, sf).where("benchmark_return is not null")
     return rows.select("rule_id", "symbol", "session", "horizon", F.col("net_excess_return").alias("excess_return"), F.lit(STUDY.round_trip).alias("cost_round_trip"))
 
