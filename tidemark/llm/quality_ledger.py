@@ -32,10 +32,11 @@ RULES: dict[str, str] = {
     "repeated_windows": "100 * n_repeat_words > 30 * n_words",
     "symbols": "10 * n_symbols > n_words",
     "exclamation": "10 * n_double_marks > n_words",
-    "repeated_lines": "10 * n_dup_lines > 3 * n_lines",
+    "repeated_lines": "10 * n_dup_lines > 5 * n_lines",
     "upper_case": "10 * n_upper > 5 * word_chars",
     "word_length": "word_chars > 25 * n_words OR word_chars < 2 * n_words",
     "few_distinct_words": "50 * n_distinct_words < n_words",
+    "stutter": "10 * n_stutter > 3 * n_words",
 }
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
@@ -84,6 +85,9 @@ def measure(docs: DataFrame, keep: list[Column]) -> DataFrame:
     has_word = lambda line: F.translate(line, SPACES, "") != ""
     x = x.select(*names, "__text", words(F.col("__text")).alias("__words"), F.filter(F.split("__text", "\n"), has_word).alias("__lines"))
     x = x.select(*names, "__text", "__lines", F.size("__words").cast("long").alias("n_words"), F.transform("__words", lambda w: F.xxhash64(w)).alias("__hashes"))
+    n = F.greatest(F.size("__hashes") - 1, F.lit(0))
+    twins = F.zip_with(F.slice("__hashes", F.lit(1), n), F.slice("__hashes", F.lit(2), n), lambda a, b: a == b)
+    x = x.withColumn("n_stutter", F.size(F.array_remove(twins, F.lit(False))).cast("long"))
     # windows of 2, 4 and 8 words, each from two of half the size
     eight = F.col("__hashes")
     for gap in (1, 2, 4):
@@ -103,6 +107,7 @@ def measure(docs: DataFrame, keep: list[Column]) -> DataFrame:
         F.floor((F.length("__text") - F.length(F.replace(F.col("__text"), F.lit("!!"), F.lit("")))) / 2).cast("long").alias("n_double_marks"),
         _occurrences(F.col("__text"), string.ascii_uppercase).cast("long").alias("n_upper"),
         F.size(F.array_distinct("__hashes")).cast("long").alias("n_distinct_words"),
+        "n_stutter",
     )
 
 

@@ -52,10 +52,11 @@ rep AS (SELECT rid, sum(s) AS n_repeat_words FROM steps GROUP BY rid),
 m AS (SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_string(ws, '')) AS BIGINT) AS word_chars,
        CAST(length(t) - length(translate(t, '#*$%&|<>', '')) AS BIGINT) AS n_symbols, CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
        CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words, len(ls) AS n_lines, (length(t) - length(replace(t, '!!', ''))) // 2 AS n_marks,
-       length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper, len(list_distinct(ws)) AS n_distinct FROM w LEFT JOIN rep USING (rid)),
+       length(t) - length(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', '')) AS n_upper, len(list_distinct(ws)) AS n_distinct,
+       len(list_filter(range(1, len(ws)), lambda i: ws[i] = ws[i + 1])) AS n_stutter FROM w LEFT JOIN rep USING (rid)),
 f AS (SELECT *, CAST((n_words < 20)::INT + 2 * (100 * n_repeat_words > 30 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (10 * n_marks > n_words)::INT
-       + 16 * (10 * n_dup_lines > 3 * n_lines)::INT + 32 * (10 * n_upper > 5 * word_chars)::INT + 64 * (word_chars > 25 * n_words OR word_chars < 2 * n_words)::INT
-       + 128 * (50 * n_distinct < n_words)::INT AS BIGINT) AS failures FROM m)
+       + 16 * (10 * n_dup_lines > 5 * n_lines)::INT + 32 * (10 * n_upper > 5 * word_chars)::INT + 64 * (word_chars > 25 * n_words OR word_chars < 2 * n_words)::INT
+       + 128 * (50 * n_distinct < n_words)::INT + 256 * (10 * n_stutter > 3 * n_words)::INT AS BIGINT) AS failures FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, failures = 0 AS kept, failures FROM f
 """
 
