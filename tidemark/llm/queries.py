@@ -2,13 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import language_id, ngram_join, packing, quality_ledger, token_counts, toxicity
+from tidemark.llm import fingerprints, language_id, license_scan, mixture, ngram_join, packing, quality_ledger, token_counts, toxicity, url_filter
 from tidemark.llm.common import held_out, table
 from tidemark.llm.pretokens import vocabulary
 
+URL_RULES = [
+    url_filter.Rule("allow", "org", "/"),
+    url_filter.Rule("block", "example.org", "/es/"),
+    url_filter.Rule("block", "example.org", "/en/1"),
+    url_filter.Rule("allow", "com", "/fr/"),
+    url_filter.Rule("block", "com", "/de/"),
+]
+MIXTURE = mixture.Mixture(
+    domains={"web": 0.4, "books": 0.3, "code": 0.2, "reference": 0.1},
+    languages={"en": 0.55, "de": 0.15, "fr": 0.15, "es": 0.15},
+    share=0.9,
+)
 OVER = 1024
 SEQUENCE = 2048
 
@@ -30,6 +42,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = token_counts.count(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), [F.col("doc_id")])
     return counted.withColumn("over_limit", F.col("n_tokens") > OVER)
@@ -61,9 +77,36 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
 """
 
 
+def domain() -> Column:
+    """Domain of a document by the number in its source."""
+    number = F.regexp_extract(F.coalesce("source", F.lit("")), "([0-9]+)$", 1)
+    group = F.when(number == "", F.lit(-1)).otherwise(F.pmod(F.substring(number, -9, 9).cast("int"), F.lit(20)))
+    return F.when(group < 0, "reference").when(group < 8, "web").when(group < 13, "books").when(group < 17, "code").otherwise("reference")
+
+
+def op7_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    rows = mixture.mix(docs, domain(), MIXTURE)
+    return rows.select("doc_id", F.col("__domain").alias("domain"), "lang", "source", F.col("__n_tokens").alias("n_tokens"), F.col("__epoch").cast("long").alias("epoch"))
+
+
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.label(table(spark, sf_dir, "documents"), [F.col("doc_id")])
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), packing.Capacity(tokens=SEQUENCE))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_ngram_jaccard_join, op3_toxicity, op5_token_counts, op6_quality_rules, op10_best_fit_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id, op2_ngram_jaccard_join, op3_toxicity, op4_url_filter, op5_token_counts, op6_quality_rules, op7_source_mixture,
+        op8_fingerprints, op9_license_scan, op10_best_fit_packing,
+    )
+}
 ORACLES = {"op6_quality_rules": OP6_SQL}
