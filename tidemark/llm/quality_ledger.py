@@ -126,6 +126,16 @@ def passes(policy: str = CURRENT, failures: str = "failures") -> Column:
     return F.col(failures).bitwiseAND(F.lit(POLICIES[policy])) == 0
 
 
+def kept(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
+    """Rows of a ledger that pass.
+
+    The row number in the condition keeps the filter where it is: pushed below the
+    measurements it would carry a copy of all of them and measure every text twice.
+    """
+    here = rows.withColumn("__here", F.monotonically_increasing_id())
+    return here.filter(passes(policy) & (F.col("__here") >= 0)).drop("__here")
+
+
 def ablations(rows: DataFrame, policy: str = CURRENT) -> DataFrame:
     """Per rule of the policy: documents it fails, and those only it rejects.
 
