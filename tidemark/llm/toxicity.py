@@ -228,6 +228,8 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_labels: int = 8_
             yield pa.RecordBatch.from_arrays([batch["toxic"], pa.array(found, pa.list_(pa.int32()))], names=["toxic", "at"])
 
     table = spread_rows.mapInArrow(place, "toxic int, at array<int>").collect()  # the bounded sample, as numbers
+    if len({r["toxic"] for r in table}) < 2:
+        return ToxicityModel(cost, {}, 0.0)
     w, b = _sparse_logistic([r["at"] for r in table], np.array([r["toxic"] for r in table], float), len(index))
     names = list(index)
     return ToxicityModel(cost, {names[i]: float(w[i]) for i in np.flatnonzero(np.abs(w) > 1e-9)}, b)
