@@ -63,27 +63,31 @@ def box_issue() -> Column:
     return F.when(~F.coalesce(inside, F.lit(False)), "invalid_bbox")
 
 
-def revisions(chain: DataFrame, rounds: int = 20) -> DataFrame:
+def revisions(chain: DataFrame) -> DataFrame:
     """Revision of each span: one more than the one it supersedes.
 
     ``chain``: span_id, supersedes_id.  Pointer doubling: each round joins every
-    span to the span its pointer names and adds the distances, so a chain of
-    length L needs log2(L) rounds; 20 cover chains of a million.  Rounds stop
-    as soon as no pointer is left.  Joins only, so a long chain is never
-    gathered in one task.
+    unfinished span to the span its pointer names and adds the distances, so a
+    chain of length L ends after log2(L) rounds; what is left after log2 of all
+    spans can only be a cycle, which is an error.  A round writes the unfinished
+    spans alone.  Joins only, so a long chain is never gathered in one task.
     """
     state = chain.select("span_id", F.col("supersedes_id").alias("next"), F.lit(1).cast("long").alias("revision"))
-    for _ in range(rounds):
-        # finished spans skip the join: their NULL pointers would share one task
-        done, pending = state.where("next is null"), state.where("next is not null")
-        target = state.select(F.col("span_id").alias("__id"), F.col("next").alias("__next"), F.col("revision").alias("__r"))
+    done, pending = state.where("next is null"), stage(state.where("next is not null"), "revisions")
+    left = pending.count()
+    for _ in range(max(1, left).bit_length() + 1):
+        if not left:
+            break
+        target = done.unionByName(pending).select(F.col("span_id").alias("__id"), F.col("next").alias("__next"), F.col("revision").alias("__r"))
         moved = pending.join(target, F.col("next") == F.col("__id"), "left").select(
             "span_id", F.col("__next").alias("next"), (F.col("revision") + F.coalesce("__r", F.lit(0))).alias("revision")
         )
-        state = stage(done.unionByName(moved), "revisions")
-        if state.where("next is not null").isEmpty():
-            break
-    return state.select("span_id", "revision")
+        moved = stage(moved, "revisions")
+        done, pending = done.unionByName(moved.where("next is null")), moved.where("next is not null")
+        left = pending.count()
+    if left:
+        raise ValueError(f"{left} spans supersede each other in a cycle")
+    return done.select("span_id", "revision")
 
 
 def citation_labels(spans_: DataFrame, pages: DataFrame, editions: DataFrame) -> DataFrame:

@@ -54,9 +54,10 @@ def decayed_scans(df: DataFrame, scans: list[Scan]) -> DataFrame:
     """Exponentially weighted means without Python and without recursion.
 
     A series is cut into blocks of B bars.  Inside a block the mean is a running
-    sum of x * q^-pos scaled by q^pos; across blocks the last value of the block
-    before is carried in.  B is so long that what lies two blocks back weighs
-    under 1e-20, and so short that q^-B stays a double.  Scans whose rates fit
+    sum of x * q^-pos scaled by q^pos; across blocks the ends of all blocks before
+    are folded and carried in, however little they weigh: after a long flat
+    stretch nothing else is left.  B keeps the list of ends short (about eighty
+    for the longest series) and q^-B a double.  Scans whose rates fit
     the same B share one window.
     """
     groups: list[list[Scan]] = []
@@ -78,12 +79,17 @@ def decayed_scans(df: DataFrame, scans: list[Scan]) -> DataFrame:
             weight = F.when(F.col("bar_ix") == s.first, F.col(s.value)).when(F.col("bar_ix") > s.first, F.col(s.value) * s.alpha)
             part = f"__{s.out}"
             local[part] = F.pow(F.lit(q), pos) * F.sum(weight * F.pow(F.lit(q), -pos)).over(inside)
-            carried = F.last(F.when(pos == size - 1, F.col(part)), ignorenulls=True).over(before)
-            merged[s.out] = F.col(part) + F.coalesce(carried, F.lit(0.0)) * F.pow(F.lit(q), pos + 1)
+            ends = F.collect_list(F.when(pos == size - 1, F.col(part))).over(before)
+            merged[s.out] = F.col(part) + _folded(ends, q**size) * F.pow(F.lit(q), pos + 1)
         df = df.withColumns(local).withColumns(merged).drop(*local)
     return df
 
 
+def _folded(ends: Column, decay: float) -> Column:
+    """What the ends of earlier blocks come to at the end of the last of them."""
+    return F.aggregate(ends, F.lit(0.0), lambda held, end: held * decay + end)
+
+
 def _block(scan: Scan) -> int:
     return max(2, math.ceil(_TINY / scan.rate))
 

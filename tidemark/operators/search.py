@@ -51,40 +51,49 @@ def term_weights(cards: DataFrame, queries: DataFrame) -> DataFrame:
     )
 
 
+def term_scores(cards: DataFrame, queries: DataFrame) -> DataFrame:
+    """BM25 of every (query, card) that share a term; scores add up in the map tasks."""
+    q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
+    return term_weights(cards, queries).join(q, "term").groupBy("query_id", "card_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25"))
+
+
 def bm25(cards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best cards of each query by term weight alone.
+    """The k best cards of each query by term weight alone; the rank is pruned to k rows per task and query."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "card_id")
+    return term_scores(cards, queries).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
 
-    Scores add up in the map tasks before the exchange; the rank is pruned to k
-    rows per task and query.
-    """
-    q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    scored = (
-        term_weights(cards, queries).join(q, "term").groupBy("query_id", "card_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25"))
+
+def _bonus(title_key: Column, entities: Column, query_key: Column) -> Column:
+    some = query_key != ""
+    whole = (
+        F.when(title_key == query_key, EXACT).when(some & F.startswith(title_key, query_key), PREFIX)
+        .when(some & F.contains(title_key, query_key), INSIDE).otherwise(0.0)
     )
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "card_id")
-    return scored.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
+    named = F.when(F.exists(entities, lambda e: F.contains(query_key, e)), ENTITY).otherwise(0.0)
+    return whole + named
 
 
 def title_bonus(title: Column, query: Column) -> Column:
     """Exact, prefix or contained title, plus a named entity of the title."""
-    t, q = key_text(title), key_text(query)
-    some = q != ""
-    whole = F.when(t == q, EXACT).when(some & F.startswith(t, q), PREFIX).when(some & F.contains(t, q), INSIDE).otherwise(0.0)
-    named = F.when(F.exists(title_entities(title), lambda e: F.contains(q, e)), ENTITY).otherwise(0.0)
-    return whole + named
+    return _bonus(key_text(title), title_entities(title), key_text(query))
 
 
 def search(cards: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Top k cards per query: BM25 picks 3k, the title bonus reorders them."""
+    """Top k cards per query by BM25 and title bonus together.
+
+    Every card that shares a term gets its bonus before the only cut, so a title
+    counts however low its terms rank.  Keys of titles and questions are made
+    once per card and question; the other columns join the k winners.
+    """
     asked = queries.where(F.trim("text") != "")
-    found = bm25(cards, asked, 3 * k)
-    rows = (
-        found.join(asked, "query_id")
-        .join(cards.where(F.col("status") == "published").select("card_id", "title", "claim", "limitations", "evidence_refs"), "card_id")
-        .withColumn("score", F.col("bm25") + title_bonus(F.col("title"), F.col("text")))
-    )
+    published = cards.where(F.col("status") == "published")
+    titles = published.select("card_id", key_text(F.col("title")).alias("__t"), title_entities(F.col("title")).alias("__e"))
+    questions = asked.select("query_id", key_text(F.col("text")).alias("__q"))
+    scored = term_scores(cards, asked).join(questions, "query_id").join(titles, "card_id")
+    scored = scored.select("query_id", "card_id", "bm25", (F.col("bm25") + _bonus(F.col("__t"), F.col("__e"), F.col("__q"))).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "card_id")
-    return rows.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    top = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
+    return top.join(asked, "query_id").join(published.select("card_id", "title", "claim", "limitations", "evidence_refs"), "card_id")
 
 
 def relevant(hits: DataFrame, least: float = 1.0) -> DataFrame:

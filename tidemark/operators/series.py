@@ -2,7 +2,7 @@
 
 Size of a window group.  A series holds at most one bar per calendar day:
 ``build_bars`` groups by (symbol, session), ``normalize_bars`` rejects repeated
-sessions, and both keep only sessions inside FIRST_DAY..LAST_DAY.  A group is
+sessions, and both fail on sessions outside FIRST_DAY..LAST_DAY.  A group is
 therefore at most MAX_SESSIONS short rows whatever the number of raw rows
 behind it, so one hot symbol costs one task a few megabytes, never a share of
 the table.  The raw side (ticks, file rows, overlay batches), where a symbol
@@ -40,6 +40,12 @@ def in_calendar(session: Column) -> Column:
     return session.between(F.lit(FIRST_DAY), F.lit(LAST_DAY))
 
 
+def checked_session(session: Column, given: Column) -> Column:
+    """The session, or a failed job with the value that is no date of the calendar."""
+    bad = F.concat(F.lit("not a session of the calendar: "), F.coalesce(given.cast("string"), F.lit("NULL")))
+    return F.when(in_calendar(session), session).otherwise(F.raise_error(bad).cast("date"))
+
+
 def build_bars(ticks: DataFrame, extra: dict[str, Column] | None = None) -> DataFrame:
     """Ticks (symbol, session, seq, price, volume, amount) to daily bars.
 
@@ -56,7 +62,7 @@ def build_bars(ticks: DataFrame, extra: dict[str, Column] | None = None) -> Data
         **(extra or {}),
     }
     return (
-        ticks.where(in_calendar(F.col("session")))
+        ticks.withColumn("session", checked_session(F.col("session"), F.col("session")))
         .groupBy("symbol", "session")
         .agg(*[c.alias(n) for n, c in aggregates.items()])
     )

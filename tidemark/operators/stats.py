@@ -132,10 +132,13 @@ def hac(
 ) -> DataFrame:
     """Bartlett-weighted mean test over a dated series.
 
-    ``lag`` is per row (default: the horizon) and at most ``max_lag``.  A series
+    ``lag`` is per row (default: the horizon).  ``max_lag`` is how far the sum is
+    written out; a longer lag fails the job, never shortens the sum.  A series
     has one row per date, so each window group is bounded by the calendar.
     """
     lag = F.col("horizon") if lag is None else lag
+    too_long = F.concat(F.lit(f"lag over max_lag = {max_lag}: "), lag.cast("string"))
+    lag = F.when(lag > max_lag, F.raise_error(too_long).cast("int")).otherwise(lag)
     order = Window.partitionBy(*by).orderBy(day)
     every = Window.partitionBy(*by)
     rows = effects.where(finite(F.col(value)).isNotNull()).withColumns(

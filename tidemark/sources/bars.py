@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.functions.identity import strict_symbol
 from tidemark.functions.numeric import finite
 from tidemark.operators.intervals import active
-from tidemark.operators.series import in_calendar, number_bars
+from tidemark.operators.series import checked_session, number_bars
 
 PRICES = ("open", "high", "low", "close")
 # Fixed value: the local-language name of the turnover column in older files.
@@ -26,7 +27,7 @@ def read_bars(spark: SparkSession, path: str, start: dt.date | None = None, end:
     df = spark.read.parquet(path)
     if "symbol" not in df.columns:
         df = df.withColumn("symbol", F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]{6})\.parquet$", 1)).where(F.col("symbol") != "")
-    df = df.withColumn("symbol", F.lpad(F.col("symbol").cast("string"), 6, "0"))
+    df = df.withColumn("symbol", strict_symbol(F.col("symbol")))
     if start is not None:
         df = df.where(F.col(day) >= F.lit(start))
     if end is not None:
@@ -46,7 +47,8 @@ def repeated_sessions(rows: DataFrame) -> DataFrame:
 
 
 def normalize_bars(raw: DataFrame, start: dt.date | None = None, end: dt.date | None = None, day: str | None = None) -> DataFrame:
-    """Typed, filtered and numbered bars; a repeated session fails the job.
+    """Typed, filtered and numbered bars; a repeated session fails the job, as does
+    a malformed symbol, an unparsable date or one outside the calendar.
 
     Order of steps: repeated sessions are looked for among all rows, then the
     range, then the price checks; ``prev_close`` is the close of the previous
@@ -59,16 +61,16 @@ def normalize_bars(raw: DataFrame, start: dt.date | None = None, end: dt.date |
         raise ValueError(f"bars lack columns: {missing or [day]}")
     amount = "amount" if "amount" in raw.columns else AMOUNT_FALLBACK if AMOUNT_FALLBACK in raw.columns else None
     null = F.lit(None).cast("double")
-    session = F.to_date(F.col(day)) if not isinstance(raw.schema[day].dataType, T.StringType) else F.expr(f"try_to_date(`{day}`)")
+    parsed = F.to_date(F.col(day)) if not isinstance(raw.schema[day].dataType, T.StringType) else F.expr(f"try_to_date(`{day}`)")
     columns = {
-        "symbol": F.lpad(F.col("symbol").cast("string"), 6, "0"),
-        "session": session,
+        "symbol": strict_symbol(F.col("symbol")),
+        "session": checked_session(parsed, F.col(day)),
         **{p: _number(raw, p) for p in PRICES},
         "volume": _number(raw, "volume") if "volume" in raw.columns else null,
         "amount": _number(raw, amount) if amount else null,
         "is_st": F.coalesce(F.col("is_st").cast("boolean"), F.lit(False)) if "is_st" in raw.columns else F.lit(False),
     }
-    typed = raw.select(*[c.alias(n) for n, c in columns.items()]).where(in_calendar(F.col("session")))
+    typed = raw.select(*[c.alias(n) for n, c in columns.items()])
     rest = [c for c in columns if c not in ("symbol", "session")]
     once = typed.groupBy("symbol", "session").agg(*[F.any_value(c).alias(c) for c in rest], F.count(F.lit(1)).alias("__n"))
     checked = once.withColumn(

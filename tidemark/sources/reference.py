@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.identity import SYMBOL, padded_symbol
+
 MEMBERSHIP = "symbol string, active_from string, active_to string, source string"
 # Listing states in reading order, and the marker inside names.
 LISTING_STATES = ("L", "D", "P", "G")
@@ -23,11 +25,11 @@ def read_memberships(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.schema(MEMBERSHIP).option("mode", "FAILFAST").json(path)
     start, end = as_day(F.col("active_from")), as_day(F.col("active_to"))
     bad = (
-        F.col("symbol").isNull() | start.isNull() | F.col("source").isNull()
+        ~F.coalesce(padded_symbol(F.col("symbol")).rlike(SYMBOL), F.lit(False)) | start.isNull() | F.col("source").isNull()
         | ((F.coalesce(F.col("active_to"), F.lit("")) != "") & end.isNull()) | F.coalesce(end < start, F.lit(False))
     )
     line = F.to_json(F.struct(*rows.columns))
-    symbol = F.when(bad, F.raise_error(F.concat(F.lit("invalid membership line: "), line)).cast("string")).otherwise(F.lpad("symbol", 6, "0"))
+    symbol = F.when(bad, F.raise_error(F.concat(F.lit("invalid membership line: "), line)).cast("string")).otherwise(padded_symbol(F.col("symbol")))
     return rows.select(symbol.alias("symbol"), start.alias("active_from"), end.alias("active_to"), "source")
 
 
@@ -35,9 +37,9 @@ def normalize_listing(basics: DataFrame, order: str = "row_number") -> DataFrame
     """One row per symbol: the first delisted record, else the last read.
 
     States are read in LISTING_STATES order and rows by ``order`` inside one;
-    rows without a usable date are dropped.  An aggregate picks the winner.
+    rows without a usable date or with a code of more than six characters are dropped.  An aggregate picks the winner.
     """
-    symbol = F.lpad(F.coalesce(F.col("symbol").cast("string"), F.lit("")), 6, "0")
+    symbol = padded_symbol(F.coalesce(F.col("symbol").cast("string"), F.lit("")))
     rows = basics.withColumns({"symbol": symbol, "active_from": as_day(F.col("list_date"))})
     rows = rows.where((F.length("symbol") == 6) & F.col("active_from").isNotNull() & F.col("list_status").isin(*LISTING_STATES))
     gone = F.col("list_status") == "D"
@@ -51,7 +53,7 @@ def normalize_listing(basics: DataFrame, order: str = "row_number") -> DataFrame
 def st_intervals(names: DataFrame) -> DataFrame:
     """Intervals during which the name carried the marker."""
     return names.where(F.col("name").contains(ST_MARKER)).select(
-        F.lpad(F.col("symbol").cast("string"), 6, "0").alias("symbol"),
+        padded_symbol(F.col("symbol")).alias("symbol"),
         as_day(F.coalesce(F.col("start_date"), F.lit(OPEN_START))).alias("active_from"),
         as_day(F.col("end_date")).alias("active_to"),
         "name",

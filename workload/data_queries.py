@@ -7,6 +7,7 @@ import datetime as dt
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.identity import padded_symbol
 from tidemark.operators import coverage as cv
 from tidemark.operators import cross_section as cs
 from tidemark.operators import events as ev
@@ -65,9 +66,9 @@ def normalize_bars(spark, sf):
     return c.publish(df.select("symbol", "session", *PX, "volume", "amount", "bar_ix", "prev_close"))
 
 
-@query("SELECT lpad(CAST(l_suppkey AS VARCHAR), 6, '0') AS symbol, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS session, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+@query("SELECT CASE WHEN l_suppkey < 100000 THEN lpad(CAST(l_suppkey AS VARCHAR), 6, '0') ELSE CAST(l_suppkey AS VARCHAR) END AS symbol, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS session, count(*) AS copies FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
 def repeated_sessions(spark, sf):
-    li = c.table(spark, sf, "lineitem").select(F.lpad(F.col("l_suppkey").cast("string"), 6, "0").alias("symbol"), F.to_date("l_shipdate").alias("session"))
+    li = c.table(spark, sf, "lineitem").select(padded_symbol(F.col("l_suppkey")).alias("symbol"), F.to_date("l_shipdate").alias("session"))
     return c.publish(sb.repeated_sessions(li))
 
 
@@ -118,7 +119,7 @@ def read_memberships(spark, sf):
 
 
 @query("""WITH b AS (SELECT lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS symbol, CASE o_orderstatus WHEN 'F' THEN 'D' WHEN 'O' THEN 'L' ELSE 'P' END AS st, o_orderkey AS n,
-   CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS af, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 30 END AS ato FROM orders),
+   CASE WHEN o_orderpriority = '5-LOW' THEN NULL ELSE CAST(o_orderdate AS DATE) END AS af, CASE WHEN o_orderstatus = 'F' THEN CAST(o_orderdate AS DATE) + 30 END AS ato FROM orders WHERE o_custkey < 1000000),
  k AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY (st = 'D') DESC, CASE WHEN st = 'D' THEN -n WHEN st = 'L' THEN 1 ELSE 3 END DESC, n DESC) AS rn FROM b WHERE af IS NOT NULL)
  SELECT symbol, st AS list_status, CAST(af AS VARCHAR) AS active_from, CAST(ato AS VARCHAR) AS active_to FROM k WHERE rn = 1""")
 def normalize_listing(spark, sf):
@@ -132,7 +133,7 @@ def normalize_listing(spark, sf):
     return c.publish(ref.normalize_listing(basics).select("symbol", "list_status", "active_from", "active_to"))
 
 
-@query("""SELECT lpad(CAST(p_partkey AS VARCHAR), 6, '0') AS symbol, p_type AS name, CAST(CASE WHEN p_size > 40 THEN DATE '1970-01-01' ELSE CAST(try_strptime('199001' || lpad(CAST(p_size AS VARCHAR), 2, '0'), '%Y%m%d') AS DATE) END AS VARCHAR) AS active_from,
+@query("""SELECT CASE WHEN p_partkey < 100000 THEN lpad(CAST(p_partkey AS VARCHAR), 6, '0') ELSE CAST(p_partkey AS VARCHAR) END AS symbol, p_type AS name, CAST(CASE WHEN p_size > 40 THEN DATE '1970-01-01' ELSE CAST(try_strptime('199001' || lpad(CAST(p_size AS VARCHAR), 2, '0'), '%Y%m%d') AS DATE) END AS VARCHAR) AS active_from,
   CASE WHEN p_retailprice > 950 THEN '2001-12-31' END AS active_to FROM part WHERE p_type LIKE '%ST%'""")
 def st_intervals(spark, sf):
     p = c.table(spark, sf, "part").select(

@@ -102,7 +102,7 @@ def bm25(spark, sf):
 _KEY = r"regexp_replace(lower({x}), '[^\p{{L}}\p{{N}}]', '', 'g')"
 _T, _Q = _KEY.format(x="title"), _KEY.format(x="b.text")
 _ENT = rf"""list_filter(list_transform(string_split_regex(title, '[与和、，,（）()]+'), lambda e: {_KEY.format(x='e')}), lambda e: length(e) >= 2)"""
-_SEARCH = f"""{_BM}, sc AS (SELECT tk.*, {_T} AS tt, {_Q} AS qq, {_ENT} AS ents FROM tk JOIN cards USING (card_id) JOIN benchmark b ON b.item_id = tk.query_id WHERE rn <= 15),
+_SEARCH = f"""{_BM}, sc AS (SELECT tk.*, {_T} AS tt, {_Q} AS qq, {_ENT} AS ents FROM tk JOIN cards USING (card_id) JOIN benchmark b ON b.item_id = tk.query_id),
  fin AS (SELECT *, bm25 + CASE WHEN tt = qq THEN 8.0 WHEN qq <> '' AND starts_with(tt, qq) THEN 5.0 WHEN qq <> '' AND contains(tt, qq) THEN 2.0 ELSE 0.0 END + CASE WHEN len(list_filter(ents, lambda e: contains(qq, e))) > 0 THEN 4.0 ELSE 0.0 END AS score FROM sc),
  top AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, card_id) AS position FROM fin)"""
 
@@ -123,7 +123,7 @@ def answers(spark, sf):
 @query("""WITH k AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS rn, count(*) OVER (PARTITION BY text) AS copies FROM conversations)
  SELECT conv_id, turn, sha256(text) AS sha256, copies FROM k WHERE rn = 1""")
 def conversation_first_copies(spark, sf):
-    d = c.table(spark, sf, "conversations").withColumn("ord", F.col("conv_id") * 1000 + F.col("turn"))
+    d = c.table(spark, sf, "conversations").withColumn("ord", F.struct("conv_id", "turn"))
     return evd.first_copies(d, F.col("text"), "ord", ("conv_id", "turn")).select("conv_id", "turn", "sha256", "copies")
 
 
