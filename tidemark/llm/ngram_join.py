@@ -242,38 +242,68 @@ def _verify(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_settle(percent), "a long, b long")
 
 
-def _promising(percent: int, most: int):
-    """One tile of a segment's members: pairs across components that the bit bound allows,
-    at most ``most`` for each pair of components; ``cut`` tells that there were more."""
-
-    def run(key, left, right=None):
-        import pandas as pd
-
-        own = right is None
-        right = left if own else right
-        rows_l, rows_r = left.reset_index(drop=True), right.reset_index(drop=True)
-        bits = _folded([*rows_l["bitmap"], *rows_r["bitmap"]])
-        bl, br = bits[: len(rows_l)], bits[len(rows_l) :]
-        nr, cr, ir = (rows_r[c].to_numpy() for c in ("n", "component", "id"))
-        found = []
-        for i in range(len(rows_l)):
-            n, c, d = int(rows_l["n"][i]), rows_l["component"][i], rows_l["id"][i]
-            at = np.flatnonzero((cr != c) & ((ir > d) if own else True) & (100 * np.minimum(nr, n) >= percent * np.maximum(nr, n)))
-            if not len(at):
-                continue
-            only_l = np.bitwise_count(bl[i] & ~br[at]).sum(axis=1).astype(np.int64)
-            only_r = np.bitwise_count(br[at] & ~bl[i]).sum(axis=1).astype(np.int64)
-            bound = _most_common(n, nr[at], only_l, only_r)
-            for j in np.flatnonzero(_links(bound, n, nr[at], percent)):
-                found.append((d, ir[at[j]], min(c, cr[at[j]]), max(c, cr[at[j]]), bound[j] / (n + nr[at[j]] - bound[j])))
-        out = pd.DataFrame(found, columns=["a", "b", "ca", "cb", "likeness"]).sort_values(["likeness", "a", "b"], ascending=[False, True, True])
-        rank = out.groupby(["ca", "cb"]).cumcount()
-        out = out.assign(cut=(rank == most).astype(bool))[(rank <= most).to_numpy()]
-        return out[["a", "b", "cut"]].astype({"a": "int64", "b": "int64"})
+def _promising(rows: list[tuple], cross: bool, percent: int, most: int) -> list[tuple[int, int, bool]]:
+    """One tile, rows (id, component, n, bitmap, block): pairs across components that the
+    bit bound allows, the likeliest ``most`` of each pair of components. One more is
+    given with a mark, to tell that there are more."""
+    ids, comps, sizes = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+    blocks = np.array([r[4] for r in rows])
+    bits = _folded([r[3] for r in rows])
+    found = []
+    for i in range(len(rows)):
+        other = (blocks > blocks[i]) if cross else (ids > ids[i])
+        at = np.flatnonzero(other & (comps != comps[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
+        if not len(at):
+            continue
+        only_i = np.bitwise_count(bits[i] & ~bits[at]).sum(axis=1).astype(np.int64)
+        only_at = np.bitwise_count(bits[at] & ~bits[i]).sum(axis=1).astype(np.int64)
+        bound = _most_common(sizes[i], sizes[at], only_i, only_at)
+        for k in np.flatnonzero(_links(bound, sizes[i], sizes[at], percent)):
+            j = at[k]
+            pair = (min(comps[i], comps[j]), max(comps[i], comps[j]))
+            found.append((-bound[k] / (sizes[i] + sizes[j] - bound[k]), int(ids[i]), int(ids[j]), pair))
+    found.sort()
+    counts: dict[tuple, int] = {}
+    out = []
+    for _, x, y, pair in found:
+        rank = counts[pair] = counts.get(pair, -1) + 1
+        if rank <= most:
+            out.append((x, y, rank == most))
+    return out
+
+
+def _tiles(percent: int, most: int):
+    """Rows sorted by tile -> pairs; a task holds one tile (two blocks of limited size) at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tile, rows, out = None, [], []
+
+        def settle():
+            if len(rows) > 1:
+                out.extend(_promising(rows, tile[1] != tile[2], percent, most))
+
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("key", "i", "j", "id", "component", "n", "bitmap", "block"))
+            for key, i, j, *row in zip(*columns):
+                if (key, i, j) != tile:
+                    settle()
+                    tile, rows = (key, i, j), []
+                rows.append(tuple(row))
+            if out:
+                yield _pairs_batch(out)
+                out.clear()
+        settle()
+        yield _pairs_batch(out)
 
     return run
 
 
+def _pairs_batch(out: list[tuple[int, int, bool]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())], names=["a", "b", "cut"]
+    )
+
+
 def _open_pairs(groups: DataFrame, signatures: DataFrame, labels: DataFrame, percent: int, most: int) -> DataFrame:
     """Pairs across components, in segments that still have several of them."""
     members = groups.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
@@ -288,16 +318,7 @@ def _open_pairs(groups: DataFrame, signatures: DataFrame, labels: DataFrame, per
     dealt = full.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("block", i).alias("i"), F.greatest("block", i).alias("j")))
     copies = dealt.select("key", "id", "component", "n", "bitmap", "block", F.explode(every).alias("t")).select("key", "t.i", "t.j", "block", "id", "component", "n", "bitmap")
-    test = _promising(percent, most)
-
-    def tile(key, pdf):
-        _, i, j = key
-        if i == j:
-            return test(key, pdf)
-        left, right = pdf[pdf["block"] == i], pdf[pdf["block"] == j]
-        return test(key, left, right) if len(left) and len(right) else test(key, pdf[:0])
-
-    return copies.groupBy("key", "i", "j").applyInPandas(tile, "a long, b long, cut boolean")
+    return copies.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(percent, most), "a long, b long, cut boolean")
 
 
 # ---- the operator ------------------------------------------------------------
