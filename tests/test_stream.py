@@ -26,6 +26,7 @@ def _follow(spark, bars, rule, study, root, cuts, bench, members):
         part.coalesce(1).write.mode("append").parquet(f"{root}/in")
         # a new query per arrival: state has to come back from storage
         run.start(inc.read_bar_stream(spark, f"{root}/in"), f"{root}/checkpoint").awaitTermination()
+    run.finish(spark)
     return run
 
 
@@ -56,16 +57,47 @@ def test_recursive_rule_keeps_its_whole_series(spark, make_bars, walk, tmp_path)
 
 def test_late_and_repeated_bars_are_turned_away(spark, make_bars, walk, tmp_path):
     bars = make_bars({"600000": walk(40, 41)})
-    run = inc.FutureRun(ru.breakdown_rule(), equal_weight_benchmark(bars), _members(spark, ["600000"]), str(tmp_path), oc.Study(horizons=(1,)))
+    run = inc.FutureRun(ru.breakdown_rule(), equal_weight_benchmark(bars), _members(spark, ["600000"]), str(tmp_path), oc.Study(horizons=(1,)), late_days=0)
     pick = lambda lo, hi: bars.where(f"bar_ix between {lo} and {hi}").select(*_columns())
-    run.process(pick(0, 29), 0)
-    twice = pick(28, 39).unionByName(pick(35, 35))
+    run.process(pick(0, 19).unionByName(pick(21, 29)), 0)
+    twice = pick(28, 39).unionByName(pick(35, 35)).unionByName(pick(20, 20))
     run.process(twice, 1)
     run.process(twice, 1)  # replay after a failure: same tables
     got = {(r["session"].day, r["reason"]) for r in run.rejects(spark).collect()}
     days = lambda i: bars.where(f"bar_ix = {i}").first()["session"].day
-    assert got == {(days(28), "out_of_order"), (days(29), "repeated_session"), (days(35), "repeated_session")}
-    assert run.last_tail(spark).agg(F.max("bar_ix")).first()[0] == 39
+    assert got == {(days(20), "out_of_order"), (days(28), "repeated_session"), (days(29), "repeated_session"), (days(35), "repeated_session")}
+    assert run.last_tail(spark).agg(F.max("bar_ix")).first()[0] == 38
+
+
+def test_order_and_batches_of_files_change_nothing(spark, make_bars, walk, tmp_path):
+    bars = make_bars({"600000": walk(160, 21), "300001": walk(150, 22)})
+    study, rule = oc.Study(horizons=(1, 5)), ru.breakdown_rule()
+    bench, members = equal_weight_benchmark(bars), _members(spark, ["600000", "300001"])
+    want = _batch(bars, rule, study, bench, members)
+    for files in (1, 100):
+        root = tmp_path / str(files)
+        for k in (2, 0, 3, 1):  # every file holds bars of the whole time, and they come in no order
+            bars.where((F.col("bar_ix") + F.length("symbol")) % 4 == k).select(*_columns()).coalesce(1).write.mode("append").parquet(f"{root}/in")
+        run = inc.FutureRun(rule, bench, members, str(root), study, late_days=200)
+        run.start(inc.read_bar_stream(spark, f"{root}/in", files_per_batch=files), f"{root}/checkpoint").awaitTermination()
+        run.finish(spark)
+        assert run.rejects(spark).count() == 0
+        got = {(r["symbol"], r["session"], r["horizon"]): round(r["excess_return"], 10) for r in run.outcomes(spark).collect()}
+        assert got == want and want
+
+
+def test_outcomes_wait_for_their_benchmark(spark, make_bars, walk, tmp_path):
+    bars = make_bars({"600000": walk(90, 21)})
+    study, rule = oc.Study(horizons=(1, 5)), ru.breakdown_rule()
+    bench, members = equal_weight_benchmark(bars), _members(spark, ["600000"])
+    half = bars.where("bar_ix = 45").first()["session"]
+    run = inc.FutureRun(rule, bench.where(F.col("session") <= F.lit(half)), members, str(tmp_path), study, late_days=0)
+    run.process(bars.where("bar_ix < 80").select(*_columns()), 0)
+    early = run.outcomes(spark).count()
+    run.benchmark = bench
+    run.process(bars.where("bar_ix >= 80").select(*_columns()), 1)
+    got = {(r["symbol"], r["session"], r["horizon"]): round(r["excess_return"], 10) for r in run.outcomes(spark).collect()}
+    assert early < len(got) and got == _batch(bars, rule, study, bench, members)
 
 
 def test_tail_and_status(spark, make_bars, tmp_path):
@@ -73,6 +105,7 @@ def test_tail_and_status(spark, make_bars, tmp_path):
     bars = make_bars({"600000": rows})
     run = inc.FutureRun(ru.breakdown_rule(), equal_weight_benchmark(bars), _members(spark, ["600000"]), str(tmp_path), oc.Study(horizons=(1, 2, 3, 5)))
     run.process(bars.select(*_columns()), 0)
+    run.finish(spark)
     assert sorted(r["horizon"] for r in run.tail_purged(spark).collect()) == [3, 5]
     state = lambda as_of, end: inc.run_status(run.outcomes(spark), bars, D(2020, 1, 10), end, as_of, 5).first()
     assert state(D(2020, 1, 5), D(2020, 1, 20))["status"] == "waiting"

@@ -1,11 +1,18 @@
 """The event study on bars that keep arriving.
 
-Each micro-batch of bars is joined to the tail of its symbols' series, run
-through the same operators as the batch study, and the outcomes whose exit bar
-arrived in this batch are appended.  Everything the next batch needs lives in
-tables under one folder of shared storage::
-
-    tail/batch=<id>      last bars of every symbol (the state)
+Arrived bars are held until the newest session seen is ``late_days`` past
+theirs; only then do they join their symbols' series, in session order.  So how
+files fall into batches, and in which order they come, changes nothing within
+that time.  Released bars run through the same operators as the batch study, and
+the outcomes whose exit bar was released are appended once their benchmark is
+known.  Everything the next batch needs lives in tables under one folder of
+shared storage::
+
+    clock/batch=<id>     newest session seen
+    held/batch=<id>      bars that wait for their session to close
+    tail/batch=<id>      last released bars of every symbol (the state)
+    arrived, work, matured/batch=<id>  what a batch reads more than once
+    waiting/batch=<id>   matured outcomes whose benchmark isn't known yet
     outcomes/batch=<id>  outcomes that matured in the batch
     rejects/batch=<id>   late or repeated bars with the reason
 
@@ -48,6 +55,7 @@ class FutureRun:
     memberships: DataFrame
     root: str
     study: oc.Study = field(default_factory=oc.Study)
+    late_days: int = 40
 
     @property
     def tail_bars(self) -> int | None:
@@ -67,45 +75,86 @@ class FutureRun:
 
     # -- one micro-batch ------------------------------------------------------
     def process(self, batch: DataFrame, batch_id: int) -> None:
+        self._step(batch, batch_id, final=False)
+
+    def finish(self, spark: SparkSession) -> None:
+        """No more bars will come: release what is held."""
+        newest = spark.read.parquet(f"{self.root}/clock").agg(F.max("batch")).first()[0]
+        self._step(spark.createDataFrame([], BAR_SCHEMA), newest + 1, final=True)
+
+    def _step(self, batch: DataFrame, batch_id: int, final: bool) -> None:
         spark = batch.sparkSession
-        old = self._tail(spark, batch_id - 1)
-        fresh, rejects = self._accept(batch, old)
+        old = self._read(spark, "tail", batch_id - 1)
+        arrived, rejects = self._arrive(batch, old, self._read(spark, "held", batch_id - 1))
         self._write(rejects, "rejects", batch_id)
+        self._write(arrived, "arrived", batch_id)
+        arrived = self._read(spark, "arrived", batch_id)
+        sessions = arrived.select("session") if old is None else arrived.select("session").union(old.select("session"))
+        self._write(sessions.agg(F.max("session").alias("seen")), "clock", batch_id)
+        seen = self._read(spark, "clock", batch_id)
+        open_ = F.lit(False) if final else F.col("session") > F.date_sub(seen.scalar(), self.late_days)
+        self._write(arrived.where(open_), "held", batch_id)
+        fresh = self._release(arrived.where(~open_), old)
         work = fresh if old is None else unite(old.withColumn("is_new", F.lit(False)), fresh)
-        # the state of this batch, written once and read by both steps below
+        self._write(work, "work", batch_id)
+        work = self._read(spark, "work", batch_id)
         self._write(self._trim(work), "tail", batch_id)
-        self._write(self._matured(work), "outcomes", batch_id)
-
-    def _accept(self, batch: DataFrame, old: DataFrame | None) -> tuple[DataFrame, DataFrame]:
-        """New bars numbered on from the state, and the bars turned away.
-
-        Copies inside the batch fold in an aggregate.  Membership is asked once,
-        when the date arrives, and stays with the bar.
+        matured = self._matured(work)
+        waiting = self._read(spark, "waiting", batch_id - 1)
+        if waiting is not None:
+            matured = matured.unionByName(oc.benchmark_return(waiting.drop("benchmark_return"), self.benchmark).select(*matured.columns))
+        self._write(matured, "matured", batch_id)
+        matured = self._read(spark, "matured", batch_id)
+        known = F.col("benchmark_return").isNotNull()
+        self._write(matured.where(~known), "waiting", batch_id)
+        self._write(self._completed(matured.where(known)), "outcomes", batch_id)
+
+    def _arrive(self, batch: DataFrame, old: DataFrame | None, held: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """Bars that wait or may be released, and the bars turned away.
+
+        Copies fold in an aggregate; what was held before wins over what comes
+        now.  A bar at or before its symbol's last released session is late.
         """
         rest = [c for c in batch.columns if c not in ("symbol", "session")]
-        once = batch.groupBy("symbol", "session").agg(F.min_by(F.struct(*rest), "available_at").alias("r"), F.count(F.lit(1)).alias("copies"))
-        once = once.select("symbol", "session", "r.*", "copies")
+        rows = batch.withColumn("__new", F.lit(1))
+        if held is not None:
+            rows = rows.unionByName(held.withColumn("__new", F.lit(0)))
+        once = rows.groupBy("symbol", "session").agg(
+            F.min_by(F.struct(*rest), F.struct("__new", *rest)).alias("r"), F.sum("__new").alias("came"), F.min("__new").alias("__new")
+        )
+        once = once.select("symbol", "session", "r.*", "came", "__new")
         if old is None:
-            joined = once.withColumns({"__last": F.lit(None).cast("date"), "__ix": F.lit(-1).cast("long"), "__close": F.lit(None).cast("double")})
+            joined = once.withColumns({"__last": F.lit(None).cast("date"), "__known": F.lit(False)})
         else:
-            heads = old.groupBy("symbol").agg(F.max(F.struct("bar_ix", "session", "close")).alias("h"))
-            heads = heads.select("symbol", F.col("h.session").alias("__last"), F.col("h.bar_ix").alias("__ix"), F.col("h.close").alias("__close"))
-            joined = once.join(heads, "symbol", "left").withColumn("__ix", F.coalesce("__ix", F.lit(-1)))
+            heads = old.groupBy("symbol").agg(F.max("session").alias("__last"))
+            known = old.select("symbol", "session", F.lit(True).alias("__known"))
+            joined = once.join(heads, "symbol", "left").join(known, ["symbol", "session"], "left")
         late = F.coalesce(F.col("session") <= F.col("__last"), F.lit(False))
+        extra = F.col("came") - F.when(late, 0).otherwise(F.col("__new"))
+        reason = F.when(late & ~F.coalesce("__known", F.lit(False)), "out_of_order").otherwise("repeated_session")
+        turned = joined.withColumn("rows", extra).where("rows > 0").select("symbol", "session", reason.alias("reason"), "rows")
+        return joined.where(~late).select(*batch.columns), turned
+
+    def _release(self, bars: DataFrame, old: DataFrame | None) -> DataFrame:
+        """Closed bars numbered on from the state.
+
+        Membership is asked once, when the bar joins its series, and stays with it.
+        """
+        if old is None:
+            joined = bars.withColumns({"__ix": F.lit(-1).cast("long"), "__close": F.lit(None).cast("double")})
+        else:
+            heads = old.groupBy("symbol").agg(F.max(F.struct("bar_ix", "close")).alias("h"))
+            heads = heads.select("symbol", F.col("h.bar_ix").alias("__ix"), F.col("h.close").alias("__close"))
+            joined = bars.join(heads, "symbol", "left").withColumn("__ix", F.coalesce("__ix", F.lit(-1)))
         order = by_symbol()
-        fresh = joined.where(~late).withColumns(
+        fresh = joined.withColumns(
             {
                 "bar_ix": F.col("__ix") + F.row_number().over(order),
                 "prev_close": F.coalesce(F.lag("close").over(order), F.col("__close")),
                 "is_new": F.lit(True),
             }
         )
-        fresh = active(fresh.drop("__last", "__ix", "__close", "copies"), self.memberships)
-        reason = F.when(F.col("session") == F.col("__last"), "repeated_session").when(late, "out_of_order").otherwise("repeated_session")
-        turned = joined.where(late | (F.col("copies") > 1)).select(
-            "symbol", "session", reason.alias("reason"), (F.col("copies") - F.when(late, 0).otherwise(1)).alias("rows")
-        )
-        return fresh, turned
+        return active(fresh.drop("__ix", "__close"), self.memberships)
 
     def _trim(self, work: DataFrame) -> DataFrame:
         rows = work.drop("is_new")
@@ -115,24 +164,27 @@ class FutureRun:
         return rows.withColumn("__last", last).where(F.col("bar_ix") > F.col("__last") - self.tail_bars).drop("__last")
 
     def _matured(self, work: DataFrame) -> DataFrame:
-        """Outcomes whose exit bar is one of the new bars."""
+        """Outcomes whose exit bar is one of the new bars, with or without benchmark."""
         keep = work.columns
         flagged = prepare(work, [self.rule]).withColumn("is_signal", matches(self.rule)).select(*keep, "is_signal")
         first_new = F.min(F.when(F.col("is_new"), F.col("bar_ix"))).over(Window.partitionBy("symbol"))
         flagged = flagged.withColumn("first_new", first_new)
         rows = oc.outcomes(flagged, self.benchmark, self.study, where=F.col("is_signal") & F.col("is_member"))
-        matured = (F.col("bar_ix") + F.col("horizon") >= F.col("first_new")) & F.col("benchmark_return").isNotNull()
-        return rows.where(matured).select(
+        matured = rows.where(F.col("bar_ix") + F.col("horizon") >= F.col("first_new"))
+        return matured.select("symbol", "session", "bar_ix", "entry_at", "exit_at", "horizon", "net_return", "benchmark_return")
+
+    def _completed(self, matured: DataFrame) -> DataFrame:
+        return matured.select(
             F.lit(self.rule.id).alias("rule_id"), "symbol", "session", "bar_ix", "entry_at", "exit_at", "horizon", F.lit("completed").alias("status"),
-            "net_return", "benchmark_return", F.col("net_excess_return").alias("excess_return"), F.lit(self.study.round_trip).alias("cost_round_trip"),
+            "net_return", "benchmark_return", (F.col("net_return") - F.col("benchmark_return")).alias("excess_return"), F.lit(self.study.round_trip).alias("cost_round_trip"),
         )
 
     # -- tables ---------------------------------------------------------------
     def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch={batch_id}")
 
-    def _tail(self, spark: SparkSession, batch_id: int) -> DataFrame | None:
-        return None if batch_id < 0 else spark.read.parquet(f"{self.root}/tail/batch={batch_id}")
+    def _read(self, spark: SparkSession, table: str, batch_id: int) -> DataFrame | None:
+        return None if batch_id < 0 else spark.read.parquet(f"{self.root}/{table}/batch={batch_id}")
 
     def outcomes(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.root}/outcomes")
@@ -161,11 +213,9 @@ class FutureRun:
         )
 
 
-def read_bar_stream(spark: SparkSession, path: str, files_per_batch: int = 1, late: str = "40 days") -> DataFrame:
-    """Bar files as a stream; the watermark is what later time-bound steps use."""
-    return (
-        spark.readStream.schema(BAR_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path).withWatermark("available_at", late)
-    )
+def read_bar_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
+    """Bar files as a stream.  What is late is decided by ``FutureRun``, against its own tables."""
+    return spark.readStream.schema(BAR_SCHEMA).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
 def append_once(existing: DataFrame, rows: DataFrame, key: list[str] = KEY) -> DataFrame:

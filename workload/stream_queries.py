@@ -16,7 +16,7 @@ from workload.study_queries import BREAKDOWN, STUDY, study_ctes, study_rows
 
 S = "CAST(session AS VARCHAR) AS session"
 D = dt.date
-CUTS = (D(1995, 1, 1), D(1998, 1, 1), D(2000, 6, 1), D(2002, 1, 1))
+CUTS = (None, D(1998, 1, 1), D(2000, 6, 1), None)
 
 _ctes = [x.replace(f"AND n_bars >= {lookback(BREAKDOWN) + max(STUDY.horizons) + 1} AND bar_ix < n_bars - 1 ", "") for x in study_ctes()]
 
@@ -31,11 +31,13 @@ def followed(spark, sf, repeat: bool = False) -> inc.FutureRun:
     bars = c.raw_bars(spark, sf).select(*[f.split()[0] for f in inc.BAR_SCHEMA.split(", ")])
     run = inc.FutureRun(BREAKDOWN, c.benchmark(spark, sf), c.memberships(spark, sf), root, STUDY)
     for lo, hi in zip(CUTS, CUTS[1:]):
-        part = bars.where((F.col("session") >= F.lit(lo)) & (F.col("session") < F.lit(hi)))
-        if repeat:  # the last weeks of the period before come again
+        since = F.lit(True) if lo is None else F.col("session") >= F.lit(lo)
+        part = bars.where(since if hi is None else since & (F.col("session") < F.lit(hi)))
+        if repeat and lo is not None:  # the last weeks of the period before come again
             part = part.unionByName(bars.where((F.col("session") >= F.date_sub(F.lit(lo), 20)) & (F.col("session") < F.lit(lo))))
         part.write.mode("append").parquet(f"{root}/in")
         run.start(inc.read_bar_stream(spark, f"{root}/in", files_per_batch=100_000), f"{root}/checkpoint").awaitTermination()
+    run.finish(spark)
     return run
 
 
@@ -54,7 +56,7 @@ def incremental_tail(spark, sf):
     return c.publish(followed(spark, sf).tail_purged(spark).select("symbol", "session", "horizon", "status"))
 
 
-@query(with_bars(select=f"SELECT symbol, {S}, CASE WHEN session = max(session) OVER (PARTITION BY symbol, per) THEN 'repeated_session' ELSE 'out_of_order' END AS reason, 1::BIGINT AS rows FROM (SELECT *, CASE WHEN session < DATE '1998-01-01' THEN 1 WHEN session < DATE '2000-06-01' THEN 2 ELSE 3 END AS per FROM rawbars) QUALIFY (per = 1 AND session >= DATE '1998-01-01' - 20) OR (per = 2 AND session >= DATE '2000-06-01' - 20)"))
+@query(with_bars(select=f"SELECT symbol, {S}, 'repeated_session' AS reason, 1::BIGINT AS rows FROM (SELECT *, CASE WHEN session < DATE '1998-01-01' THEN 1 WHEN session < DATE '2000-06-01' THEN 2 ELSE 3 END AS per FROM rawbars) QUALIFY (per = 1 AND session >= DATE '1998-01-01' - 20) OR (per = 2 AND session >= DATE '2000-06-01' - 20)"))
 def incremental_rejects(spark, sf):
     """Bars that arrive again a batch later are turned away with a reason."""
     return c.publish(followed(spark, sf, repeat=True).rejects(spark).select("symbol", "session", "reason", "rows"))
