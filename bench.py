@@ -20,7 +20,7 @@ HEADLINE = [
     "event_study", "forward_outcomes", "rsi_outcomes", "catalogue_scan", "smoothed_indicators", "rolling_indicators", "entry_exit_pairs",
     "wide_screen_groups", "screen_verdict", "grammar_signal_counts", "cooldown", "event_overlap", "hac_tests", "rule_ranking", "context_profiles",
     "normalize_bars", "row_issues", "member_year_coverage", "fill_gaps", "daily_ic", "latest_visible_revision", "effective_session",
-    "search_cards", "html_text_exact", "document_first_copies", "span_revisions", "incremental_outcomes",
+    "search_cards", "html_text_builtin", "document_first_copies", "span_revisions", "incremental_outcomes",
 ]
 
 

@@ -12,7 +12,7 @@ from tidemark.operators import pit, quality
 from tidemark.schema import conform
 from tidemark.sources import bars as sb
 from tidemark.sources import reference as ref
-from tidemark.sources.snapshot import content_snapshot, snapshot_id, verify_snapshot
+from tidemark.sources.snapshot import content_snapshot, read_files, snapshot_id, verify_snapshot
 
 D = dt.date
 BAR = "symbol string, date date, open double, high double, low double, close double, volume double"
@@ -54,7 +54,7 @@ def test_bad_membership_line_fails(spark, tmp_path):
 def test_snapshot_and_verification(spark, tmp_path):
     for n in "abc":
         (tmp_path / f"{n}.parquet").write_bytes(n.encode() * 1000)
-    snap = content_snapshot(spark, {"r": str(tmp_path)})
+    snap = content_snapshot(read_files(spark, {"r": str(tmp_path)}))
     import hashlib
 
     assert {r["sha256"] for r in snap.collect()} == {"sha256:" + hashlib.sha256(n.encode() * 1000).hexdigest() for n in "abc"}
@@ -64,7 +64,7 @@ def test_snapshot_and_verification(spark, tmp_path):
     (tmp_path / "b.parquet").write_bytes(b"b")
     (tmp_path / "c.parquet").unlink()
     (tmp_path / "d.parquet").write_bytes(b"d")
-    fresh = content_snapshot(spark, {"r": str(tmp_path)})
+    fresh = content_snapshot(read_files(spark, {"r": str(tmp_path)}))
     got = {r["path"][-9]: r["reason"] for r in verify_snapshot(manifest, fresh).collect()}
     assert got == {"a": "content_mismatch", "b": "size_mismatch", "c": "missing", "d": "not_in_manifest"}
     assert snapshot_id(fresh).first()[0] != before

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 from tidemark.functions import text as tx
 from tidemark.operators import evidence as evd
 from tidemark.operators import search as se
-from tidemark.sources.pages import html_to_text, page_text
 
 CARD = "card_id string, status string, title string, claim string, evidence_refs array<struct<citation string, locator string>>, limitations array<string>"
 
@@ -54,11 +53,22 @@ def test_answers_or_refuses(spark):
     assert got[2]["status"] == "insufficient_evidence"
 
 
-def test_html_forms_agree_on_plain_markup(spark):
+def test_html_text(spark):
     html = "<html><head><style>p{}</style><script>var a='</p>';</script></head><body><h1>T &amp; x</h1><p>one<br/>two</p>\n\n\n<div>a <b>b</b></div></body></html>"
-    exact = html_to_text(spark.createDataFrame([(1, html)], "page_id long, html string")).first()
-    simple = spark.range(1).select(tx.html_text(F.lit(html)).alias("t")).first()["t"]
-    assert exact["text"] == page_text(html) == simple and exact["title"] == "T & x"
+    got = spark.range(1).select(tx.html_text(F.lit(html)).alias("t")).first()["t"]
+    assert got == "T & x\n\none\n\ntwo\n\na b"
+
+
+def test_exact_title_counts_however_low_its_terms_rank(spark):
+    filler = [(f"kc_{i}", "published", f"note {i}", "alpha alpha alpha") for i in range(30)]
+    cards = _cards(spark, [*filler, ("kc_title", "published", "alpha", "many other words that make this card long and its only term light " * 5)])
+    assert se.search(cards, _ask(spark, "alpha"), 1).first()["card_id"] == "kc_title"
+
+
+def test_cycle_of_revisions_is_an_error(spark):
+    rows = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, None)], "span_id long, supersedes_id long")
+    with pytest.raises(ValueError, match="cycle"):
+        evd.revisions(rows)
 
 
 def test_revisions_of_a_long_chain(spark):

@@ -78,10 +78,7 @@ def title_entities(title: Column) -> Column:
 
 
 def html_text(html: Column) -> Column:
-    """Tag stripping with built-ins, for markup without oddities.
-
-    ``sources.pages.html_to_text`` is the exact form with a real parser.
-    """
+    """Tag stripping with built-ins, for markup without oddities."""
     x = F.regexp_replace(html, "(?is)<(script|style)\\b[^>]*>.*?</\\1\\s*>", "")
     x = F.regexp_replace(x, "(?is)<!--.*?-->|<![^>]*>", "")
     # a self-closing tag counts as an opening and a closing one

@@ -102,9 +102,9 @@ def member_years(memberships: DataFrame, bars: DataFrame, calendar: DataFrame, y
     m = m.withColumns({"__r0": F.coalesce("__r0", F.lit(0)), "__r1": F.coalesce("__r1", F.lit(0))})
     m = m.withColumn("expected", (F.col("__r1") - F.col("__r0")).cast("long"))
 
-    ranked = bars.select("symbol", "session").join(pos.select(F.col("day").alias("session"), "rank"), "session")
+    ranked = bars.select("symbol", "session", F.year("session").alias("year")).join(pos.select(F.col("day").alias("session"), "rank"), "session")
     seen = (
-        ranked.join(m.select("symbol", "active_from", "year", "start", "stop"), "symbol")
+        ranked.join(m.select("symbol", "active_from", "year", "start", "stop"), ["symbol", "year"])
         .where(F.col("session").between(F.col("start"), F.col("stop")))
         .groupBy("symbol", "active_from", "year")
         .agg(F.count(F.lit(1)).alias("observed"), F.min("rank").alias("__lo"), F.max("rank").alias("__hi"))

@@ -52,24 +52,38 @@ def group_statistics(bars: DataFrame, rules: list[Rule], benchmark: DataFrame, s
 
 
 def signal_counts(bars: DataFrame, rules: list[Rule], study: oc.Study, memberships: DataFrame | None = None) -> DataFrame:
-    """Signals per rule, also for rules whose signals have no outcome."""
-    names = F.array(*[F.lit(r.name) for r in rules])
+    """Signals per rule: one row for every rule, with 0 where it never matched."""
     hits = each_match(matched_bars(bars, rules, study, memberships, ahead=False).select("matched"))
-    return hits.groupBy("rule").agg(F.count(F.lit(1)).alias("signals")).select(F.element_at(names, F.col("rule") + 1).alias("rule_id"), "signals")
+    counts = hits.groupBy("rule").agg(F.count(F.lit(1)).alias("signals"))
+    return _every(bars, rules).join(counts, "rule", "left").select("rule_id", F.coalesce("signals", F.lit(0)).alias("signals"))
+
+
+def _every(bars: DataFrame, rules: list[Rule]) -> DataFrame:
+    """(rule, rule_id) of the run; a handful of rows."""
+    return F.broadcast(bars.sparkSession.createDataFrame([(i, r.name) for i, r in enumerate(rules)], "rule int, rule_id string"))
 
 
 def screen(bars: DataFrame, rules: list[Rule], benchmark: DataFrame, study: oc.Study, memberships: DataFrame | None = None) -> DataFrame:
-    """One verdict per rule that had out-of-sample groups."""
-    return stats.screen_verdict(group_statistics(bars, rules, benchmark, study, memberships), study)[1]
+    """One verdict per rule; a rule without out-of-sample groups is rejected."""
+    judged = stats.screen_verdict(group_statistics(bars, rules, benchmark, study, memberships), study)[1]
+    out = _every(bars, rules).join(judged, "rule_id", "left").drop("rule")
+    return out.withColumns(
+        {
+            "passing_groups": F.coalesce("passing_groups", F.lit(0)),
+            "passing_horizons": F.coalesce("passing_horizons", F.lit(0)),
+            "rejection_reason": F.when(F.col("status").isNull(), "no_passing_group").otherwise(F.col("rejection_reason")),
+            "status": F.coalesce("status", F.lit("rejected")),
+        }
+    )
 
 
 def screen_without_duplicates(
-    bars: DataFrame, rules: list[Rule], benchmark: DataFrame, study: oc.Study, memberships: DataFrame | None = None, sample: int = 30
+    bars: DataFrame, rules: list[Rule], benchmark: DataFrame, study: oc.Study, memberships: DataFrame | None = None
 ) -> DataFrame:
     """``screen`` with near-duplicates of better rules rejected.
 
-    Similarity is measured on the first ``sample`` loadable symbols, as that is
-    what the comparison is defined on.  The verdict table (one row per rule) and
+    Similarity is measured on the bars of every loadable symbol: co-occurrence
+    counts add up over symbols, so none has to be left out.  The verdict table (one row per rule) and
     the pair table (one row per pair of passing rules) come to the driver; bars
     never do.
     """
@@ -79,9 +93,7 @@ def screen_without_duplicates(
     if not passed:
         return verdict.withColumn("cluster", F.lit(None).cast("int"))
     chosen = [rules[place[name]] for name in passed]
-    first = long_enough(bars, rules, study).select("symbol").distinct().orderBy("symbol").limit(sample)
-    subset = bars.join(F.broadcast(first), "symbol", "left_semi")
-    hits = matched_bars(subset, chosen, study, memberships, ahead=False)
+    hits = matched_bars(long_enough(bars, rules, study), chosen, study, memberships, ahead=False)
     pairs = events.jaccard_pairs(events.cooccurrence(hits, len(chosen))).collect()
     similar = {(p["i"], p["j"]): p["jaccard"] for p in pairs}
     clusters = events.drop_near_duplicates(similar, list(range(len(chosen))), study.duplicate_jaccard)

@@ -1,60 +1,37 @@
-"""Content snapshots of files."""
+"""Content snapshots of files, or of any table of (role, path, content)."""
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_CHUNK = 8 << 20
-
-
-def content_snapshot(spark: SparkSession, roles: dict[str, str], pattern: str = "*.parquet") -> DataFrame:
-    """(role, path, size, sha256) of every file under each role's folder.
 
-    Paths and sizes come from Spark's file index without reading content.  The
-    bytes are then hashed where the path lands, in chunks through Arrow's file
-    systems, so a file of any size costs a task constant memory (a binary column
-    would hold it whole and stop at 2 GB).
-    """
-    listing = None
+def read_files(spark: SparkSession, roles: dict[str, str], pattern: str = "*.parquet") -> DataFrame:
+    """(role, path, content) of every file under each role's folder, by Spark's own
+    file source, hence from any store Spark reads. A file is one value (2 GB at most)."""
+    files = None
     for role, folder in sorted(roles.items()):
-        files = (
-            spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
-            .select(F.lit(role).alias("role"), "path", F.col("length").alias("size"))
-        )
-        listing = files if listing is None else listing.unionByName(files)
-
-    def digest(batches):
-        from pyarrow import fs
+        found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(folder)
+        found = found.select(F.lit(role).alias("role"), "path", "content")
+        files = found if files is None else files.unionByName(found)
+    return files
 
-        for pdf in batches:
-            sums = []
-            for path in pdf["path"]:
-                uri = path if "://" in path else "file://" + path.removeprefix("file:")
-                system, inner = fs.FileSystem.from_uri(uri)
-                h = hashlib.sha256()
-                with system.open_input_stream(inner) as stream:
-                    while chunk := stream.read(_CHUNK):
-                        h.update(chunk)
-                sums.append("sha256:" + h.hexdigest())
-            yield pd.DataFrame({"role": pdf["role"], "path": pdf["path"], "size": pdf["size"], "sha256": sums})
 
-    spread = listing.repartition("path")
-    return spread.mapInPandas(digest, "role string, path string, size long, sha256 string")
+def content_snapshot(files: DataFrame) -> DataFrame:
+    """(role, path, size, sha256) of each content; nothing is shuffled."""
+    content = F.col("content").cast("binary")
+    return files.select("role", "path", F.length(content).cast("long").alias("size"), F.concat(F.lit("sha256:"), F.sha2(content, 256)).alias("sha256"))
 
 
 def snapshot_id(snapshot: DataFrame) -> DataFrame:
     """One digest over the file list in (role, path) order.
 
     The list holds one short entry per file; it is folded in two steps, first
-    per 4,096 path-hash groups and then over the group digests, so no task ever
+    per 4,096 groups of paths and then over the group digests, so no task ever
     holds the whole list.
     """
     entry = F.concat_ws("|", "role", "path", F.col("size").cast("string"), "sha256")
-    group = F.pmod(F.xxhash64("path"), F.lit(4096))
+    group = F.substring(F.sha2("path", 256), 1, 3)
     parts = snapshot.groupBy(group.alias("g")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list(entry)), "\n"), 256).alias("d"))
     joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), "\n")
     return parts.agg(F.concat(F.lit("sha256:"), F.sha2(joined, 256)).alias("snapshot_id"))

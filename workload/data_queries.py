@@ -94,12 +94,12 @@ def adjust_prices(spark, sf):
     return c.publish(sb.adjust_prices(b).select("symbol", "bar_ix", "open", "close"))
 
 
-@query(with_bars("old AS (SELECT symbol, session, close, amount FROM rawbars WHERE session BETWEEN DATE '2000-06-01' AND DATE '2001-06-30')",
+@query(with_bars("old AS (SELECT symbol, session, close, amount FROM rawbars WHERE session <= DATE '2001-06-30')",
     "new AS (SELECT symbol, session, close + 1 AS close, amount * 1000 AS amount FROM rawbars WHERE session >= DATE '2001-01-01' AND volume <> 50)",
     select=f"SELECT coalesce(n.symbol, o.symbol) AS symbol, CAST(coalesce(n.session, o.session) AS VARCHAR) AS session, {r('coalesce(n.close, o.close)', 'close')}, {r('coalesce(n.amount, o.amount)', 'amount', 2)} FROM old o FULL JOIN new n ON n.symbol = o.symbol AND n.session = o.session"))
 def upsert_bars(spark, sf):
     b = c.raw_bars(spark, sf)
-    existing = b.where(F.col("session").between(F.lit(D(2000, 6, 1)), F.lit(D(2001, 6, 30)))).select("symbol", "session", "close", "amount")
+    existing = b.where(F.col("session") <= F.lit(D(2001, 6, 30))).select("symbol", "session", "close", "amount")
     vendor = b.where(F.col("session") >= F.lit(D(2001, 1, 1))).select(
         F.concat("symbol", F.lit(".X")).alias("ts_code"), F.date_format("session", "yyyyMMdd").alias("trade_date"), *PX,
         F.col("open").alias("pre_close"), F.col("volume").alias("vol"), "amount",
@@ -144,26 +144,38 @@ def st_intervals(spark, sf):
     return c.publish(ref.st_intervals(p))
 
 
-@query()
+# Pages are the files: the role is the site's language, the path the url with its id.
+_SNAP = """snap AS (SELECT regexp_extract(url, '://[^/]*/([a-z]*)', 1) AS role, url || '#' || page_id AS path, octet_length(encode(html)) AS size, 'sha256:' || sha256(html) AS sha256 FROM pages)"""
+
+
+def _snapshot(spark, sf):
+    p = c.table(spark, sf, "pages")
+    path = F.concat("url", F.lit("#"), F.col("page_id").cast("string"))
+    return content_snapshot(p.select(F.regexp_extract("url", "://[^/]*/([a-z]*)", 1).alias("role"), path.alias("path"), F.col("html").alias("content")))
+
+
+@query(f"WITH {_SNAP} SELECT role, path, size::BIGINT AS size, sha256 FROM snap")
 def file_snapshot(spark, sf):
-    """Hash of every given file; file access is outside SQL: rows only."""
-    return content_snapshot(spark, {"tables": sf}).select("role", "size", "sha256")
+    return _snapshot(spark, sf)
 
 
-@query()
+@query(f"""WITH {_SNAP}, e AS (SELECT substr(sha256(path), 1, 3) AS g, concat_ws('|', role, path, size::VARCHAR, sha256) AS entry FROM snap),
+ d AS (SELECT g, sha256(string_agg(entry, chr(10) ORDER BY entry)) AS d FROM e GROUP BY 1) SELECT 'sha256:' || sha256(string_agg(d, chr(10) ORDER BY g)) AS snapshot_id FROM d""")
 def file_snapshot_id(spark, sf):
-    return snapshot_id(content_snapshot(spark, {"tables": sf}))
+    return snapshot_id(_snapshot(spark, sf))
 
 
-@query()
+@query(f"""WITH {_SNAP} SELECT role, path, CASE WHEN role = 'de' THEN 'not_in_manifest' WHEN role = 'fr' THEN 'size_mismatch' ELSE 'content_mismatch' END AS reason FROM snap WHERE role IN ('de', 'fr', 'es')
+ UNION ALL SELECT 'gone', path, 'missing' FROM snap WHERE role = 'de'""")
 def file_snapshot_verification(spark, sf):
-    """A manifest with a wrong size, a wrong hash and a lost file against the files."""
-    fresh = content_snapshot(spark, {"tables": sf})
-    name = F.element_at(F.split("path", "/"), -1)
-    manifest = fresh.where(name != "region.parquet").withColumns(
-        {"size": F.when(name == "part.parquet", F.col("size") + 1).otherwise(F.col("size")), "sha256": F.when(name == "nation.parquet", "sha256:0").otherwise(F.col("sha256"))}
+    """A manifest with a wrong size, a wrong hash, files of a lost role and files it never had."""
+    fresh = _snapshot(spark, sf)
+    role = F.col("role")
+    manifest = fresh.select(
+        F.when(role == "de", "gone").otherwise(role).alias("role"), "path", F.when(role == "fr", F.col("size") + 1).otherwise(F.col("size")).alias("size"),
+        F.when(role == "es", "sha256:0").otherwise(F.col("sha256")).alias("sha256"),
     )
-    return verify_snapshot(manifest, fresh).select(F.element_at(F.split("path", "/"), -1).alias("file"), "reason")
+    return verify_snapshot(manifest, fresh)
 
 
 @query(with_bars(*study_ctes(), select="SELECT 'breakdown' AS rule_id, symbol, horizon::BIGINT AS horizon, count(*) AS outcomes FROM outc GROUP BY 1, 2, 3"))

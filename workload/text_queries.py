@@ -9,7 +9,6 @@ from tidemark.functions import text as tx
 from tidemark.operators import evidence as evd
 from tidemark.operators import search as se
 from tidemark.operators import series
-from tidemark.sources import pages as pg
 from workload import common as c
 from workload.common import query, r
 
@@ -44,13 +43,6 @@ def html_text_builtin(spark, sf):
     return p.select("page_id", F.md5("t").alias("text_hash"), tx.first_line(F.col("t")).alias("title"))
 
 
-@query()
-def html_text_exact(spark, sf):
-    """A real parser in Arrow batches: rows only."""
-    p = pg.html_to_text(c.table(spark, sf, "pages"))
-    return p.select("page_id", "title", F.length("text").cast("long").alias("chars"))
-
-
 @query("SELECT count(*) AS pages_total, count(*) FILTER (WHERE length(html) > 0) AS pages_with_text, sum(length(html))::BIGINT AS characters FROM pages")
 def page_statistics(spark, sf):
     return c.publish(evd.page_statistics(c.table(spark, sf, "pages"), "html"))
@@ -112,12 +104,25 @@ def search_cards(spark, sf):
     return c.publish(se.search(cards(spark, sf), questions(spark, sf), 5).select("query_id", "card_id", "score", "position"), 6)
 
 
-@query()
+# For answers both sides carry Chinese text: some questions share three
+# characters with a claim, some share nothing.
+_ASKED = "asked AS (SELECT item_id, text || CASE item_id % 3 WHEN 0 THEN ' 锤子线见底' WHEN 1 THEN ' 天气如何' ELSE ' 乌云盖顶' END AS text FROM benchmark)"
+_CLAIM = "d.text || CASE WHEN d.lang = 'en' THEN ' 出现锤子线见底' ELSE ' 乌云盖顶之后' END AS claim"
+_GRAMS = "list_filter({x}, lambda g: length(g) = {n})"
+_QC, _BC = _CJK.format(x="b.text"), _CJK.format(x="c.title || ' ' || c.claim || ' ' || c.limitation")
+_ANSWERS = _SEARCH.replace("d.text AS claim", _CLAIM).replace("FROM benchmark", "FROM asked").replace("JOIN benchmark b", "JOIN asked b")
+
+
+@query(f"""WITH {_ASKED}, {_ANSWERS}, hit AS (SELECT top.query_id, top.card_id, top.position, top.score, {_QC} AS qc, {_BC} AS bc, len(list_filter(top.ents, lambda e: length(e) >= 3 AND contains(top.qq, e))) > 0 AS direct
+   FROM top JOIN cards c USING (card_id) JOIN asked b ON b.item_id = top.query_id WHERE top.position <= 3),
+ rel AS (SELECT *, bool_or(direct) OVER (PARTITION BY query_id) AS any_direct FROM hit WHERE score >= 1 AND (list_has_any({_GRAMS.format(x='qc', n=3)}, {_GRAMS.format(x='bc', n=3)}) OR len(list_intersect({_GRAMS.format(x='qc', n=2)}, {_GRAMS.format(x='bc', n=2)})) >= 2)),
+ lst AS (SELECT query_id, string_agg(card_id, ',' ORDER BY position) AS cards FROM rel WHERE direct OR NOT any_direct GROUP BY 1)
+ SELECT item_id AS query_id, CASE WHEN cards IS NULL THEN 'insufficient_evidence' ELSE 'answered' END AS status, cards FROM asked LEFT JOIN lst ON query_id = item_id""")
 def answers(spark, sf):
-    """Relevance gate and answer list; the given texts hold no CJK, so every
-    question is refused here (the tests cover the answered case): rows only."""
-    q = questions(spark, sf)
-    return se.answers(q, se.search(cards(spark, sf), q, 3)).select("query_id", "status", F.array_join("cards", ",").alias("cards"))
+    more = F.when(F.col("query_id") % 3 == 0, " 锤子线见底").when(F.col("query_id") % 3 == 1, " 天气如何").otherwise(" 乌云盖顶")
+    q = questions(spark, sf).withColumn("text", F.concat("text", more))
+    k = cards(spark, sf).withColumn("claim", F.concat("claim", F.when(F.col("limitations")[0] == "en", " 出现锤子线见底").otherwise(" 乌云盖顶之后")))
+    return se.answers(q, se.search(k, q, 3)).select("query_id", "status", F.array_join("cards", ",").alias("cards"))
 
 
 @query("""WITH k AS (SELECT conv_id, turn, role, text, row_number() OVER (PARTITION BY text ORDER BY conv_id, turn) AS rn, count(*) OVER (PARTITION BY text) AS copies FROM conversations)
