@@ -182,3 +182,13 @@ def test_drawdown_counts_the_starting_capital(spark):
     got = {r["year"]: r for r in cs.path_statistics(spark.createDataFrame(rows, "session date, daily_return double")).collect()}
     assert got[2020]["max_drawdown"] == pytest.approx(-0.5) and got[2020]["compounded"] == pytest.approx(0.0)
     assert got[2021]["compounded"] == pytest.approx(0.1)
+
+
+def test_bad_symbols_and_dates_are_not_cut_or_lost(spark):
+    rows = lambda symbol, day: spark.createDataFrame([(symbol, day, 1.0, 2.0, 0.5, 1.0, 9.0)], "symbol string, date string, open double, high double, low double, close double, volume double")
+    assert sb.normalize_bars(rows("7", "2020-01-02")).first()["symbol"] == "000007"
+    for symbol, day, what in (("1234567", "2020-01-02", "not a symbol"), ("60000x", "2020-01-02", "not a symbol"), ("600000", "2150-01-02", "not a session"), ("600000", "soon", "not a session")):
+        with pytest.raises(Exception, match=what):
+            sb.normalize_bars(rows(symbol, day)).collect()
+    listing = spark.createDataFrame([(1234567, "20200101", None, "L", 1), (12, "20200101", None, "L", 2)], "symbol long, list_date string, delist_date string, list_status string, row_number long")
+    assert [r["symbol"] for r in ref.normalize_listing(listing).collect()] == ["000012"]

@@ -83,3 +83,15 @@ def test_grid_fills_the_valuation_only(make_bars):
 def test_unknown_indicator_is_refused(make_bars):
     with pytest.raises(ValueError):
         add_indicators(make_bars({"600000": [(1, 1, 1, 1)]}), {("nope", 3)})
+
+
+def test_means_remember_what_lies_many_blocks_back(make_bars, walk):
+    rows = walk(600, seed=7)
+    last = rows[-1][3]
+    rows += [(last, last, last, last, 100)] * 2100
+    close = pd.Series([b[3] for b in rows])
+    got = _frame(add_indicators(make_bars({"600000": rows}), {("rsi", 14)}), "rsi_14")
+    delta = close.diff()
+    gain = delta.clip(lower=0).ewm(alpha=1 / 14, adjust=False).mean()
+    loss = (-delta.clip(upper=0)).ewm(alpha=1 / 14, adjust=False).mean()
+    np.testing.assert_allclose(got["rsi_14"][14:], (100 - 100 / (1 + gain / loss))[14:], atol=1e-6)

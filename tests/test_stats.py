@@ -109,3 +109,11 @@ def test_runs_of_two_rules_cannot_be_summarised(spark):
     assert stats.run_summary(rows, runs("a", "a")).first()["runs"] == 2
     with pytest.raises(Exception, match="different rules"):
         stats.run_summary(rows, runs("a", "b")).collect()
+
+
+def test_lag_beyond_the_sum_fails(spark):
+    rows = [("r", 40, "all", dt.date(2020, 1, 1) + dt.timedelta(days=i), 0.01 * (i % 7)) for i in range(90)]
+    df = spark.createDataFrame(rows, "rule_id string, horizon int, regime string, session date, effect double")
+    with pytest.raises(Exception, match="lag over max_lag"):
+        stats.hac(df).collect()
+    assert stats.hac(df, max_lag=40).first()["standard_error"] > 0
