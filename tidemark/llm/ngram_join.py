@@ -27,7 +27,7 @@ capped: a link between different components can't be missed.
 Defined cases: NULL or wordless texts have an empty set and link with nothing; a
 text of fewer words than n has its whole word sequence as the one member; rows
 with a NULL id count as copies of others only; repeated rows get the same
-component; rows of one id with several texts are one node, linked by any of them;
+component; of several texts under one id one is compared;
 an empty table gives an empty table; further columns are ignored.
 """
 
@@ -46,7 +46,7 @@ from tidemark.llm.components import components
 from tidemark.runtime import stage
 
 BLOCK_BYTES = 4 << 20
-FIRST_PAIRS = 8
+FIRST_PAIRS = 64
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -218,28 +218,37 @@ def _links(common, size_a, size_b, percent: int):
 
 
 def _settle(percent: int):
-    """Pairs with both signatures -> the pairs that link."""
+    """Rows (a, b, id, n, bitmap, members) sorted by pair, one for each side -> the pairs that link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 64):
-            keep = []
-            rows = (batch[c].to_pylist() for c in ("n_a", "n_b", "bitmap_a", "bitmap_b", "members_a", "members_b"))
-            for na, nb, xa, xb, ma, mb in zip(*rows):
-                bits = _folded([xa, xb])
-                only = np.bitwise_count(bits & ~bits[::-1]).sum(axis=1)
-                if not _links(min(na - int(only[0]), nb - int(only[1])), na, nb, percent):
-                    keep.append(False)
-                    continue
-                common = len(np.intersect1d(np.frombuffer(ma, np.uint64), np.frombuffer(mb, np.uint64), assume_unique=True))
-                keep.append(bool(_links(common, na, nb, percent)))
-            yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        held = None  # the first side of the pair whose second comes next
+        for batch in slices(batches, 128):
+            linked = []
+            for row in zip(*(batch[c].to_pylist() for c in ("a", "b", "id", "n", "bitmap", "members"))):
+                if held is None or held[:2] != row[:2] or held[2] == row[2]:
+                    held = row
+                elif _linked(held[3:], row[3:], percent):
+                    linked.append(row[:2])
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in linked], pa.int64()), pa.array([x[1] for x in linked], pa.int64())], names=["a", "b"])
 
     return run
 
 
+def _linked(one: tuple, other: tuple, percent: int) -> bool:
+    (n, bits, members), (m, other_bits, other_members) = one, other
+    rows = _folded([bits, other_bits])
+    only = np.bitwise_count(rows & ~rows[::-1]).sum(axis=1)
+    if not _links(_most_common(n, m, int(only[0]), int(only[1])), n, m, percent):
+        return False
+    common = len(np.intersect1d(np.frombuffer(members, np.uint64), np.frombuffer(other_members, np.uint64), assume_unique=True))
+    return bool(_links(common, n, m, percent))
+
+
 def _verify(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    side = lambda c: signatures.select(F.col("id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("n", "bitmap", "members")])
-    return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_settle(percent), "a long, b long")
+    """Pairs (a, b) that link. Both sides come from one join, so signatures cross one exchange."""
+    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(signatures, "id")
+    sides = sides.select("a", "b", "id", "n", "bitmap", "members")
+    return sides.repartition("a", "b").sortWithinPartitions("a", "b", "id").mapInArrow(_settle(percent), "a long, b long")
 
 
 def _promising(rows: list[tuple], cross: bool, percent: int, most: int) -> list[tuple[int, int, bool]]:
