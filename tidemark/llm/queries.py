@@ -98,6 +98,32 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.label(table(spark, sf_dir, "documents"), [F.col("doc_id")])
 
 
+OP4_SQL = r"""
+WITH u AS (SELECT row_number() OVER () AS rid, page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) END AS rest FROM pages),
+hp AS (SELECT rid, page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+       coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+ru AS (SELECT *, CASE WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+       WHEN (host = 'example.org' OR ends_with(host, '.example.org')) AND starts_with(path, '/es/') THEN 'example.org/es/'
+       WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR ends_with(host, '.com')) AND starts_with(path, '/de/') THEN 'com/de/'
+       WHEN (host = 'org' OR ends_with(host, '.org')) AND starts_with(path, '/') THEN 'org/' END AS rule FROM hp),
+sy AS (SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS ruled,
+       '^' || regexp_replace(translate(host || path, '0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZ', '0000000000abcdefghijklmnopqrstuvwxyz'), '[^a-z0./_-]', '~', 'g') || '$' AS s FROM ru),
+ends AS (SELECT rid, ruled, s, unnest(range(2, length(s) + 1)) AS e FROM sy),
+gr AS (SELECT rid, ruled, substr(s, e - k + 1, k) AS g FROM ends, (VALUES (1), (2), (3)) v(k) WHERE k <= e),
+seen AS (SELECT g, length(g) AS k, substr(g, 1, length(g) - 1) AS c, count(*) FILTER (WHERE ruled = 'allow') AS na, count(*) FILTER (WHERE ruled = 'block') AS nr
+         FROM gr WHERE ruled IS NOT NULL GROUP BY g HAVING count(*) >= CASE WHEN length(g) = 1 THEN 1 ELSE 3 END),
+tot AS (SELECT k, c, sum(na) AS ta, sum(nr) AS tr FROM seen GROUP BY 1, 2),
+t AS (SELECT seen.*, ta, tr FROM seen JOIN tot USING (k, c)),
+p1 AS (SELECT g, (na + 2.0::DOUBLE * (1.0::DOUBLE / 34)) / (ta + 2.0::DOUBLE) AS pa, (nr + 2.0::DOUBLE * (1.0::DOUBLE / 34)) / (tr + 2.0::DOUBLE) AS pr, 0.0::DOUBLE AS below FROM t WHERE k = 1),
+p2 AS (SELECT t.g, (na + 2.0::DOUBLE * p.pa) / (ta + 2.0::DOUBLE) AS pa, (nr + 2.0::DOUBLE * p.pr) / (tr + 2.0::DOUBLE) AS pr, ln(p.pa / p.pr) AS below FROM t JOIN p1 p ON p.g = substr(t.g, 2) WHERE k = 2),
+p3 AS (SELECT t.g, (na + 2.0::DOUBLE * p.pa) / (ta + 2.0::DOUBLE) AS pa, (nr + 2.0::DOUBLE * p.pr) / (tr + 2.0::DOUBLE) AS pr, ln(p.pa / p.pr) AS below FROM t JOIN p2 p ON p.g = substr(t.g, 2) WHERE k = 3),
+d AS (SELECT g, ln(pa / pr) - below AS delta FROM (SELECT * FROM p1 UNION ALL SELECT * FROM p2 UNION ALL SELECT * FROM p3)),
+total AS (SELECT rid, sum(coalesce(delta, 0.0)) AS total FROM gr LEFT JOIN d USING (g) GROUP BY 1),
+sc AS (SELECT sy.*, round(total / (length(s) - 1), 4) AS score FROM sy JOIN total USING (rid))
+SELECT page_id, host, path, rule, CASE WHEN ruled IS NOT NULL THEN ruled WHEN score >= (SELECT quantile_cont(score, 0.01) FROM sc WHERE ruled = 'allow') THEN 'allow' ELSE 'block' END AS verdict, score FROM sc
+"""
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), packing.Capacity(tokens=SEQUENCE))
 
@@ -109,4 +135,4 @@ QUERIES = {
         op8_fingerprints, op9_license_scan, op10_best_fit_packing,
     )
 }
-ORACLES = {"op6_quality_rules": OP6_SQL}
+ORACLES = {"op4_url_filter": OP4_SQL, "op6_quality_rules": OP6_SQL}
