@@ -90,6 +90,7 @@ def revisions(chain: DataFrame) -> DataFrame:
     return done.select("span_id", "revision")
 
 
+# The wording of a citation.
 def citation_labels(spans_: DataFrame, pages: DataFrame, editions: DataFrame) -> DataFrame:
     """Citation text of each span.
 

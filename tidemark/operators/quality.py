@@ -25,6 +25,7 @@ def _bounds_broken() -> Column:
     return (F.col("high") < F.greatest("open", "low", "close")) | (F.col("low") > F.least("open", "high", "close"))
 
 
+# The issue codes and their priority, here and in ``row_issues``.
 def numeric_issue() -> Column:
     """Column by column null / non_finite first, then signs, then bounds."""
     cases: list[tuple[Column, str]] = []

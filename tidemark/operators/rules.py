@@ -121,6 +121,8 @@ def catalogue_rule(rule_id: str) -> Rule:
 
 
 # ---- the wide screen --------------------------------------------------------
+# The grids, thresholds and numbering of the screen, the grammar
+# and the base rules below.
 def screen_rules() -> list[Rule]:
     """178 candidates in 23 families, numbered in this order."""
     found: list[tuple[str, dict[str, float], Tree]] = []
@@ -188,6 +190,7 @@ def screen_rules() -> list[Rule]:
 
 
 # ---- the second grammar -----------------------------------------------------
+# Fixed values, as above.
 def grammar_rules() -> list[Rule]:
     """The discovery grammar in full: RSI 7/14/21, reversals, combinations."""
     found: list[tuple[str, dict[str, float], Tree]] = []
@@ -245,6 +248,7 @@ def breakdown_rule() -> Rule:
     return Rule("breakdown", "1.0.0", test("lt", metric("close"), metric("min_low", 20, -1)))
 
 
+# Fixed values, as above.
 def context_base_rules() -> list[Rule]:
     return [
         Rule("ctx_rsi_oversold", "1.0.0", test("lt", metric("rsi", 14), param("threshold")), {"threshold": 30.0}),

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import cjk_grams, key_text, title_entities, token_count, tokens
+from tidemark.runtime import stage
 
 # Our stated choice of the formula: idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
 K1 = 1.5
@@ -38,7 +39,8 @@ def term_weights(cards: DataFrame, queries: DataFrame) -> DataFrame:
     docs = published.select("card_id", tokens(F.col("body")).alias("t")).withColumn("len", F.size("t"))
     vocabulary = queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
     hits = docs.select("card_id", "len", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi")
-    tf = hits.groupBy("card_id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # read twice below; without the table every card would be tokenised for each
+    tf = stage(hits.groupBy("card_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     n = F.lit(0.0) + F.col("__t.n")
     idf = F.log(1.0 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
