@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOLDS = 5
+_FINE = 10**15
 WORD_BREAKS = "[\\x20\\x09-\\x0D]+"
 
 
@@ -33,14 +34,16 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.Re
 
 
 def bounded_sample(df: DataFrame, key: Column, rows: int, n: int | None = None) -> DataFrame:
-    """About ``rows`` rows, chosen by a hash of ``key``; all rows if there are no more.
+    """About ``rows`` rows, chosen by a hash of ``key`` (no NULLs); all rows if there are no more.
 
-    Used only to fit classifiers and to fill caches, never to choose results.
+    Used only to fit classifiers and to fill caches, never to choose results. The
+    hash is cut fine enough for any number of rows.
     """
+    df = df.filter(key.isNotNull())
     n = df.count() if n is None else n
     if n <= rows:
         return df
-    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(1_000_000)) < int(1_000_000 * rows / n))
+    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), key), F.lit(_FINE)) < _FINE * rows // n)
 
 
 def words(text: Column) -> Column:

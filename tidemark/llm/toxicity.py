@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import bounded_sample, slices
 from tidemark.runtime import stage
 
 # Signs that stand for letters.
@@ -197,10 +197,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, max_labels: int = 8_
     cost = character_model(docs)
     shared = spark.sparkContext.broadcast(cost)
     marked = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(F.col("doc_id").isNotNull() & F.col("toxic").isin(0, 1) & usable).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    chance = F.pmod(F.xxhash64(F.lit("labels"), "doc_id"), F.lit(1_000_000))
-    n = marked.count()
-    sample = marked if n <= max_labels else marked.filter(chance < int(1_000_000 * max_labels / n))
-    ids = {r["doc_id"]: r["toxic"] for r in sample.collect()}  # about max_labels pairs of numbers
+    ids = {r["doc_id"]: r["toxic"] for r in bounded_sample(marked, F.col("doc_id"), max_labels).collect()}  # about max_labels pairs of numbers
     wanted = spark.createDataFrame(list(ids.items()), "doc_id long, toxic int") if ids else None
     if wanted is None or len(set(ids.values())) < 2:
         return ToxicityModel(cost, {}, 0.0)
