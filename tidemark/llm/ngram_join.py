@@ -8,7 +8,7 @@ A document is the set of hashes of its n-grams. Two documents link when
    largest symmetric difference H that a link inside it can have. Each set is cut
    by hash value into H + 2 segments: of those, at least two are equal in linked
    sets, so the sets share a segment key even where one segment is empty.
-2. **Bounds.** Every set has a bitmap of hashed bits, about two a member. Each bit
+2. **Bounds.** Every set has a bitmap of hashed bits, four to eight a member. Each bit
    that only one side has is a member that only this side has, so bit counts bound
    the intersection from above; most pairs of a tile end there.
 3. **Exact.** What is left is settled by intersecting the sorted arrays.
@@ -20,9 +20,10 @@ Only components are asked for, so not every link is looked at: first every node
 is held against one other node of its segments, the one it shares most of them
 with. Segments whose nodes are then in one component need nothing more. In the
 others, all pairs across components are bounded inside blocks of limited size,
-and per tile and pair of components the most promising pairs are settled, ever
-more of them in each round, until a round had none to leave out. So nothing is
-capped: a link between different components can't be missed.
+and for each component its most promising pairs are settled, ever more of them in
+each round, until a round had none to leave out. So nothing is capped: a link
+between different components can't be missed, yet a round settles a few pairs a
+component, not the square of a group.
 
 Defined cases: NULL or wordless texts have an empty set and link with nothing; a
 text of fewer words than n has its whole word sequence as the one member; rows
@@ -38,7 +39,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import slices
@@ -46,7 +47,7 @@ from tidemark.llm.components import components
 from tidemark.runtime import stage
 
 BLOCK_BYTES = 4 << 20
-FIRST_PAIRS = 64
+FIRST_PAIRS = 4
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -179,7 +180,7 @@ def _shared_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _bitmap(hashes: np.ndarray) -> bytes:
-    width = max(64, 1 << (2 * len(hashes) - 1).bit_length())
+    width = max(64, 1 << (4 * len(hashes) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(hashes % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -251,9 +252,9 @@ def _verify(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
     return sides.repartition("a", "b").sortWithinPartitions("a", "b", "id").mapInArrow(_settle(percent), "a long, b long")
 
 
-def _promising(rows: list[tuple], cross: bool, percent: int, most: int) -> list[tuple[int, int, bool]]:
+def _promising(rows: list[tuple], cross: bool, percent: int, most: int) -> list[tuple]:
     """One tile, rows (id, component, n, bitmap, block): pairs across components that the
-    bit bound allows, the likeliest ``most`` of each pair of components. One more is
+    bit bound allows, the likeliest ``most`` of each component. One of the others is
     given with a mark, to tell that there are more."""
     ids, comps, sizes = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
     blocks = np.array([r[4] for r in rows])
@@ -272,13 +273,16 @@ def _promising(rows: list[tuple], cross: bool, percent: int, most: int) -> list[
             pair = (min(comps[i], comps[j]), max(comps[i], comps[j]))
             found.append((-bound[k] / (sizes[i] + sizes[j] - bound[k]), int(ids[i]), int(ids[j]), pair))
     found.sort()
-    counts: dict[tuple, int] = {}
-    out = []
-    for _, x, y, pair in found:
-        rank = counts[pair] = counts.get(pair, -1) + 1
-        if rank <= most:
-            out.append((x, y, rank == most))
-    return out
+    counts: dict[int, int] = {}
+    out, dropped = [], None
+    for score, x, y, (c, d) in found:
+        if min(counts.get(c, 0), counts.get(d, 0)) < most:
+            out.append((x, y, int(c), int(d), float(-score), False))
+            for k in (c, d):
+                counts[k] = counts.get(k, 0) + 1
+        else:
+            dropped = (x, y, int(c), int(d), float(-score), True)
+    return out + ([dropped] if dropped else [])
 
 
 def _tiles(percent: int, most: int):
@@ -307,10 +311,19 @@ def _tiles(percent: int, most: int):
     return run
 
 
-def _pairs_batch(out: list[tuple[int, int, bool]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays(
-        [pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_())], names=["a", "b", "cut"]
-    )
+PAIRS = "a long, b long, ca long, cb long, likeness double, cut boolean"
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ca", pa.int64()), ("cb", pa.int64()), ("likeness", pa.float64()), ("cut", pa.bool_())])
+
+
+def _pairs_batch(out: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_PAIRS)], schema=_PAIRS)
+
+
+def _best(pairs: DataFrame, most: int) -> DataFrame:
+    """Of the pairs of all tiles, the likeliest ``most`` of each component."""
+    rank = Window.partitionBy("component").orderBy(F.desc("likeness"), "a", "b")
+    ends = pairs.select("a", "b", "likeness", F.explode(F.array("ca", "cb")).alias("component"))
+    return ends.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= most).select("a", "b").distinct()
 
 
 def _open_pairs(groups: DataFrame, signatures: DataFrame, labels: DataFrame, percent: int, most: int) -> DataFrame:
@@ -327,7 +340,7 @@ def _open_pairs(groups: DataFrame, signatures: DataFrame, labels: DataFrame, per
     dealt = full.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("block", i).alias("i"), F.greatest("block", i).alias("j")))
     copies = dealt.select("key", "id", "component", "n", "bitmap", "block", F.explode(every).alias("t")).select("key", "t.i", "t.j", "block", "id", "component", "n", "bitmap")
-    return copies.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(percent, most), "a long, b long, cut boolean")
+    return copies.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(percent, most), PAIRS)
 
 
 # ---- the operator ------------------------------------------------------------
@@ -355,9 +368,10 @@ def join_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     labels = stage(components(links), "labels")
     while cut:
         tested = stage(_open_pairs(groups, signatures, labels, percent, most), "open-pairs")
-        found = tested.filter("NOT cut").select("a", "b").distinct()
+        pairs = tested.filter("NOT cut").groupBy("a", "b").agg(F.max("ca").alias("ca"), F.max("cb").alias("cb"), F.max("likeness").alias("likeness"))
+        found = stage(_best(pairs, most), "best-pairs")
         more = stage(_verify(found, signatures, percent), "links")
-        cut = bool(tested.filter("cut").limit(1).count())
+        cut = bool(tested.filter("cut").limit(1).count()) or found.count() < pairs.count()
         if more.limit(1).count():
             links = links.union(more)
             labels = stage(components(links), "labels")
