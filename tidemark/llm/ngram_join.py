@@ -8,7 +8,7 @@ A document is the set of hashes of its n-grams. Two documents link when
    largest symmetric difference H that a link inside it can have. Each set is cut
    by hash value into H + 2 segments: of those, at least two are equal in linked
    sets, so the sets share a segment key even where one segment is empty.
-2. **Bounds.** Every set has a bitmap of hashed bits, four to eight a member. Each bit
+2. **Bounds.** Every set has a bitmap of hashed bits, two to four a member. Each bit
    that only one side has is a member that only this side has, so bit counts bound
    the intersection from above; most pairs of a tile end there.
 3. **Exact.** What is left is settled by intersecting the sorted arrays.
@@ -180,7 +180,7 @@ def _shared_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 
 def _bitmap(hashes: np.ndarray) -> bytes:
-    width = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    width = max(64, 1 << (2 * len(hashes) - 1).bit_length())
     bits = np.zeros(width, np.uint8)
     bits[(hashes % np.uint64(width)).astype(np.int64)] = 1
     return np.packbits(bits, bitorder="little").tobytes()
@@ -333,13 +333,14 @@ def _open_pairs(groups: DataFrame, signatures: DataFrame, labels: DataFrame, per
     # segments with the same members need looking at once
     spans = spans.filter("lo < hi").groupBy("m", "who").agg(F.min("key").alias("key"))
     members = stage(members.join(spans, "key").select("key", "m", "id", "component"), "open-segments")
-    marks = signatures.select("id", "n", "bitmap")
-    full = members.join(marks, "id")
+    # blocks are dealt by sizes alone; bitmaps join last and cross one exchange
+    full = members.join(signatures.select("id", "n"), "id")
     per_block = F.greatest(F.lit(1), F.floor(BLOCK_BYTES / F.greatest(F.lit(64), F.col("n"))))  # a bitmap has n / 4 to n / 2 bytes, n alike in a tile
     blocks = full.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.min(F.least(per_block, F.lit(1024)))).cast("int").alias("blocks"))
     dealt = full.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("block", i).alias("i"), F.greatest("block", i).alias("j")))
-    copies = dealt.select("key", "id", "component", "n", "bitmap", "block", F.explode(every).alias("t")).select("key", "t.i", "t.j", "block", "id", "component", "n", "bitmap")
+    copies = dealt.select("key", "id", "component", "n", "block", F.explode(every).alias("t")).select("key", "t.i", "t.j", "block", "id", "component", "n")
+    copies = copies.join(signatures.select("id", "bitmap"), "id").select("key", "i", "j", "id", "component", "n", "bitmap", "block")
     return copies.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(percent, most), PAIRS)
 
 
