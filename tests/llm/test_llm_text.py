@@ -152,6 +152,20 @@ def test_toxicity_restores_disguised_words(spark):
     assert {r["score"] for r in toxicity.predict(df, unlabelled, [F.col("doc_id")]).collect()} == {0.0}
 
 
+@pytest.fixture(scope="module")
+def restorer(spark):
+    return toxicity.Restorer(toxicity.character_model(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+
+
+def test_toxicity_finds_disguises_at_the_edges_of_clauses(restorer):
+    for word in ("moron", "loser", "idiot", "clown", "trash", "scum"):
+        spelt = " ".join(word)
+        for text in (f"{spelt}!", f"{spelt}, go", f"so {spelt}.", f"({spelt})", f'"{spelt}"', f"a {spelt}", f"y {spelt}", f"{spelt} !", "  ".join(word), "\n".join(word), "_".join(word), "-".join(word)):
+            assert word in restorer.words(text), (word, text)
+    for text, word in (("$cum", "scum"), ("idio+", "idiot"), ("!diot", "idiot"), ("(lown", "clown"), ("(1diot)", "idiot"), ("tra$h!", "trash"), ("moroon", "moron"), ("loseer,", "loser")):
+        assert word in restorer.words(f"thin {text} heat"), text
+
+
 def test_toxicity_on_held_out_labels(spark):
     rows = queries.op3_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
     assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.95

@@ -2,7 +2,9 @@
 
 1. **Channel.** Text may be disguised: digits and signs for letters, letters set
    apart, letters repeated. Only spans that look like that are decoded (a sign or
-   digit followed by a letter, one letter three times, a row of single letters).
+   digit beside a letter, one letter twice, a row of single letters however wide
+   its gaps; punctuation around them and a first single letter are tried as not
+   belonging to them).
    A span becomes a lattice: each character may stand for itself, for the letters
    it resembles, for a repetition of the letter before, or for nothing. Viterbi
    finds the cheapest path under a character trigram model, whose counts come from
@@ -27,6 +29,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +41,6 @@ from tidemark.runtime import stage
 
 # Signs that stand for letters.
 LOOKS_LIKE = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "g", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e"}
-SEPARATORS = " .-_*·'"
 LETTERS = "abcdefghijklmnopqrstuvwxyzßàáâãäåæçèéêëìíîïðñòóôõöøùúûüýþÿœ"
 SIZE = len(LETTERS) + 1  # 0 is everything else
 _INDEX = {c: i + 1 for i, c in enumerate(LETTERS)}
@@ -46,14 +48,19 @@ _CODES = np.zeros(0x10000, np.int64)
 for _c, _i in _INDEX.items():
     _CODES[ord(_c)] = _i
 
-_L = f"[{LETTERS}]"
-_SIGN = "[" + re.escape("".join(LOOKS_LIKE)) + ".\\-_*·']"
-SPAN = re.compile(
-    f"(?<!\\S)(?:\\S[ .\\-_*·]){{3,}}\\S(?!\\S)"  # letters set apart
-    f"|(?<!\\S)(?=\\S{{3,40}}(?!\\S))(?=\\S*{_L})\\S*{_SIGN}(?=[^\\s,;:?!.]*{_L})\\S*"  # a sign inside a word
-    f"|(?<!\\S)\\S*({_L})\\1\\1\\S*"  # a letter three times
-)
-_QUICK = re.compile(f"{_SIGN}{_L}|(?<!\\S)\\S[ .\\-_*·]\\S[ .\\-_*·]\\S(?!\\w)|({_L})\\1\\1")
+_A = r"[^\W_]"
+# Single letters or digits set apart by anything else, with a sign on either side.
+SPACED = re.compile(f"{_A}(?!{_A})(?<!{_A}{_A})(?:[\\W_]++{_A}(?!{_A})){{2,}}")
+_BEFORE, _AFTER = re.compile(r"[@$!|+(€]\s*$"), re.compile(f"\\s*+[@$!|+(€](?!{_A})")
+_PUNCTUATION = re.compile("(?:[^\\w" + re.escape("".join(LOOKS_LIKE)) + "]|_)+")
+_GAP = re.compile(r"[\W_]+")
+_PLAIN = re.compile(f"(?:([{LETTERS}])(?!\\1))*+")  # letters, none of them twice in a row
+_DOUBLES = re.compile(f"([{LETTERS}])\\1")
+_LETTERS_ONLY = re.compile(f"(?:([{LETTERS}])(?!\\1\\1))++")  # none of them three times in a row
+_SIGNS = re.compile("[" + re.escape("".join(LOOKS_LIKE)) + "]")
+_LETTER = re.compile(f"[{LETTERS}]")
+_SIMPLE = re.compile(f"[^\\w!(@$|+€]*+(?:([{LETTERS}])(?!\\1))*+[^\\w!(@$|+€]*+")
+_OUTER = ".,;:?)[]{}<>\"'`«»“”„‘’…¿¡"  # punctuation that resembles no letter
 WORD = re.compile(r"[^\W\d_]+")
 SPELT, SIGN_COST, DROP_COST, REPEAT_COST, BEAM = 0.0, 1.0, 0.7, 0.4, 24
 
@@ -85,56 +92,135 @@ def character_model(docs: DataFrame) -> np.ndarray:
     return -np.log(three).astype(np.float32)
 
 
-def _arcs(ch: str, last: int) -> list[tuple[int, float]]:
-    """What a character may stand for: (letter or -1 for nothing, cost)."""
+@lru_cache(maxsize=100_000)
+def _arcs(ch: str, last: int, breaks: bool, signs: bool) -> tuple[tuple[int, float], ...]:
+    """What a character may stand for: (letter, 0 for the end of a word or -1 for nothing, cost)."""
     own = _INDEX.get(ch, 0)
     arcs = [(own, SPELT)] if own else []
     arcs += [(_INDEX[x], SIGN_COST) for x in LOOKS_LIKE.get(ch, "")]
-    if ch in SEPARATORS:
-        arcs.append((-1, DROP_COST / 2))
+    if signs and ch in LOOKS_LIKE:
+        arcs += [(-1, REPEAT_COST)] if last and LETTERS[last - 1] in LOOKS_LIKE[ch] else []
     elif not own:
-        arcs.append((-1, DROP_COST * 3))
-    if own and own == last:
+        drop = DROP_COST * 3 if ch in LOOKS_LIKE or ch.isalnum() else DROP_COST / 2
+        arcs.append((-1, drop))
+        if breaks and last:
+            arcs.append((0, drop))
+    elif own == last:
         arcs.append((-1, REPEAT_COST))
-    return arcs
+    return tuple(arcs)
 
 
-def decode(span: str, cost: np.ndarray) -> str:
-    """The cheapest reading of a span as one word. Paths that end in the same two letters meet."""
-    paths: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+def decode(span: str, cost: list[float], breaks: bool = True, signs: bool = False) -> list[str]:
+    """The words of the cheapest reading of a span. Paths that end in the same two letters meet.
+
+    ``cost`` is the flat table of the character model. Without ``breaks`` the span
+    is one word; with ``signs`` each sign stands for a letter. Only the first 80 characters are read.
+    """
+    paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
     for ch in span[:80]:
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
-        for (a, b), (c, word) in paths.items():
-            for letter, extra in _arcs(ch, b):
+        nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
+        for (a, b), (c, read) in paths.items():
+            base = (a * SIZE + b) * SIZE
+            for letter, extra in _arcs(ch, b, breaks, signs):
                 state = (a, b) if letter < 0 else (b, letter)
-                total = c + extra + (0.0 if letter < 0 else float(cost[a, b, letter]))
+                total = c + extra + (0.0 if letter < 0 else cost[base + letter])
                 if state not in nxt or total < nxt[state][0]:
-                    nxt[state] = (total, word if letter < 0 else word + LETTERS[letter - 1])
-        paths = dict(sorted(nxt.items(), key=lambda x: x[1][0])[:BEAM]) or paths
-    return min((c + float(cost[a, b, 0]), word) for (a, b), (c, word) in paths.items())[1]
+                    nxt[state] = (total, read if letter < 0 else (read, letter))
+        paths = nxt if len(nxt) <= BEAM else dict(sorted(nxt.items(), key=lambda x: x[1][0])[:BEAM])
+    read = min(((c + (cost[(a * SIZE + b) * SIZE] if b else 0.0), i, read) for i, ((a, b), (c, read)) in enumerate(paths.items())), key=lambda x: x[:2])[2]
+    letters = []
+    while read is not None:
+        read, letter = read
+        letters.append(LETTERS[letter - 1] if letter else " ")
+    return "".join(reversed(letters)).split()
+
+
+def undoubled(word: str) -> set[str]:
+    """The word with each choice of its doubled letters written once."""
+    found = {""}
+    at = 0
+    for m in _DOUBLES.finditer(word):
+        found = {x + word[at : m.start()] + y for x in found for y in (m.group(1), m.group())}
+        at = m.end()
+    return {x + word[at:] for x in found}
 
 
 class Restorer:
-    """Words of a text with its disguised spans read; spans are decoded once per worker."""
+    """Words of a text with its disguised spans read; tokens are judged and decoded once per worker."""
 
-    LIMIT = 100_000
+    LIMIT = 500_000
 
     def __init__(self, cost: np.ndarray):
-        self.cost, self.known = cost, {}
+        self.cost, self.known, self.plain = cost.ravel().tolist(), {}, set()
+        self.spans: dict[str, frozenset[str]] = {}
+
+    def read(self, span: str) -> frozenset[str]:
+        """The span read as one word, also with every sign as a letter."""
+        if _LETTERS_ONLY.fullmatch(span) and len(_DOUBLES.findall(span)) < 4:
+            return frozenset(undoubled(span))
+        read = self.spans.get(span)
+        if read is None:
+            found = set(decode(span, self.cost, breaks=False))
+            if _SIGNS.search(span):
+                found.update(decode(span, self.cost, breaks=False, signs=True))
+            read = frozenset(found)
+            if len(span) <= 200:
+                if len(self.spans) > self.LIMIT // 5:
+                    self.spans.clear()
+                self.spans[span] = read
+        return read
+
+    def token(self, token: str) -> tuple[str, ...]:
+        """Readings of what stands between white space: with and without the signs at its ends that may be punctuation."""
+        if _SIMPLE.fullmatch(token):
+            return ()
+        outer = token.strip(_OUTER)
+        inner = outer.strip(_OUTER + "!(")
+        spans = {inner, *_PUNCTUATION.split(inner)}
+        if outer != inner and inner:  # a sign at an end is a letter here, and was punctuation in the inner part
+            if outer[0] in "!(" and outer[1] == inner[0]:
+                spans |= {x + inner for x in LOOKS_LIKE[outer[0]]}
+            if outer[-1] in "!(" and outer[-2] == inner[-1]:
+                spans |= {inner + x for x in LOOKS_LIKE[outer[-1]]}
+        found: set[str] = set()
+        for span in spans:
+            if _LETTER.search(span):
+                found |= {span} if _PLAIN.fullmatch(span) else self.read(span)
+        return tuple(found.difference(WORD.findall(token)))
+
+    def spaced(self, span: str, inner: str) -> set[str]:
+        """Readings of letters set apart: with and without signs at the ends, without the first letter, and cut at the wider gaps."""
+        gaps = [len(x) for x in _GAP.findall(inner)]
+        pieces, least = [""], min(gaps)
+        for part in re.split(r"([\W_]+)", inner):
+            if len(part) > least and not part.isalnum():
+                pieces.append("")
+            else:
+                pieces[-1] += part
+        found: set[str] = set()
+        for variant in {span, inner, _GAP.split(inner, maxsplit=1)[1], *pieces}:
+            found |= self.read(variant)
+        return found
 
     def words(self, text: str) -> set[str]:
         text = text.lower()
         found = set(WORD.findall(text))
-        if _QUICK.search(text):
-            for m in SPAN.finditer(text):
-                span = m.group().strip(".,;:?!()[]\"'")
-                word = self.known.get(span)
-                if word is None:
-                    if len(self.known) > self.LIMIT:
+        for token in set(text.split()) - self.plain:
+            read = self.known.get(token)
+            if read is None:
+                read = self.token(token)
+                if len(token) <= 200:
+                    if len(self.known) + len(self.plain) > self.LIMIT:
                         self.known.clear()
-                    word = self.known[span] = decode(span, self.cost)
-                if word:
-                    found.add(word)
+                        self.plain.clear()
+                    if read:
+                        self.known[token] = read
+                    else:
+                        self.plain.add(token)
+            found.update(read)
+        for m in SPACED.finditer(text):
+            before, after = _BEFORE.search(text, max(0, m.start() - 8), m.start()), _AFTER.match(text, m.end())
+            found |= self.spaced(text[before.start() if before else m.start() : after.end() if after else m.end()], m.group())
         return found
 
 
