@@ -166,6 +166,13 @@ def test_toxicity_finds_disguises_at_the_edges_of_clauses(restorer):
         assert word in restorer.words(f"thin {text} heat"), text
 
 
+def test_toxicity_reads_whole_spans_as_several_words(restorer):
+    assert "idiot" in restorer.words("y o u a r e a n i d i o t")
+    assert "moron" in restorer.words("w a s t e o f s p a c e " * 8 + "m o r o n")
+    assert {"idiot", "loser"} <= restorer.words("[you-are-such-a-complete-1d1ot-and-l0ser]-as-everyone-here-knows")
+    assert len(restorer.words("a b " * 50_000)) > 2
+
+
 def test_toxicity_on_held_out_labels(spark):
     rows = queries.op3_toxicity(spark, "/root/testdata/sf0.01").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id").filter("held_out").collect()
     assert np.mean([r["predicted"] == r["toxic"] for r in rows]) > 0.95

@@ -6,8 +6,8 @@
    its gaps; punctuation around them and a first single letter are tried as not
    belonging to them).
    A span becomes a lattice: each character may stand for itself, for the letters
-   it resembles, for a repetition of the letter before, or for nothing. Viterbi
-   finds the cheapest path under a character trigram model, whose counts come from
+   it resembles, for a repetition of the letter before, for nothing or for the end
+   of a word. Spans are read to their end. Viterbi finds the cheapest path under a character trigram model, whose counts come from
    all texts of the input.
 2. **Score.** The words of the document and of its decoded spans, with their first
    four and five letters, are looked up in the weights of a logistic regression
@@ -114,10 +114,10 @@ def decode(span: str, cost: list[float], breaks: bool = True, signs: bool = Fals
     """The words of the cheapest reading of a span. Paths that end in the same two letters meet.
 
     ``cost`` is the flat table of the character model. Without ``breaks`` the span
-    is one word; with ``signs`` each sign stands for a letter. Only the first 80 characters are read.
+    is one word; with ``signs`` each sign stands for a letter. Work and memory are linear in the span's length.
     """
     paths: dict[tuple[int, int], tuple[float, tuple | None]] = {(0, 0): (0.0, None)}
-    for ch in span[:80]:
+    for ch in span:
         nxt: dict[tuple[int, int], tuple[float, tuple | None]] = {}
         for (a, b), (c, read) in paths.items():
             base = (a * SIZE + b) * SIZE
@@ -155,7 +155,7 @@ class Restorer:
         self.spans: dict[str, frozenset[str]] = {}
 
     def read(self, span: str) -> frozenset[str]:
-        """The span read as one word, also with every sign as a letter."""
+        """The span read as one word, also with every sign as a letter, and as several words."""
         if _LETTERS_ONLY.fullmatch(span) and len(_DOUBLES.findall(span)) < 4:
             return frozenset(undoubled(span))
         read = self.spans.get(span)
@@ -163,6 +163,8 @@ class Restorer:
             found = set(decode(span, self.cost, breaks=False))
             if _SIGNS.search(span):
                 found.update(decode(span, self.cost, breaks=False, signs=True))
+            if _GAP.search(span):
+                found.update(decode(span, self.cost))
             read = frozenset(found)
             if len(span) <= 200:
                 if len(self.spans) > self.LIMIT // 5:
