@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import fingerprints, language_id, license_scan, mixture, ngram_join, packing, quality_ledger, token_counts, toxicity, url_filter
+from tidemark.llm import chat_format, fingerprints, language_id, lexical_search, license_scan, merkle, mixture, ngram_join, packing, quality_ledger, token_counts, toxicity, url_filter
 from tidemark.llm.common import held_out, table
 from tidemark.llm.pretokens import vocabulary
 
@@ -23,6 +23,8 @@ MIXTURE = mixture.Mixture(
 )
 OVER = 1024
 SEQUENCE = 2048
+BEST = 50
+CHAT_BUDGET, CHAT_HISTORY = 512, 128
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -128,11 +130,111 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), packing.Capacity(tokens=SEQUENCE))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    leaf = lambda n_chars: merkle.digest(*[merkle.field(c) for c in (F.col("doc_id"), F.col("source"), F.col("lang"), n_chars, F.col("text"))])
+    changed = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = F.when(changed, leaf(F.try_add("n_chars", F.lit(1)))).alias("tampered")
+    rows = merkle.manifest(docs, leaf(F.col("n_chars")), F.col("lang"), F.col("doc_id"), [F.col("doc_id"), tampered], fanout=2)
+    again = merkle.folded(F.coalesce("tampered", "leaf"), F.col("path"))
+    rows = rows.select("doc_id", "leaf", "subroot", "root", merkle.proof(F.col("path")).alias("proof_sha256"), again.alias("folded_root"))
+    return rows.withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+OP11_SQL = r"""
+WITH RECURSIVE bits AS (SELECT list(v ORDER BY i) AS t FROM (SELECT i, list_reduce(list_prepend(CAST(i AS BIGINT), CAST(range(8) AS BIGINT[])), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(i))),
+checks AS (SELECT *, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))),
+       lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1]))) AS crc FROM documents, bits),
+fields AS (SELECT doc_id, lang, crc, coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-') || coalesce(strlen(source) || ':' || source, '-') || coalesce(strlen(lang) || ':' || lang, '-') AS head, n_chars,
+       coalesce(strlen(text) || ':' || text, '-') AS tail FROM checks),
+leaves AS (SELECT *, sha256(head || coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-') || tail) AS leaf,
+       CASE WHEN crc % 7 = 0 THEN sha256(head || coalesce(strlen(CAST(n_chars + 1 AS VARCHAR)) || ':' || (n_chars + 1), '-') || tail) END AS tampered FROM fields),
+d AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY lang) AS n FROM leaves),
+nodes AS (SELECT lang, 0 AS lvl, i, n, leaf AS dg FROM d UNION ALL
+       SELECT lang, lvl + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(dg, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY lang, lvl, i // 2),
+subs AS (SELECT lang, dg AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+tops AS (SELECT 0 AS lvl, i, n, subroot AS dg FROM subs UNION ALL
+       SELECT lvl + 1, i // 2, (max(n) + 1) // 2, sha256(string_agg(dg, '' ORDER BY i)) FROM tops WHERE n > 1 GROUP BY lvl, i // 2),
+every AS (SELECT lang, lvl, i, dg, n FROM nodes),
+steps AS (SELECT rid, e.lvl AS lvl, (d.i >> e.lvl) & 1 = 1 AS on_right, o.dg AS other FROM d JOIN every e ON e.lang IS NOT DISTINCT FROM d.lang AND e.i = d.i >> e.lvl AND e.n > 1
+       LEFT JOIN every o ON o.lang IS NOT DISTINCT FROM e.lang AND o.lvl = e.lvl AND o.i = xor(e.i, 1)
+       UNION ALL SELECT rid, 1000 + e.lvl, (s.i >> e.lvl) & 1 = 1, o.dg FROM d JOIN subs s ON s.lang IS NOT DISTINCT FROM d.lang JOIN tops e ON e.i = s.i >> e.lvl AND e.n > 1
+       LEFT JOIN tops o ON o.lvl = e.lvl AND o.i = xor(e.i, 1)),
+paths AS (SELECT rid, row_number() OVER (PARTITION BY rid ORDER BY lvl) AS k, on_right, coalesce(other, '') AS other FROM steps),
+proofs AS (SELECT rid, sha256(string_agg(other, '' ORDER BY k)) AS proof_sha256, count(*) AS steps FROM paths GROUP BY rid),
+fold AS (SELECT rid, 0 AS k, coalesce(tampered, leaf) AS acc FROM d UNION ALL
+       SELECT fold.rid, fold.k + 1, sha256(CASE WHEN on_right THEN other || acc ELSE acc || other END) FROM fold JOIN paths p ON p.rid = fold.rid AND p.k = fold.k + 1),
+ends AS (SELECT rid, arg_max(acc, k) AS folded_root FROM fold GROUP BY rid)
+SELECT doc_id, leaf, subroot, (SELECT dg FROM tops WHERE n = 1) AS root, coalesce(proof_sha256, sha256('')) AS proof_sha256, folded_root, folded_root = (SELECT dg FROM tops WHERE n = 1) AS verified
+FROM d JOIN subs ON subs.lang IS NOT DISTINCT FROM d.lang JOIN ends USING (rid) LEFT JOIN proofs USING (rid)
+"""
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return lexical_search.search(docs, items, BEST)
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+q AS (SELECT row_number() OVER () AS qid, item_id, list_distinct(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS ts FROM benchmark),
+c AS (SELECT count(*) AS n_docs, CAST(sum(len(ts)) AS BIGINT) AS n_terms FROM d WHERE len(ts) > 0),
+p AS (SELECT rid, doc_id, len(ts) AS n, unnest(ts) AS term FROM d),
+tf AS (SELECT rid, any_value(doc_id) AS doc_id, any_value(n) AS n, term, count(*) AS tf FROM p GROUP BY rid, term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * any_value(n_docs) + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, c GROUP BY term),
+s AS (SELECT qid, item_id, rid, tf.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score
+      FROM (SELECT qid, item_id, unnest(ts) AS term FROM q) JOIN tf USING (term) JOIN w USING (term), c GROUP BY qid, item_id, rid, tf.doc_id),
+r AS (SELECT item_id, CAST(row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id NULLS FIRST, rid) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT * FROM r WHERE rank <= 50
+"""
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats, then reads everything back from windows, masks and counts of repeated turns."""
+    given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    own = spark.createDataFrame([(-1, i, r, "</s>[INST] ok [/INST]") for i, r in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    made = chat_format.windows(given.unionByName(own), CHAT_BUDGET, CHAT_HISTORY)
+    read = made.withColumn("turns", chat_format.turns_of(F.col("formatted")))
+    fresh = F.slice("turns", F.col("repeated") + 1, F.size("turns") - F.col("repeated"))
+    spoken = F.transform(fresh, lambda x: F.concat(x["role"], F.lit("\n"), x["text"], F.lit("\n")))
+    targets = chat_format.targets_of(F.col("formatted"), F.col("targets"))
+    part = F.struct("window", F.array_join(spoken, "").alias("turns"), F.array_join(targets, "").alias("loss"))
+    parts = read.groupBy("conv_id").agg(
+        F.sum((F.size("turns") - F.col("repeated")).cast("long")).alias("n_turns"), F.sum(F.length("formatted").cast("long")).alias("formatted_chars"), F.sort_array(F.collect_list(part)).alias("parts")
+    )
+    joined = lambda name: F.array_join(F.transform("parts", lambda x: x[name]), "")
+    return parts.select(
+        "conv_id", "n_turns", F.sha2(joined("turns"), 256).alias("turns_sha256"), F.length(joined("loss")).cast("long").alias("loss_chars"), F.sha2(joined("loss"), 256).alias("loss_sha256"), "formatted_chars"
+    )
+
+
+OP13_SQL = r"""
+WITH t0 AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations UNION ALL
+       SELECT -1, i, r, '</s>[INST] ok [/INST]' FROM (VALUES (0, 'user'), (1, 'assistant')) v(i, r)),
+t1 AS (SELECT *, row_number() OVER w - 1 AS pos, count(*) OVER (PARTITION BY conv_id) AS turns, 4 + len(regexp_extract_all(text, '[\p{L}\p{M}\p{N}]+|[^\x09-\x0D\x20\p{L}\p{M}\p{N}]')) AS tokens
+       FROM t0 WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, sha256(role || chr(10) || text))),
+t2 AS (SELECT *, CAST(coalesce(sum(tokens) OVER (PARTITION BY conv_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start,
+       max(CASE WHEN pos = 0 AND role = 'system' AND turns > 1 THEN tokens END) OVER (PARTITION BY conv_id) AS stok,
+       17 + length(regexp_replace(regexp_replace(replace(role, '\', '\e'), '<(/?s>)', '\\l\1', 'g'), '\[(/?INST\])', '\\s\1', 'g'))
+       + length(regexp_replace(regexp_replace(replace(text, '\', '\e'), '<(/?s>)', '\\l\1', 'g'), '\[(/?INST\])', '\\s\1', 'g')) AS chars FROM t1),
+t3 AS (SELECT *, greatest(1, 384 - coalesce(stok, 0)) AS room, start // greatest(1, 384 - coalesce(stok, 0)) AS cell FROM t2),
+t4 AS (SELECT *, 2 * cell + CASE WHEN start + tokens > (cell + 1) * room THEN 1 ELSE 0 END AS win FROM t3),
+sp AS (SELECT conv_id, win, min(start) AS f, min(pos) AS first FROM t4 GROUP BY conv_id, win),
+extra AS (SELECT sp.conv_id, sum(chars) AS chars FROM sp JOIN t4 ON t4.conv_id IS NOT DISTINCT FROM sp.conv_id AND first > 0
+       AND ((t4.pos = 0 AND role = 'system') OR (NOT (t4.pos = 0 AND role = 'system') AND t4.pos < first AND t4.start >= f - 128)) GROUP BY sp.conv_id),
+wins AS (SELECT conv_id, count(*) AS n FROM sp GROUP BY conv_id),
+g AS (SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       coalesce(string_agg(text, '' ORDER BY pos) FILTER (WHERE role = 'assistant'), '') AS loss, sum(chars) AS chars FROM t2 GROUP BY conv_id)
+SELECT g.conv_id, n_turns, turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(g.chars + coalesce(extra.chars, 0) + 3 * wins.n AS BIGINT) AS formatted_chars
+FROM g JOIN wins ON wins.conv_id IS NOT DISTINCT FROM g.conv_id LEFT JOIN extra ON extra.conv_id IS NOT DISTINCT FROM g.conv_id
+"""
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_language_id, op2_ngram_jaccard_join, op3_toxicity, op4_url_filter, op5_token_counts, op6_quality_rules, op7_source_mixture,
-        op8_fingerprints, op9_license_scan, op10_best_fit_packing,
+        op8_fingerprints, op9_license_scan, op10_best_fit_packing, op11_merkle_manifest, op12_lexical_search, op13_chat_format,
     )
 }
-ORACLES = {"op4_url_filter": OP4_SQL, "op6_quality_rules": OP6_SQL}
+ORACLES = {"op4_url_filter": OP4_SQL, "op6_quality_rules": OP6_SQL, "op11_merkle_manifest": OP11_SQL, "op12_lexical_search": OP12_SQL, "op13_chat_format": OP13_SQL}
