@@ -45,11 +45,13 @@ def digest(*parts: Column) -> Column:
     return F.sha2(F.concat(*parts), 256)
 
 
-def _text(nodes: list[Column]) -> Column:
-    return F.concat(*[F.coalesce(x, F.lit("")) for x in nodes]) if nodes else F.lit("")
+def _text(nodes: list[str]) -> str:
+    return f"concat({', '.join(f"coalesce({x}, '')" for x in nodes)})" if nodes else "''"
 
 
 class _Tree:
+    """Pivots of one fanout. Expressions are SQL text: a pivot has hundreds of small ones, each dear to build as an object."""
+
     def __init__(self, fanout: int):
         self.fanout = fanout
         self.levels = max(1, int(math.log(SLOTS, fanout) + 1e-9))
@@ -57,46 +59,41 @@ class _Tree:
 
     def pivot(self, nodes: DataFrame) -> DataFrame:
         """(g, i, n, node) -> one row a parent (g, i, n) with its slots s0, s1, ..."""
-        at = F.pmod("i", F.lit(self.slots))
-        slots = [F.first(F.when(at == k, F.col("node")), ignorenulls=True).alias(f"s{k}") for k in range(self.slots)]
-        return nodes.groupBy("g", F.floor(F.col("i") / self.slots).alias("i")).agg(F.max("n").alias("n"), *slots)
+        slots = [F.expr(f"first(CASE WHEN i % {self.slots} = {k} THEN node END, true) AS s{k}") for k in range(self.slots)]
+        return nodes.groupBy("g", F.expr(f"i div {self.slots}").alias("i")).agg(F.max("n").alias("n"), *slots)
 
-    def _many(self, level: int) -> Column:
+    def _many(self, level: int) -> str:
         """The group has several nodes at this level of the pivot."""
-        return F.col("n") > self.fanout**level
-
-    def _run(self, level: int, place: int) -> list[int]:
-        first = place - place % self.fanout
-        return list(range(first, first + self.fanout))
+        return f"n > {self.fanout**level}"
 
     def grown(self, pivots: DataFrame) -> DataFrame:
         """Adds the digests of each level, ``d<level>_<place>``, the last one being ``top``."""
-        out = pivots.withColumns({f"d0_{k}": F.col(f"s{k}.digest") for k in range(self.slots)})
+        out = pivots.selectExpr("*", *[f"s{k}.digest AS d0_{k}" for k in range(self.slots)])
         for level in range(self.levels):
-            above = {}
+            above = []
             for place in range(self.slots // self.fanout ** (level + 1)):
-                children = [F.col(f"d{level}_{c}") for c in range(place * self.fanout, (place + 1) * self.fanout)]
-                joined = F.when(children[0].isNotNull(), F.sha2(_text(children), 256))
-                above[f"d{level + 1}_{place}"] = F.when(self._many(level), joined).otherwise(F.col(f"d{level}_{place}"))
-            out = out.withColumns(above)
-        return out.withColumn("top", F.col(f"d{self.levels}_0"))
+                children = [f"d{level}_{c}" for c in range(place * self.fanout, (place + 1) * self.fanout)]
+                joined = f"CASE WHEN {children[0]} IS NOT NULL THEN sha2({_text(children)}, 256) END"
+                above.append(f"CASE WHEN {self._many(level)} THEN {joined} ELSE d{level}_{place} END AS d{level + 1}_{place}")
+            out = out.selectExpr("*", *above)
+        return out.withColumnRenamed(f"d{self.levels}_0", "top")
 
-    def path(self, slot: int) -> Column:
+    def path(self, slot: int) -> str:
         """Of one slot: (before, after) of its run on each level that has several nodes."""
         steps = []
         for level in range(self.levels):
             place = slot // self.fanout**level
-            run = self._run(level, place)
-            before, after = ([F.col(f"d{level}_{k}") for k in run if (k < place if first else k > place)] for first in (True, False))
-            steps.append(F.when(self._many(level), F.struct(_text(before).alias("before"), _text(after).alias("after"))))
-        return F.filter(F.array(*steps), lambda x: x.isNotNull())
+            run = range(place - place % self.fanout, place - place % self.fanout + self.fanout)
+            before, after = (_text([f"d{level}_{k}" for k in run if (k < place if first else k > place)]) for first in (True, False))
+            steps.append(f"CASE WHEN {self._many(level)} THEN struct({before} AS before, {after} AS after) END")
+        return f"array_compact(array({', '.join(steps)}))"
 
     def up(self, nodes: DataFrame, largest: int, label: str) -> tuple[list[DataFrame], DataFrame]:
         """The pivots of all passes, and the top (g, digest) of each group."""
         passes = []
         while True:
             passes.append(stage(self.pivot(nodes), label))
-            tops = self.grown(passes[-1]).select("g", "i", F.ceil(F.col("n") / self.slots).alias("n"), F.struct(F.col("top").alias("digest")).alias("node"))
+            tops = self.grown(passes[-1]).select("g", "i", F.expr(f"(n + {self.slots - 1}) div {self.slots} AS n"), F.struct(F.col("top").alias("digest")).alias("node"))
             largest = -(-largest // self.slots)
             if largest <= 1:
                 return passes, tops.select("g", F.col("node.digest").alias("digest"))
@@ -105,13 +102,11 @@ class _Tree:
     def down(self, passes: list[DataFrame], tops: DataFrame) -> DataFrame:
         """From (g, i = 0, path, extra...) to every node of the first pass with its path."""
         for pivots in reversed(passes):
-            here = self.grown(pivots).join(tops.select(F.col("g").alias("__g"), F.col("i").alias("__i"), *tops.columns[2:]), F.col("g").eqNullSafe(F.col("__g")) & (F.col("i") == F.col("__i")))
-            slots = [
-                F.when(F.col(f"s{k}").isNotNull(), F.struct((F.col("i") * self.slots + k).alias("i"), F.col(f"s{k}").alias("node"), F.concat(self.path(k), F.col("path")).alias("path")))
-                for k in range(self.slots)
-            ]
-            each = here.select("g", F.explode(F.filter(F.array(*slots), lambda x: x.isNotNull())).alias("x"), *tops.columns[3:])
-            tops = each.select("g", "x.i", "x.path", *tops.columns[3:], "x.node") if pivots is passes[0] else each.select("g", "x.i", "x.path", *tops.columns[3:])
+            extra = tops.columns[2:]
+            here = self.grown(pivots).alias("p").join(tops.alias("t"), F.expr("p.g <=> t.g AND p.i = t.i")).selectExpr("p.*", *[f"t.{c} AS t_{c}" for c in extra])
+            slots = [f"CASE WHEN s{k} IS NOT NULL THEN struct(i * {self.slots} + {k} AS i, s{k} AS node, concat({self.path(k)}, t_path) AS path) END" for k in range(self.slots)]
+            each = here.selectExpr("g", f"explode(array_compact(array({', '.join(slots)}))) AS x", *[f"t_{c} AS {c}" for c in extra[1:]])
+            tops = each.selectExpr("g", "x.i AS i", "x.path AS path", *extra[1:], *(["x.node AS node"] if pivots is passes[0] else []))
         return tops
 
 
