@@ -36,9 +36,10 @@ def test_running_sums_span_parts(spark):
     assert placed.select("__part").distinct().count() > 1 and len(got) == len(rows)
     for g in (None, "a", "b", "c"):
         mine = sorted((r for r in got if r["g"] == g), key=lambda r: r["__i"])
-        assert [r["__i"] for r in mine] == list(range(len(mine))) and {r["__count"] for r in mine} == {len(mine)}
+        assert [r["__i"] for r in mine] == list(range(len(mine))) and {r["__total_i"] for r in mine} == {len(mine)}
         assert [r["o"] for r in mine] == sorted(r["o"] for r in mine)
         assert [r["__s"] for r in mine] == [sum(x["v"] for x in mine[:k]) for k in range(len(mine))]
+        assert {r["__total_s"] for r in mine} == {sum(x["v"] for x in mine)}
         assert {r["__most"] for r in mine} == {max(x["v"] for x in mine)}
 
 

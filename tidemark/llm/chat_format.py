@@ -57,13 +57,17 @@ def tokens(text: Column) -> Column:
 
 
 def _numbered(turns: DataFrame) -> DataFrame:
-    """c, pos, role, text, tokens, start (tokens before), system (its tokens and text)."""
+    """c, pos, turns, role, text, tokens, start (tokens before), total (of the conversation), system_tokens."""
     text, role = (F.coalesce(F.col(x).cast("string"), F.lit("")) for x in ("text", "role"))
     rows = turns.select(F.col("conv_id").alias("c"), F.col("turn").alias("turn"), role.alias("role"), text.alias("text"))
-    rows = rows.withColumns({"same": F.sha2(F.concat_ws("\n", "role", "text"), 256), "tokens": (tokens(F.col("text")) + AROUND).cast("long")})
+    rows = rows.withColumns({"same": F.substring(F.sha2(F.concat_ws("\n", "role", "text"), 256), 1, 16), "tokens": (tokens(F.col("text")) + AROUND).cast("long")})
     placed = ordered(rows, ["c", "turn", "same"], "turns")
-    places = running(placed, "c", {"pos": F.lit(1), "start": F.col("tokens")}, {})
-    return places.select("c", F.col("__pos").alias("pos"), F.col("__count").alias("turns"), "role", "text", "tokens", F.col("__start").alias("start"))
+    # the first row of a conversation is the one of the least place
+    place = F.shiftleft(F.col("__part").cast("long"), 33) + F.col("__row")
+    first = F.struct((-place).alias("at"), (F.col("role") == "system").alias("system"), "tokens")
+    places = running(placed, "c", {"pos": F.lit(1), "start": F.col("tokens")}, {"first": first})
+    system = F.when(F.col("__first.system") & (F.col("__total_pos") > 1), F.col("__first.tokens"))
+    return places.select("c", F.col("__pos").alias("pos"), F.col("__total_pos").alias("turns"), "role", "text", "tokens", F.col("__start").alias("start"), F.col("__total_start").alias("total"), system.alias("system_tokens"))
 
 
 def windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> DataFrame:
@@ -74,17 +78,18 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> DataFra
     """
     if not 0 <= history < budget:
         raise ValueError("history takes less than the budget")
-    numbered = stage(_numbered(turns), "numbered-turns")
-    system = numbered.filter((F.col("pos") == 0) & (F.col("role") == "system") & (F.col("turns") > 1))
-    # a conversation's system turn is dealt over stretches of it, so a long conversation is no hot key of the join
-    dealt = system.select(F.col("c").alias("sc"), F.col("text").alias("system_text"), F.col("tokens").alias("system_tokens"), F.explode(F.sequence(F.lit(0), F.floor((F.col("turns") - 1) / STRETCH))).alias("s"))
-    own = numbered.join(dealt.select("sc", "s", "system_tokens"), F.col("c").eqNullSafe(F.col("sc")) & (F.floor(F.col("pos") / STRETCH) == F.col("s")), "left").drop("sc", "s")
+    numbered = _numbered(turns)
     room = F.greatest(F.lit(1), F.lit(budget - history) - F.coalesce("system_tokens", F.lit(0)))
     cell = F.floor(F.col("start") / F.col("room"))
     over = F.col("start") + F.col("tokens") > (cell + 1) * F.col("room")
-    own = stage(own.withColumn("room", room).withColumn("window", 2 * cell + F.when(over, 1).otherwise(0)).drop("room", "turns"), "windowed-turns")
-
-    spans = own.groupBy("c", "window").agg(F.min("start").alias("from"), F.min("pos").alias("first"))
+    own = numbered.withColumn("room", room).withColumn("window", 2 * cell + F.when(over, 1).otherwise(0))
+    own = stage(own.withColumn("several", F.col("total") > F.col("room")).drop("room", "total"), "windowed-turns")
+    # a system turn is dealt over stretches of its conversation, so a long one is no hot key of the join
+    dealt = own.filter((F.col("pos") == 0) & F.col("system_tokens").isNotNull() & F.col("several"))
+    dealt = dealt.select(F.col("c").alias("sc"), F.col("text").alias("system_text"), "system_tokens", F.explode(F.sequence(F.lit(0), F.floor((F.col("turns") - 1) / STRETCH))).alias("s"))
+
+    many = own.filter("several")
+    spans = many.groupBy("c", "window").agg(F.min("start").alias("from"), F.min("pos").alias("first"))
     later = spans.filter(F.col("first") > 0)
     repeated = later.join(dealt, F.col("c").eqNullSafe(F.col("sc")) & (F.floor(F.col("first") / STRETCH) == F.col("s")))
     part = lambda rank, context: F.struct(F.lit(rank).alias("rank"), F.col("pos"), F.col("role"), F.col("text"), F.col("tokens"), F.lit(context).alias("context")).alias("part")
@@ -96,7 +101,7 @@ def windows(turns: DataFrame, budget: int = 2048, history: int = 256) -> DataFra
         # turns that start at most ``history`` tokens before a window: met by equal cells of that width
         wide = F.sequence(F.floor(F.greatest(F.lit(0), F.col("from") - history) / history), F.floor((F.col("from") - 1) / history))
         reach = later.select(F.col("c").alias("wc"), F.col("window").alias("to"), "from", "first", F.explode(wide).alias("w"))
-        met = own.join(reach, F.col("c").eqNullSafe(F.col("wc")) & (F.floor(F.col("start") / history) == F.col("w")) & (F.col("pos") < F.col("first")) & (F.col("start") >= F.col("from") - history))
+        met = many.join(reach, F.col("c").eqNullSafe(F.col("wc")) & (F.floor(F.col("start") / history) == F.col("w")) & (F.col("pos") < F.col("first")) & (F.col("start") >= F.col("from") - history))
         # the system turn stands there already
         met = met.filter(~((F.col("pos") == 0) & (F.col("role") == "system")))
         parts = parts.unionByName(met.select("c", F.col("to").alias("window"), part(1, True)))

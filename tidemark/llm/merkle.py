@@ -113,7 +113,7 @@ class _Tree:
 def _numbered(rows: DataFrame, by: list[str], label: str) -> DataFrame:
     """(g, node and ordering columns) -> (g, i, n, node): place in the group and its size."""
     places = running(ordered(rows, ["g", *by], label), "g", {"i": F.lit(1)}, {})
-    return places.select("g", F.col("__i").alias("i"), F.col("__count").alias("n"), "node")
+    return places.select("g", F.col("__i").alias("i"), F.col("__total_i").alias("n"), "node")
 
 
 def manifest(docs: DataFrame, leaf: Column, group: Column, order: Column, keep: list[Column], fanout: int = 2) -> DataFrame:
