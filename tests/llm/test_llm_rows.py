@@ -76,30 +76,61 @@ def test_join_against_brute_force(spark, family_texts, n, percent):
     assert all(r["n_shingles"] == len(shingles(family_texts[r["doc_id"]], n)) for r in got)
 
 
-def test_join_of_one_large_group_of_near_copies(spark):
-    """Hundreds of variants of one text, some alike only through others, in small tiles and rounds."""
+def test_join_of_one_large_group_of_near_copies(spark, monkeypatch):
+    """Hundreds of variants of one text, some alike only through others, in blocks of few rows."""
     rng = random.Random(4)
     base = [f"b{i}" for i in range(150)]
     texts = {i: " ".join(edited(rng, base, rng.choice([0, 1, 2, 4, 6]))) for i in range(350)}
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
-    old = ngram_join.FIRST_PAIRS, ngram_join.BLOCK_BYTES
-    try:
-        ngram_join.FIRST_PAIRS, ngram_join.BLOCK_BYTES = 1, 4000
-        got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(df).collect()}
-    finally:
-        ngram_join.FIRST_PAIRS, ngram_join.BLOCK_BYTES = old
+    monkeypatch.setattr(ngram_join, "BLOCK_ROWS", 9)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(df).collect()}
     assert got == brute_components(texts, 3, 90)
 
 
 def test_join_edges(spark):
     rows = [(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (9, "A B C D"), (None, "z y x w"), (7, None)]
     got = ngram_join.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()
-    assert len(got) == 6
+    assert len(got) == 6 and [r["component_id"] for r in got if r["doc_id"] is None].count(None) == 1  # a component of NULL ids alone
     assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None} == {(5, 5), (9, 5), (7, 7)}
     assert ngram_join.join_components(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-def test_segments_and_bounds():
+def test_join_links_through_texts_under_null_and_repeated_ids(spark):
+    w = [f"w{i}" for i in range(60)]
+    a, b, c = w, ["x", *w[1:]], [*w[:-1], "y"]  # b ~ a ~ c, but b and c are too far apart
+    sets = [shingles(" ".join(t), 3) for t in (a, b, c)]
+    assert 100 * len(sets[1] & sets[2]) < 95 * len(sets[1] | sets[2]) and 100 * len(sets[0] & sets[1]) >= 95 * len(sets[0] | sets[1])
+    for middle in (3, None, 2):  # its own id, no id, the id of another text
+        rows = [(1, " ".join(b)), (2, " ".join(c)), (middle, " ".join(a))]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        assert {r["component_id"] for r in ngram_join.join_components(df, 3, 95).collect()} == {1}
+        assert [r["doc_id"] for r in ngram_join.first_of_each(df, 3, 95).collect()] == [1]
+    unlike = spark.createDataFrame([(1, "a b c d e f"), (1, "g h i j k l"), (1, "a b c d e f"), (1, None), (None, None), (None, None)], "doc_id long, text string")
+    assert sorted(map(repr, (tuple(r) for r in ngram_join.first_of_each(unlike).collect()))) == ["(1, 'a b c d e f')", "(1, 'g h i j k l')", "(1, None)", "(None, None)"]
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 99, 100])
+def test_linked_sets_share_a_key(percent):
+    """Every allowed pair of sizes, at the least overlap that links."""
+    rng = np.random.default_rng(percent)
+    for _ in range(400):
+        a = int(rng.integers(1, 120))
+        b = int(rng.integers(a, a * 100 // percent + 1))
+        need = -(-percent * (a + b) // (100 + percent))
+        if need > a:
+            continue
+        grams = np.unique(rng.integers(1, 2**63, a + b - need + 20, dtype=np.uint64))[: a + b - need]
+        rng.shuffle(grams)
+        x, y = np.sort(grams[:a]), np.sort(grams[a - need :])
+        late = np.sort(rng.choice(grams, len(grams) // 3, replace=False))
+        (kx, small), (ky, _) = ngram_join.keys_of(x, percent, late), ngram_join.keys_of(y, percent, late)
+        assert set(kx[small]) & set(ky)
+        edges = ngram_join._band_edges(percent)
+        bands = [sum(e <= n for e in edges) for n in (a, b)]
+        assert bands[1] - bands[0] in (0, 1)
+
+
+def test_keys_and_bounds():
     rng = np.random.default_rng(1)
     for _ in range(300):
         n = int(rng.integers(10, 400))
@@ -110,7 +141,9 @@ def test_segments_and_bounds():
         only = np.bitwise_count(bits & ~bits[::-1]).sum(axis=1)
         assert min(len(a) - int(only[0]), len(other) - int(only[1])) >= common
         if 100 * common >= 90 * (len(a) + len(other) - common) and len(np.setxor1d(a, other)):
-            assert len(np.intersect1d(ngram_join.segment_keys(a, 90), ngram_join.segment_keys(other, 90))), (len(a), len(other), common)
+            x, y = sorted((a, other), key=len)
+            (kx, small), (ky, _) = (ngram_join.keys_of(v, 90, np.empty(0, np.uint64)) for v in (x, y))
+            assert set(kx[small]) & set(ky), (len(a), len(other), common)
 
 
 def test_components_of_chains_and_stars(spark):

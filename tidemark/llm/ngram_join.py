@@ -1,35 +1,37 @@
 """Exact Jaccard join of documents on word n-grams, by size-banded tiles.
 
 A document is the set of hashes of its n-grams. Two documents link when
-``100 * |A & B| >= percent * |A | B|``. How a pair is found:
-
-1. **Tiles.** Linked sets have similar sizes, so documents are dealt into bands of
-   sizes (powers of two), with one more tile across each border. A tile fixes the
-   largest symmetric difference H that a link inside it can have. Each set is cut
-   by hash value into H + 2 segments: of those, at least two are equal in linked
-   sets, so the sets share a segment key even where one segment is empty.
-2. **Bounds.** Every set has a bitmap of hashed bits, two to four a member. Each bit
+``100 * |A & B| >= percent * |A | B|``. Equal sets are one node throughout, so a
+group of copies costs a row a task. How a link is found:
+
+1. **Keys.** In any one order of all n-grams, the first few members of two linked
+   sets have one in common: of a set of n members the first ``n - x + 1``, x being
+   the least overlap a link of that set can have. The order puts n-grams that a
+   sample of documents shares last, so most keys stand in one set only and end there.
+2. **Tiles.** Sizes are cut into bands no linked pair can skip. A tile is a key and
+   a band: smaller sets of that band, and sets of it or the next one that may be
+   their larger partner. Tiles of many rows are dealt into blocks.
+3. **Bounds.** Every set has a bitmap of hashed bits, four to eight a member. A bit
    that only one side has is a member that only this side has, so bit counts bound
-   the intersection from above; most pairs of a tile end there.
-3. **Exact.** What is left is settled by intersecting the sorted arrays.
-
-Equal sets are one node throughout (copies are folded before any key is shuffled,
-and once per task before that), so a group of copies costs one row a task.
-
-Only components are asked for, so not every link is looked at: first every node
-is held against one other node of its segments, the one it shares most of them
-with. Segments whose nodes are then in one component need nothing more. In the
-others, all pairs across components are bounded inside blocks of limited size,
-and for each component its most promising pairs are settled, ever more of them in
-each round, until a round had none to leave out. So nothing is capped: a link
-between different components can't be missed, yet a round settles a few pairs a
-component, not the square of a group.
+   the overlap from above; most pairs of a tile end there.
+4. **Exact.** What is left is settled by intersecting the sorted arrays.
+
+Only components are asked for, so no task puts out pairs by the square. First each
+block gives a forest: of the pairs its bounds allow, those that join parts of the
+block not joined so far. These are settled. In tiles that then still hold several
+components, sets with an allowed partner in another component are named (once a
+block), their arrays are fetched, and all such pairs are settled inside the task,
+which puts out the links that join components. A tile's commonest component need
+not meet itself, so its blocks only meet the blocks of the others. Nothing is
+capped: every pair that shares a key is equal in component, ruled out by its bound,
+or settled.
 
 Defined cases: NULL or wordless texts have an empty set and link with nothing; a
 text of fewer words than n has its whole word sequence as the one member; rows
-with a NULL id count as copies of others only; repeated rows get the same
-component; of several texts under one id one is compared;
-an empty table gives an empty table; further columns are ignored.
+with a NULL id take part like others and are never named as the smallest (a
+component of such rows alone is NULL); repeated rows get the same component;
+several texts under one id are each compared; an empty table gives an empty table;
+further columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,15 +41,17 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices
+from tidemark.llm.common import bounded_sample, slices
 from tidemark.llm.components import components
 from tidemark.runtime import stage
 
 BLOCK_BYTES = 4 << 20
-FIRST_PAIRS = 4
+BLOCK_ROWS = 1024
+SAMPLE_DOCS, SHARED_BY, SHARED_MOST = 5_000, 3, 200_000
+FILTER_ROWS = 4_000_000
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -79,66 +83,82 @@ def ngram_set(text: str | None, n: int, hashes: dict) -> np.ndarray:
     return np.unique(h)
 
 
-def _widest(size: int, percent: int) -> int:
-    """Largest symmetric difference of two linked sets of at most ``size`` members each."""
-    return 2 * size * (100 - percent) // (100 + percent)
+def _digest(hashes: np.ndarray) -> tuple[int, int]:
+    d = xxhash.xxh3_128_digest(hashes.tobytes())
+    a, b = np.frombuffer(d, np.int64)
+    return int(a), int(b)
 
 
-def tiles(n: int, percent: int) -> list[tuple[int, int]]:
-    """(tile, segments) of a set of n members. Even tiles are bands, odd ones borders."""
-    band = n.bit_length() - 1
-    low, high = 1 << band, (1 << band + 1) - 1
-    out = [(2 * band, _widest(high, percent))]
-    if 100 * low >= percent * n:  # a smaller partner may lie in the band below
-        out.append((2 * band - 1, (low - 1 + 100 * low // percent) * (100 - percent) // (100 + percent)))
-    if 100 * n >= percent * (high + 1):
-        out.append((2 * band + 1, (high + 100 * (high + 1) // percent) * (100 - percent) // (100 + percent)))
-    return [(t, h + 2) for t, h in out if h > 0]  # h = 0: only equal sets link, and they are one node
+def _bitmap(hashes: np.ndarray) -> bytes:
+    width = max(64, 1 << (4 * len(hashes) - 1).bit_length())
+    bits = np.zeros(width, np.uint8)
+    bits[(hashes % np.uint64(width)).astype(np.int64)] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def segment_keys(hashes: np.ndarray, percent: int) -> np.ndarray:
-    """Keys of all segments in all tiles of a set."""
-    out = []
-    for tile, k in tiles(len(hashes), percent):
-        edges = np.searchsorted(hashes, (np.arange(1, k, dtype=np.float64) / k * 2.0**64).astype(np.uint64))
-        starts = np.concatenate([[0], edges])
-        ends = np.concatenate([edges, [len(hashes)]])
-        sums = np.concatenate([[np.uint64(0)], np.cumsum(_mix(hashes))])
-        part = sums[ends] - sums[starts]
-        filled = ends > starts
-        keys = _mix(_mix(part + np.uint64(tile)) + np.arange(k, dtype=np.uint64))
-        # one empty segment can be the only other one that differs; two equal ones remain beside it
-        out.append(keys if (~filled).sum() > 1 else keys[filled])
-    return np.concatenate(out) if out else np.empty(0, np.uint64)
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
-def _digest(hashes: np.ndarray) -> tuple[int, int]:
-    d = xxhash.xxh3_128_digest(hashes.tobytes())
-    a, b = np.frombuffer(d, np.int64)
-    return int(a), int(b)
+_NODE = [("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())]
 
 
 def _digests(n: int):
+    """Every row's digest; its bitmap with the first row of a task that has this digest."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *_NODE, ("bitmap", pa.binary())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
+        hashes, seen = _WordHashes(), set()
         for batch in slices(batches):
-            sizes, d1, d2 = [], [], []
-            for text in batch["text"].to_pylist():
+            rows = []
+            for doc, h, text in zip(*(batch[c].to_pylist() for c in ("doc_id", "h", "text"))):
                 s = ngram_set(text, n, hashes)
-                a, b = _digest(s)
-                sizes.append(len(s))
-                d1.append(a)
-                d2.append(b)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64())], names=["doc_id", "n", "d1", "d2"])
+                d = _digest(s)
+                fresh = len(s) and d not in seen
+                if fresh:
+                    if len(seen) >= 500_000:
+                        seen.clear()
+                    seen.add(d)
+                rows.append((doc, h, len(s), *d, _bitmap(s) if fresh else None))
+            yield _batch(rows, schema)
+
+    return run
+
+
+# ---- keys ------------------------------------------------------------------------
+def first_members(size: int, percent: int) -> tuple[int, int]:
+    """How many first members a set needs as the larger, and as the smaller one of a link."""
+    larger = size + percent * size // -100 + 1
+    smaller = size + 2 * percent * size // -(100 + percent) + 1
+    return larger, smaller
+
+
+def keys_of(hashes: np.ndarray, percent: int, shared: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The set's first members in the order of all n-grams, and which of them hold as the smaller set."""
+    larger, smaller = first_members(len(hashes), percent)
+    late = shared[np.minimum(np.searchsorted(shared, hashes), len(shared) - 1)] == hashes if len(shared) else np.zeros(len(hashes), bool)
+    keys = np.concatenate([hashes[~late], hashes[late]])[:larger]
+    return keys, np.arange(len(keys)) < smaller
+
+
+def _sampled(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _WordHashes()
+        for batch in slices(batches):
+            found = [ngram_set(x, n, hashes) for x in batch["text"].to_pylist()]
+            gram, count = np.unique(np.concatenate(found), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(count)], names=["gram", "n"])
 
     return run
 
 
-def _keys(n: int, percent: int):
+def _keys(n: int, percent: int, shared):
+    schema = pa.schema([("key", pa.int64()), ("d1", pa.int64()), ("small", pa.bool_())])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _WordHashes(), set()
         for batch in slices(batches):
-            keys, d1, d2 = [], [], []
+            keys, d1, small = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, bool)]
             for text in batch["text"].to_pylist():
                 s = ngram_set(text, n, hashes)
                 d = _digest(s)
@@ -147,56 +167,55 @@ def _keys(n: int, percent: int):
                 if len(seen) >= 500_000:
                     seen.clear()
                 seen.add(d)
-                k = segment_keys(s, percent)
+                k, as_small = keys_of(s, percent, shared.value)
                 keys.append(k)
+                small.append(as_small)
                 d1.append(np.full(len(k), d[0]))
-                d2.append(np.full(len(k), d[1]))
-            if keys:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(d1)), pa.array(np.concatenate(d2))], names=["key", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(d1)), pa.array(np.concatenate(small))], schema=schema)
 
     return run
 
 
-def _shared_segments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (key, d1, d2): the distinct ones whose key has two nodes or more."""
-    held = None  # the last row; it goes out when the next one has its key
-    sent = False
+def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by (key, small first, d1): the distinct ones whose key has a small row and two nodes or more."""
+    held = None  # the last row, which goes out when the next one has its key, and whether its key has a small row
+    sent = led = False
     for batch in batches:
-        k, a, b = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "d1", "d2"))
-        if held is not None:
-            k, a, b = (np.concatenate([[h], x]) for h, x in zip(held, (k, a, b)))
+        k, d, small = (batch[c].to_numpy(zero_copy_only=False) for c in ("key", "d1", "small"))
         if not len(k):
             continue
-        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-        k, a, b = k[fresh], a[fresh], b[fresh]
+        if held is not None:
+            k, d, small = (np.concatenate([[h], x]) for h, x in zip(held, (k, d, small)))
+        lead = np.concatenate([[True], k[1:] != k[:-1]])
+        ok = np.maximum.accumulate(np.where(lead, np.arange(len(k)), 0))
+        ok = (small & lead)[ok] if held is None else np.where(ok == 0, led, (small & lead)[ok])
+        fresh = np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1])])
+        k, d, small, ok = k[fresh], d[fresh], small[fresh], ok[fresh]
         same = k[1:] == k[:-1]
         out = np.zeros(len(k), bool)
         out[1:] |= same
         out[:-1] |= same
+        out &= ok
+        last_sent = bool(out[-1]) or (len(k) == 1 and sent)
         out[0] &= not sent
-        held, sent = (k[-1], a[-1], b[-1]), bool(out[-1]) if len(k) > 1 else sent
+        held, sent, led = (k[-1], d[-1], small[-1]), last_sent, bool(ok[-1])
         if out.any():
-            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, a, b)], names=["key", "d1", "d2"])
+            yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, d, small)], names=["key", "d1", "small"])
 
 
-def _bitmap(hashes: np.ndarray) -> bytes:
-    width = max(64, 1 << (2 * len(hashes) - 1).bit_length())
-    bits = np.zeros(width, np.uint8)
-    bits[(hashes % np.uint64(width)).astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
+def _band_edges(percent: int) -> list[int]:
+    edges = [1]  # at 100 percent only equal sets link, and they are one node
+    while percent < 100 and edges[-1] < 1 << 40:
+        edges.append(100 * edges[-1] // percent + 1)
+    return edges
 
 
-def _signatures(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _WordHashes()
-        for batch in slices(batches):
-            sets = [ngram_set(x, n, hashes) for x in batch["text"].to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array([len(s) for s in sets], pa.int64()), pa.array([_bitmap(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())],
-                names=["id", "n", "bitmap", "members"],
-            )
-
-    return run
+def _tiles(groups: DataFrame, percent: int) -> DataFrame:
+    """(key, node, n, small) -> one row for each band (two at most) in which the set may meet a partner."""
+    edges = ", ".join(f"{e}L" for e in _band_edges(percent))
+    banded = groups.withColumn("own", F.expr(f"size(filter(array({edges}), e -> e <= n))"))
+    each = banded.select("key", "node", "n", "small", "own", F.explode(F.array("own", F.col("own") - 1)).alias("band"))
+    return each.select("key", "band", "node", "n", (F.col("small") & (F.col("own") == F.col("band"))).alias("small"))
 
 
 # ---- bounds and exact test ----------------------------------------------------
@@ -218,166 +237,251 @@ def _links(common, size_a, size_b, percent: int):
     return 100 * common >= percent * (size_a + size_b - common)
 
 
-def _settle(percent: int):
-    """Rows (a, b, id, n, bitmap, members) sorted by pair, one for each side -> the pairs that link."""
+def _exact(a: bytes, b: bytes, percent: int) -> bool:
+    one, other = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    common = len(np.intersect1d(one, other, assume_unique=True))
+    return bool(_links(common, len(one), len(other), percent))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the first side of the pair whose second comes next
-        for batch in slices(batches, 128):
-            linked = []
-            for row in zip(*(batch[c].to_pylist() for c in ("a", "b", "id", "n", "bitmap", "members"))):
-                if held is None or held[:2] != row[:2] or held[2] == row[2]:
-                    held = row
-                elif _linked(held[3:], row[3:], percent):
-                    linked.append(row[:2])
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in linked], pa.int64()), pa.array([x[1] for x in linked], pa.int64())], names=["a", "b"])
 
-    return run
+class _Block:
+    """Rows of one block of a tile: who may be whose partner."""
 
+    def __init__(self, rows: list[tuple], percent: int):
+        self.node, self.label, self.size = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
+        self.small, self.side = np.array([r[3] for r in rows], bool), np.array([r[4] for r in rows])
+        self.bits, self.percent = _folded([r[5] for r in rows]), percent
+        self.cross = len(np.unique(self.side)) > 1
 
-def _linked(one: tuple, other: tuple, percent: int) -> bool:
-    (n, bits, members), (m, other_bits, other_members) = one, other
-    rows = _folded([bits, other_bits])
-    only = np.bitwise_count(rows & ~rows[::-1]).sum(axis=1)
-    if not _links(_most_common(n, m, int(only[0]), int(only[1])), n, m, percent):
-        return False
-    common = len(np.intersect1d(np.frombuffer(members, np.uint64), np.frombuffer(other_members, np.uint64), assume_unique=True))
-    return bool(_links(common, n, m, percent))
-
-
-def _verify(pairs: DataFrame, signatures: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) that link. Both sides come from one join, so signatures cross one exchange."""
-    sides = pairs.select("a", "b", F.explode(F.array("a", "b")).alias("id")).join(signatures, "id")
-    sides = sides.select("a", "b", "id", "n", "bitmap", "members")
-    return sides.repartition("a", "b").sortWithinPartitions("a", "b", "id").mapInArrow(_settle(percent), "a long, b long")
-
-
-def _promising(rows: list[tuple], cross: bool, percent: int, most: int) -> list[tuple]:
-    """One tile, rows (id, component, n, bitmap, block): pairs across components that the
-    bit bound allows, the likeliest ``most`` of each component. One of the others is
-    given with a mark, to tell that there are more."""
-    ids, comps, sizes = (np.array([r[k] for r in rows], np.int64) for k in (0, 1, 2))
-    blocks = np.array([r[4] for r in rows])
-    bits = _folded([r[3] for r in rows])
-    found = []
-    for i in range(len(rows)):
-        other = (blocks > blocks[i]) if cross else (ids > ids[i])
-        at = np.flatnonzero(other & (comps != comps[i]) & (100 * np.minimum(sizes, sizes[i]) >= percent * np.maximum(sizes, sizes[i])))
+    def partners(self, i: int) -> np.ndarray:
+        """Larger sets of other components that the bound allows, most alike first."""
+        at = (self.size >= self.size[i]) & (self.percent * self.size <= 100 * self.size[i]) & (self.label != self.label[i])
+        if self.cross:
+            at &= self.side != self.side[i]
+        at = np.flatnonzero(at)
         if not len(at):
-            continue
-        only_i = np.bitwise_count(bits[i] & ~bits[at]).sum(axis=1).astype(np.int64)
-        only_at = np.bitwise_count(bits[at] & ~bits[i]).sum(axis=1).astype(np.int64)
-        bound = _most_common(sizes[i], sizes[at], only_i, only_at)
-        for k in np.flatnonzero(_links(bound, sizes[i], sizes[at], percent)):
-            j = at[k]
-            pair = (min(comps[i], comps[j]), max(comps[i], comps[j]))
-            found.append((-bound[k] / (sizes[i] + sizes[j] - bound[k]), int(ids[i]), int(ids[j]), pair))
-    found.sort()
-    counts: dict[int, int] = {}
-    out, dropped = [], None
-    for score, x, y, (c, d) in found:
-        if min(counts.get(c, 0), counts.get(d, 0)) < most:
-            out.append((x, y, int(c), int(d), float(-score), False))
-            for k in (c, d):
-                counts[k] = counts.get(k, 0) + 1
-        else:
-            dropped = (x, y, int(c), int(d), float(-score), True)
-    return out + ([dropped] if dropped else [])
-
-
-def _tiles(percent: int, most: int):
-    """Rows sorted by tile -> pairs; a task holds one tile (two blocks of limited size) at a time."""
+            return at
+        only_i = np.bitwise_count(self.bits[i] & ~self.bits[at]).sum(axis=1, dtype=np.int64)
+        only_at = np.bitwise_count(self.bits[at] & ~self.bits[i]).sum(axis=1, dtype=np.int64)
+        bound = _most_common(self.size[i], self.size[at], only_i, only_at)
+        allowed = _links(bound, self.size[i], self.size[at], self.percent)
+        at, bound = at[allowed], bound[allowed]
+        return at[np.lexsort((self.node[at], -bound))]
+
+    def join(self, i: int, j: int) -> None:
+        self.label[self.label == self.label[j]] = self.label[i]
+
+    def forest(self) -> list[tuple]:
+        """Pairs that would join the block's components, were all allowed pairs links."""
+        out = []
+        for i in np.flatnonzero(self.small):
+            at = self.partners(i)
+            while len(at):
+                out.append((int(self.node[i]), int(self.node[at[0]])))
+                self.join(i, at[0])
+                at = at[self.label[at] != self.label[i]]
+        return out
+
+    def open_rows(self) -> np.ndarray:
+        """Rows with an allowed partner in another component."""
+        seen = np.zeros(len(self.node), bool)
+        for i in np.flatnonzero(self.small):
+            at = self.partners(i)
+            seen[at] = True
+            seen[i] |= len(at) > 0
+        return np.flatnonzero(seen)
+
+    def links(self, members: list[bytes]) -> list[tuple]:
+        """Links that join components; every allowed pair across components is settled."""
+        out = []
+        for i in np.flatnonzero(self.small):
+            for j in self.partners(i):
+                if self.label[i] != self.label[j] and _exact(members[i], members[j], self.percent):
+                    out.append((int(self.node[i]), int(self.node[j])))
+                    self.join(i, j)
+        return out
+
+
+_ROW = ["node", "component", "n", "small", "side", "bitmap"]
+
+
+def _by_block(columns: list[str], extra: list[str], schema: pa.Schema, settle):
+    """Rows sorted by the block's ``columns`` -> what ``settle(key, rows, extras)`` makes of each block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tile, rows, out = None, [], []
-
-        def settle():
-            if len(rows) > 1:
-                out.extend(_promising(rows, tile[1] != tile[2], percent, most))
-
-        for batch in batches:
-            columns = (batch[c].to_pylist() for c in ("key", "i", "j", "id", "component", "n", "bitmap", "block"))
-            for key, i, j, *row in zip(*columns):
-                if (key, i, j) != tile:
-                    settle()
-                    tile, rows = (key, i, j), []
-                rows.append(tuple(row))
+        block, rows, extras, out = None, [], [], []
+        for batch in slices(batches, 1024):
+            keys = zip(*(batch[c].to_pylist() for c in columns))
+            more = zip(*(batch[c].to_pylist() for c in extra)) if extra else iter(lambda: (), None)
+            for key, row, x in zip(keys, zip(*(batch[c].to_pylist() for c in _ROW)), more):
+                if key != block:
+                    if len(rows) > 1:
+                        out.extend(settle(block, rows, extras))
+                    block, rows, extras = key, [], []
+                rows.append(row)
+                extras.append(x)
             if out:
-                yield _pairs_batch(out)
-                out.clear()
-        settle()
-        yield _pairs_batch(out)
+                yield _batch(out, schema)
+                out = []
+        if len(rows) > 1:
+            out.extend(settle(block, rows, extras))
+        yield _batch(out, schema)
 
     return run
 
 
-PAIRS = "a long, b long, ca long, cb long, likeness double, cut boolean"
-_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("ca", pa.int64()), ("cb", pa.int64()), ("likeness", pa.float64()), ("cut", pa.bool_())])
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
 
+def _forests(percent: int):
+    return _by_block(["key", "band", "block"], [], _PAIR, lambda key, rows, _: _Block(rows, percent).forest())
 
-def _pairs_batch(out: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], f.type) for k, f in enumerate(_PAIRS)], schema=_PAIRS)
 
+def _open(percent: int):
+    schema = pa.schema([("key", pa.int64()), ("band", pa.int32()), ("i", pa.int32()), ("j", pa.int32()), *((c, t) for c, t in zip(_ROW[:-1], (pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int32())))])
 
-def _best(pairs: DataFrame, most: int) -> DataFrame:
-    """Of the pairs of all tiles, the likeliest ``most`` of each component."""
-    rank = Window.partitionBy("component").orderBy(F.desc("likeness"), "a", "b")
-    ends = pairs.select("a", "b", "likeness", F.explode(F.array("ca", "cb")).alias("component"))
-    return ends.withColumn("rank", F.row_number().over(rank)).filter(F.col("rank") <= most).select("a", "b").distinct()
+    def settle(key, rows, _):
+        return [(*key, *rows[k][:-1]) for k in _Block(rows, percent).open_rows()]
 
+    return _by_block(["key", "band", "i", "j"], [], schema, settle)
 
-def _open_pairs(groups: DataFrame, signatures: DataFrame, labels: DataFrame, percent: int, most: int) -> DataFrame:
-    """Pairs across components, in segments that still have several of them."""
-    members = groups.join(labels, "id", "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    spans = members.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"))
-    # segments with the same members need looking at once
-    spans = spans.filter("lo < hi").groupBy("m", "who").agg(F.min("key").alias("key"))
-    members = stage(members.join(spans, "key").select("key", "m", "id", "component"), "open-segments")
-    # blocks are dealt by sizes alone; bitmaps join last and cross one exchange
-    full = members.join(signatures.select("id", "n"), "id")
-    per_block = F.greatest(F.lit(1), F.floor(BLOCK_BYTES / F.greatest(F.lit(64), F.col("n"))))  # a bitmap has n / 4 to n / 2 bytes, n alike in a tile
-    blocks = full.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / F.min(F.least(per_block, F.lit(1024)))).cast("int").alias("blocks"))
-    dealt = full.join(blocks, "key").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
-    every = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda i: F.struct(F.least("block", i).alias("i"), F.greatest("block", i).alias("j")))
-    copies = dealt.select("key", "id", "component", "n", "block", F.explode(every).alias("t")).select("key", "t.i", "t.j", "block", "id", "component", "n")
-    copies = copies.join(signatures.select("id", "bitmap"), "id").select("key", "i", "j", "id", "component", "n", "bitmap", "block")
-    return copies.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").mapInArrow(_tiles(percent, most), PAIRS)
+
+def _settled(percent: int):
+    return _by_block(["key", "band", "i", "j"], ["members"], _PAIR, lambda key, rows, extras: _Block(rows, percent).links([x[0] for x in extras]))
+
+
+def _verified(percent: int):
+    """Rows (a, b, node, members) sorted by pair, one for each side -> the pairs that link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in slices(batches):
+            linked = []
+            for a, b, node, members in zip(*(batch[c].to_pylist() for c in ("a", "b", "node", "members"))):
+                if held is not None and held[:2] == (a, b) and held[2] != node and _exact(held[3], members, percent):
+                    linked.append((a, b))
+                held = (a, b, node, members)
+            yield _batch(linked, _PAIR)
+
+    return run
 
 
 # ---- the operator ------------------------------------------------------------
+def _members(work: DataFrame, nodes: DataFrame, wanted: DataFrame, n: int) -> DataFrame:
+    """(node, members, bitmap) of the wanted nodes. Texts stay where they are: a broadcast set of
+    text hashes, bounded in size, spares most of them; the exact join follows."""
+    wanted = nodes.join(wanted.select("node").distinct(), "node").select("node", "d1", "d2", "h")
+    hashes = wanted.select("h").limit(FILTER_ROWS + 1).toArrow()["h"].to_numpy()
+    shared = work.sparkSession.sparkContext.broadcast(np.sort(hashes) if len(hashes) <= FILTER_ROWS else None)
+    schema = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("members", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, seen = _WordHashes(), set()
+        for batch in batches:
+            if shared.value is not None:
+                h = batch["h"].to_numpy()
+                batch = batch.filter(pa.array(np.isin(h, shared.value)))
+            for part in slices(iter([batch])):
+                rows = []
+                for h, text in zip(part["h"].to_pylist(), part["text"].to_pylist()):
+                    copy = (h, hash(text))
+                    s = () if copy in seen else ngram_set(text, n, words)
+                    if len(s):
+                        if len(seen) >= 500_000:
+                            seen.clear()
+                        seen.add(copy)
+                        rows.append((*_digest(s), s.tobytes()))
+                yield _batch(rows, schema)
+
+    found = work.select("h", "text").mapInArrow(run, "d1 long, d2 long, members binary")
+    return found.join(wanted.select("node", "d1", "d2"), ["d1", "d2"]).dropDuplicates(["node"]).select("node", "members")
+
+
+def _dealt() -> Column:
+    """Blocks for a tile's rows: bounded in number of rows and in bytes."""
+    return F.ceil(F.count(F.lit(1)) / F.min(F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / F.greatest(F.lit(64), F.col("n"))))))).cast("int")
+
+
+def _cells(tiles: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows of tiles that hold several components, once for each pair of blocks that must meet."""
+    rows = tiles.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    counted = rows.groupBy("key", "band", "component").agg(F.count(F.lit(1)).alias("m"), F.max("small").alias("small"), F.max("n").alias("n"))
+    per = F.least(F.lit(BLOCK_ROWS), F.greatest(F.lit(1), F.floor(F.lit(BLOCK_BYTES) / F.greatest(F.lit(64), F.max("n")))))
+    spans = counted.groupBy("key", "band").agg(
+        F.count(F.lit(1)).alias("components"), F.max_by("component", F.struct("m", "component")).alias("major"), F.max("m").alias("majors"), F.sum("m").alias("all"), F.max("small").alias("any_small"), per.alias("per")
+    ).filter("components > 1 AND any_small")
+    spans = spans.select("key", "band", "major", F.ceil(F.col("majors") / F.col("per")).cast("int").alias("mb"), F.ceil((F.col("all") - F.col("majors")) / F.col("per")).cast("int").alias("ob"))
+    rows = rows.join(spans, ["key", "band"])
+    major = F.col("component") == F.col("major")
+    block = F.pmod(F.xxhash64("node"), F.when(major, F.col("mb")).otherwise(F.col("ob"))).cast("int")
+    rows = rows.withColumn("block", block)
+    # cells (i, j): blocks of the others among themselves, i <= j < ob; block i of the others with block j - ob of the major ones
+    with_others = F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda k: F.struct(F.least(k, "block").alias("i"), F.greatest(k, "block").alias("j"), (F.col("block") > k).cast("int").alias("side")))
+    with_majors = F.transform(F.sequence(F.lit(0), F.col("mb") - 1), lambda k: F.struct(F.col("block").alias("i"), (F.col("ob") + k).alias("j"), F.lit(0).alias("side")))
+    from_majors = F.transform(F.sequence(F.lit(0), F.col("ob") - 1), lambda k: F.struct(k.alias("i"), (F.col("ob") + F.col("block")).alias("j"), F.lit(1).alias("side")))
+    cells = F.when(major, from_majors).otherwise(F.concat(with_others, with_majors))
+    return rows.select("key", "band", "node", "component", "n", "small", F.explode(cells).alias("t")).select("key", "band", "t.i", "t.j", "node", "component", "n", "small", "t.side")
+
+
+def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
+    """(doc_id, h, n, component) for every row: h is ``xxhash64(text)``, component a number (NULL for an empty set)."""
+    spark = docs.sparkSession
+    work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
+    digests = stage(work.mapInArrow(_digests(n), "doc_id long, h long, n long, d1 long, d2 long, bitmap binary"), "digests")
+    nodes = digests.filter("n > 0").groupBy("d1", "d2").agg(F.max("n").alias("n"), F.min("h").alias("h"), F.max("bitmap").alias("bitmap"))
+    nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+
+    sample = bounded_sample(work.filter(F.col("text").isNotNull()), F.col("h"), SAMPLE_DOCS).select("text")
+    common = sample.mapInArrow(_sampled(n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= SHARED_BY)
+    common = common.orderBy(F.desc("n"), "gram").limit(SHARED_MOST).select("gram").toArrow()["gram"].to_numpy()
+    order = spark.sparkContext.broadcast(np.sort(common.astype(np.int64).view(np.uint64)))
+    keys = work.select("text").mapInArrow(_keys(n, percent, order), "key long, d1 long, small boolean")
+    shared = keys.repartition("key").sortWithinPartitions("key", F.desc("small"), "d1").mapInArrow(_shared_keys, "key long, d1 long, small boolean")
+    groups = shared.join(nodes.select("d1", "node", "n"), "d1").select("key", "node", "n", "small")
+    tiles = stage(_tiles(groups, percent), "tiles")
+
+    # one pass of forests inside blocks, settled exactly
+    alive = tiles.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"), F.max("small").alias("any_small"), _dealt().alias("blocks")).filter("m > 1 AND any_small")
+    dealt = tiles.join(alive.select("key", "band", "blocks"), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int"))
+    bitmaps = nodes.select("node", "bitmap")
+    rows = dealt.join(bitmaps, "node").select("key", "band", "block", "node", F.col("node").alias("component"), "n", "small", F.lit(0).alias("side"), "bitmap")
+    forest = rows.repartition("key", "band", "block").sortWithinPartitions("key", "band", "block").mapInArrow(_forests(percent), "a long, b long")
+    forest = stage(forest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "forest")
+    ends = forest.select("a", "b", F.explode(F.array("a", "b")).alias("node"))
+    sides = ends.join(_members(work, nodes, ends, n), "node").select("a", "b", "node", "members")
+    links = stage(sides.repartition("a", "b").sortWithinPartitions("a", "b", "node").mapInArrow(_verified(percent), "a long, b long"), "links")
+    labels = stage(components(links), "labels").select(F.col("id").alias("node"), "component")
+
+    # what still may link components is settled inside its tile
+    cells = _cells(tiles, labels).join(bitmaps, "node").select("key", "band", "i", "j", *_ROW)
+    left = cells.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j")
+    left = stage(left.mapInArrow(_open(percent), "key long, band int, i int, j int, node long, component long, n long, small boolean, side int"), "open-rows")
+    full = left.join(_members(work, nodes, left, n), "node").join(bitmaps, "node").select("key", "band", "i", "j", *_ROW, "members")
+    more = full.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j").mapInArrow(_settled(percent), "a long, b long")
+    labels = stage(components(stage(links.union(more), "links")), "labels").select(F.col("id").alias("node"), "component")
+
+    named = nodes.join(labels, "node", "left").select("d1", "d2", F.coalesce("component", "node").alias("component"))
+    return digests.select("doc_id", "h", "n", "d1", "d2").join(named, ["d1", "d2"], "left").select("doc_id", "h", "n", "component")
+
+
 def join_components(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of ``docs`` (doc_id, text)."""
-    work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digests = stage(work.mapInArrow(_digests(n), "doc_id long, n long, d1 long, d2 long"), "digests")
-    nodes = stage(digests.filter("n > 0").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.max("n").alias("n")).filter("id IS NOT NULL"), "nodes")
-
-    keys = work.select("text").mapInArrow(_keys(n, percent), "key long, d1 long, d2 long")
-    shared = keys.repartition("key").sortWithinPartitions("key", "d1", "d2").mapInArrow(_shared_segments, "key long, d1 long, d2 long")
-    shared = stage(shared, "shared-segments")
-    groups = stage(shared.join(nodes.select("d1", "d2", "id"), ["d1", "d2"]).select("key", "id"), "segment-members")
-
-    wanted = groups.select("id").distinct()
-    signatures = stage(work.withColumnRenamed("doc_id", "id").join(wanted, "id", "left_semi").mapInArrow(_signatures(n), "id long, n long, bitmap binary, members binary"), "signatures")
-
-    # every node against one other: the smallest node of most of its segments
-    centres = groups.groupBy("key").agg(F.min("id").alias("centre"))
-    votes = groups.join(centres, "key").filter("id <> centre").groupBy("id", "centre").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("id").agg(F.max_by("centre", F.struct("votes", -F.col("centre"))).alias("b")).select(F.col("id").alias("a"), "b")
-    links = stage(_verify(best, signatures, percent), "links")
-
-    most, cut = FIRST_PAIRS, True
-    labels = stage(components(links), "labels")
-    while cut:
-        tested = stage(_open_pairs(groups, signatures, labels, percent, most), "open-pairs")
-        pairs = tested.filter("NOT cut").groupBy("a", "b").agg(F.max("ca").alias("ca"), F.max("cb").alias("cb"), F.max("likeness").alias("likeness"))
-        found = stage(_best(pairs, most), "best-pairs")
-        more = stage(_verify(found, signatures, percent), "links")
-        cut = bool(tested.filter("cut").limit(1).count()) or found.count() < pairs.count()
-        if more.limit(1).count():
-            links = links.union(more)
-            labels = stage(components(links), "labels")
-        most *= 8
-
-    named = nodes.join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component_id"))
-    joined = digests.join(named, ["d1", "d2"], "left")
+    rows = stage(classes(docs, n, percent), "classes")
+    smallest = rows.filter("n > 0").groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    joined = rows.join(smallest, "component", "left")
     return joined.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def first_of_each(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each component, the one with the smallest id (NULL ids last, ties by text hash).
+
+    Rows with an empty set stay, once for each id and text.
+    """
+    rows = classes(docs, n, percent)
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("x")
+    linked = rows.filter("n > 0").groupBy("component").agg(best).select("x.doc_id", "x.h")
+    keep = linked.union(rows.filter("n = 0").select("doc_id", "h").distinct())
+    # hash columns of both sides: NULL ids meet too, and the window needs no other exchange
+    keep = keep.select(F.coalesce("doc_id", "h").alias("__k"), F.col("h").alias("__h"), F.col("doc_id").isNull().alias("__none"))
+    own = docs.withColumns({"__h": F.xxhash64("text"), "__none": F.col("doc_id").isNull()}).withColumn("__k", F.coalesce(F.col("doc_id").cast("long"), F.col("__h")))
+    copy = F.row_number().over(Window.partitionBy("__k", "__h", "__none").orderBy(F.lit(1)))
+    return own.join(keep, ["__k", "__h", "__none"], "left_semi").withColumn("__copy", copy).filter("__copy = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
