@@ -7,7 +7,7 @@ columns of documents.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import mixture, ngram_join, packing, quality_ledger, queries, toxicity
@@ -39,15 +39,10 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one with the smallest id, of each group of near copies.
 
-    A row without an id is known by a hash of its text (below every id), so that
-    equal ones among them are one document too.
+    Rows without an id come last; texts of one id are each compared; of rows that
+    repeat id and text one stays, also where the text has no words.
     """
-    by_text = -F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 2) - F.lit(2**62)
-    keyed = docs.select(F.coalesce(F.col("doc_id").cast("long"), by_text).alias("key"), F.struct(*_all(docs)).alias("row"))
-    joined = ngram_join.join_components(keyed.select(F.col("key").alias("doc_id"), F.col("row.text").alias("text")), NEAR_WORDS, NEAR_PERCENT)
-    first = joined.filter(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("key")).distinct()
-    repeated = Window.partitionBy("key").orderBy(F.xxhash64("row.text"))
-    return keyed.join(first, "key", "left_semi").withColumn("copy", F.row_number().over(repeated)).filter("copy = 1").select("row.*")
+    return ngram_join.first_of_each(docs, NEAR_WORDS, NEAR_PERCENT)
 
 
 def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
