@@ -192,6 +192,28 @@ def test_plan_is_close_to_the_bound():
         packing.plan({11: 1}, packing.Capacity(tokens=10))
 
 
+def test_every_capacity_binds_in_the_pipeline(spark):
+    docs = spark.createDataFrame([(i, "word " * n) for i, n in enumerate([1500] * 30 + [900] * 60 + [3] * 900)], "doc_id long, text string")
+    cap = corpus_pipeline.CAPACITY
+    got = packing.pack(docs, vocabulary("word_bpe_49k.json"), cap).groupBy("sequence_id").agg(F.sum("length").alias("t"), F.count("piece").alias("d"), F.sum(F.col("length") * F.col("length")).alias("a"), F.max("length").alias("m")).collect()
+    assert all(r["t"] <= cap.tokens and r["d"] <= cap.documents and r["a"] <= cap.attention and r["m"] <= cap.piece for r in got)
+    assert any(r["d"] == cap.documents and r["t"] < cap.tokens for r in got)  # documents bind
+    assert any(r["t"] + 901 <= cap.tokens and r["a"] + 901**2 > cap.attention for r in got)  # attention binds
+
+
+def test_pieces_have_the_library_s_ids():
+    """Merges alone against the whole library, on usual pieces of every letter the pattern knows."""
+    from tidemark.llm.pretokens import LETTERS, WORD_PIECES, piece_ids, tokenizer
+
+    path = vocabulary("word_bpe_49k.json")
+    rng = random.Random(2)
+    letters = [chr(c) for c in range(0x10000) if re.match(f"[{LETTERS}]", chr(c))]
+    text = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 9))) for _ in range(4000)) + " ".join("".join(rng.choice("abcdefgh.,-!?'§°€»“”…0123456789") for _ in range(rng.randrange(1, 12))) for _ in range(4000))
+    found, ids = set(WORD_PIECES.findall(text.lower())), piece_ids(path)
+    for piece in found:
+        assert ids(piece) == tokenizer(path).encode(piece, add_special_tokens=False).ids, piece
+
+
 def test_pack_round_trip(spark):
     from tokenizers import Tokenizer
 

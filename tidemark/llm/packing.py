@@ -14,7 +14,8 @@ What comes out is, for each length, a list of rank ranges and the sequences they
 fill. Ranks are then given to pieces by counting in hashed buckets, so no length,
 not even one that holds a third of all pieces, is numbered in one task.
 
-Defined cases: only documents longer than ``max_tokens`` are cut; an empty or NULL
+Defined cases: only documents longer than ``max_tokens`` (of a sequence, or as
+``Capacity.piece`` says) are cut; an empty or NULL
 text is the closing id alone; repeated rows are packed each; an empty table gives
 an empty table; further columns are ignored.
 """
@@ -22,6 +23,7 @@ an empty table; further columns are ignored.
 from __future__ import annotations
 
 import math
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.common import slices
-from tidemark.llm.pretokens import UNUSUAL, WORD_PIECES, Cache, tokenizer
+from tidemark.llm.pretokens import UNUSUAL, WORD_PIECES, Cache, piece_ids, tokenizer
 from tidemark.runtime import stage
 
 CLOSING_ID = 0
@@ -48,6 +50,8 @@ class Capacity:
     tokens: int = 2048
     documents: int = 2048
     attention: int = 2048 * 2048
+    #: longest piece, where that is less than a whole sequence; attention can bind only then
+    piece: int | None = None
     #: how much each counts when sequences are compared
     weights: tuple[float, float, float] = (1.0, 0.05, 0.05)
     #: "norm": smallest weighted residual after placing; "dot": largest weighted dot product before
@@ -66,7 +70,13 @@ def pieces(docs: DataFrame, path: str, max_tokens: int) -> DataFrame:
         t = tokenizer(path)
         cache = _CACHES.get(path)
         if cache is None:
-            cache = _CACHES[path] = Cache(lambda p: np.array(t.encode(p, add_special_tokens=False).ids, "<u4").tobytes())
+            ids_of, forms = piece_ids(path), [struct.Struct(f"<{k}I") for k in range(65)]
+
+            def packed(piece: str) -> bytes:
+                found = ids_of(piece)
+                return forms[len(found)].pack(*found) if len(found) < len(forms) else np.array(found, "<u4").tobytes()
+
+            cache = _CACHES[path] = Cache(packed)
         get = cache.__getitem__
         for batch in slices(batches):
             at, number, start, length, crc = [], [], [], [], []
@@ -169,7 +179,7 @@ def _ranked(rows: DataFrame) -> tuple[DataFrame, dict[int, int]]:
 
 def pack(docs: DataFrame, path: str, cap: Capacity = Capacity()) -> DataFrame:
     """Every piece with its ``sequence_id`` and ``offset``."""
-    ranked, histogram = _ranked(pieces(docs, path, cap.tokens))
+    ranked, histogram = _ranked(pieces(docs, path, cap.piece or cap.tokens))
     table: dict[int, np.ndarray] = {}
     for row in plan(histogram, cap):
         table.setdefault(row[0], []).append(row[1:])

@@ -19,6 +19,10 @@ UNUSUAL = re.compile(f"[^\t-\r -~{LETTERS}¡§©«®°·»¿‐-‧‰-⁞€]|<
 BYTE_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTERS}]+| ?[0-9]+| ?[^\\s{LETTERS}0-9]+|\\s+(?!\\S)|\\s+")
 WORD_PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]|[^\\s{LETTERS}0-9]+")
 
+#: Byte -> the character that byte-level vocabularies write for it: printable Latin-1 ones stand for themselves, the others follow from 256 on.
+_PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not in _PRINTABLE)}
+
 _LOADED: dict[str, object] = {}
 
 
@@ -31,6 +35,17 @@ def tokenizer(path: str):
     return _LOADED[path]
 
 
+def piece_ids(path: str) -> Callable[[str], list[int]]:
+    """Ids of one lower-case piece of a text without unusual characters: the merges alone,
+    as normalising and splitting change nothing there."""
+    model = tokenizer(path).model
+
+    def ids(piece: str) -> list[int]:
+        return [x.id for x in model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(_BYTE_CHARS))]
+
+    return ids
+
+
 class Cache(dict):
     """piece -> value, worked out once; emptied when ``limit`` new pieces came in."""
 
