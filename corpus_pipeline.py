@@ -17,6 +17,8 @@ from tidemark.runtime import stage
 
 NEAR_WORDS, NEAR_PERCENT = 5, 80
 TOXIC = 0.5
+#: Pieces of half a sequence, at most 24 in one, and one and a half full pieces' attention: each of the three can bind.
+CAPACITY = packing.Capacity(tokens=queries.SEQUENCE, piece=1024, documents=24, attention=3 * 1024**2 // 2)
 
 
 def _all(docs: DataFrame) -> list:
@@ -52,7 +54,7 @@ def source_mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces with their sequence and offset."""
-    return packing.pack(docs, vocabulary("word_bpe_49k.json"), packing.Capacity(tokens=queries.SEQUENCE))
+    return packing.pack(docs, vocabulary("word_bpe_49k.json"), CAPACITY)
 
 
 STAGES = [
