@@ -211,11 +211,21 @@ def _band_edges(percent: int) -> list[int]:
 
 
 def _tiles(groups: DataFrame, percent: int) -> DataFrame:
-    """(key, node, n, small) -> one row for each band (two at most) in which the set may meet a partner."""
+    """(key, node, n, small) -> rows (key, band, node, n, small) of tiles that may hold a link.
+
+    A set is in two bands at most: its own, where it may be the smaller one, and the
+    one below. Near copies share many keys, and so would meet in as many tiles: of
+    tiles with equal rows one is kept.
+    """
     edges = ", ".join(f"{e}L" for e in _band_edges(percent))
     banded = groups.withColumn("own", F.expr(f"size(filter(array({edges}), e -> e <= n))"))
-    each = banded.select("key", "node", "n", "small", "own", F.explode(F.array("own", F.col("own") - 1)).alias("band"))
-    return each.select("key", "band", "node", "n", (F.col("small") & (F.col("own") == F.col("band"))).alias("small"))
+    each = banded.select("key", "node", "n", F.col("small").alias("leads"), "own", F.explode(F.array("own", F.col("own") - 1)).alias("band"))
+    each = each.select("key", "band", "node", "n", (F.col("own") == F.col("band")).alias("small"), (F.col("leads") & (F.col("own") == F.col("band"))).alias("leads"))
+    each = stage(each, "tile-rows")
+    who = [F.bit_xor(F.xxhash64(F.lit(seed), "node", "small")).alias(f"who{seed}") for seed in (1, 2)]
+    kinds = each.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"), F.max("leads").alias("leads"), *who).filter("m > 1 AND leads")
+    kept = kinds.groupBy("band", "m", "who1", "who2").agg(F.min("key").alias("key"))
+    return each.join(kept.select("key", "band"), ["key", "band"]).select("key", "band", "node", "n", "small")
 
 
 # ---- bounds and exact test ----------------------------------------------------
@@ -440,7 +450,7 @@ def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     tiles = stage(_tiles(groups, percent), "tiles")
 
     # one pass of forests inside blocks, settled exactly
-    alive = tiles.groupBy("key", "band").agg(F.count(F.lit(1)).alias("m"), F.max("small").alias("any_small"), _dealt().alias("blocks")).filter("m > 1 AND any_small")
+    alive = tiles.groupBy("key", "band").agg(_dealt().alias("blocks"))
     dealt = tiles.join(alive.select("key", "band", "blocks"), ["key", "band"]).withColumn("block", F.pmod(F.xxhash64("key", "node"), F.col("blocks")).cast("int"))
     bitmaps = nodes.select("node", "bitmap")
     rows = dealt.join(bitmaps, "node").select("key", "band", "block", "node", F.col("node").alias("component"), "n", "small", F.lit(0).alias("side"), "bitmap")
