@@ -117,3 +117,24 @@ def test_lag_beyond_the_sum_fails(spark):
     with pytest.raises(Exception, match="lag over max_lag"):
         stats.hac(df).collect()
     assert stats.hac(df, max_lag=40).first()["standard_error"] > 0
+
+
+def test_ranking_lists_negative_regimes_and_drops_the_weaker_of_two_alike(spark):
+    hac = "rule_id string, horizon int, regime string, evidence_status string, n_dates long, ci_lower double, ci_upper double, multiple_testing_reject boolean"
+    good = lambda rule, lower, n=2: [(rule, h, "bearish", "descriptive_hac", 80, lower, 0.1, True) for h in (1, 3, 5)[:n]]
+    primary = spark.createDataFrame(good("a", 0.01, 3) + good("b", 0.03) + good("c", 0.02) + good("d", 0.01, 1), hac)
+    others = spark.createDataFrame([("b", 1, "bullish", "descriptive_hac", 80, -0.3, -0.1, True), ("b", 10, "bullish", "descriptive_hac", 80, -0.3, -0.1, True), ("a", 1, "bullish", "descriptive_hac", 80, -0.3, 0.1, False)], hac)
+    years = primary.select("rule_id", "horizon", "regime", F.lit(1.0).alias("positive_year_fraction"))
+    unique = spark.createDataFrame([("a", 0.5)], "rule_id string, mean_unique_event_fraction double")
+    ranked = stats.rank_rules(primary, primary, years, unique, others=others)
+    assert [(r["rule_id"], r["status"][:8], r["negative_other_regimes"]) for r in ranked.orderBy("position").collect()] == [
+        ("a", "event_st", []), ("b", "event_st", ["bullish:001", "bullish:010"]), ("c", "event_st", []), ("d", "research", [])
+    ]
+    pairs = [("a", "b", 0.1, 0.2, 0.7), ("a", "c", 0.1, 0.1, 0.1), ("a", "d", 1.0, 1.0, 1.0), ("b", "c", 0.9, 0.9, 0.9)]
+    overlaps = spark.createDataFrame(pairs, "left_rule string, right_rule string, jaccard double, left_near double, right_near double")
+    status = lambda df: {r["rule_id"]: r["status"].rsplit("_", 1)[-1] for r in df.collect()}
+    # b falls to a; c is much like b only, which has gone already; d never survived
+    assert status(stats.drop_redundant(ranked, overlaps, ["a", "b", "c", "d"])) == {"a": "survivor", "b": "overlap", "c": "survivor", "d": "event"}
+    assert status(stats.drop_redundant(ranked, overlaps, ["b", "c", "a", "d"])) == {"a": "survivor", "b": "overlap", "c": "overlap", "d": "event"}
+    assert status(stats.drop_redundant(ranked, overlaps, ["a", "b", "c", "d"], {"a": "x", "c": "x"})) == {"a": "survivor", "b": "overlap", "c": "overlap", "d": "event"}
+    assert status(stats.drop_redundant(ranked, overlaps, ["a", "b", "c", "d"], threshold=1.1)) == {"a": "survivor", "b": "survivor", "c": "survivor", "d": "event"}

@@ -336,9 +336,13 @@ def rank_rules(
     min_dates: int = 60,
     min_positive_horizons: int = 2,
     min_year_share: float = 0.6,
+    others: DataFrame | None = None,
 ) -> DataFrame:
     """Order rules by how many horizons hold up; no portfolio terms.
 
+    ``others``: HAC rows of the other regimes; where their interval lies below
+    zero they are listed as ``negative_other_regimes`` (regime:horizon, sorted).
+
     ``primary``: HAC rows with multiple_testing_reject; ``stress``: HAC rows under
     the required multiple; ``years``: positive_year_fraction; ``uniqueness``:
     (rule_id, mean_unique_event_fraction).
@@ -367,12 +371,47 @@ def rank_rules(
             "status": F.when(gate, "event_study_survivor").otherwise("research_eliminated_event"),
         }
     )
+    if others is not None:
+        worse = others.where(F.col("ci_upper") < 0).groupBy("rule_id").agg(
+            F.sort_array(F.collect_set(F.concat_ws(":", "regime", F.lpad(F.col("horizon").cast("string"), 3, "0")))).alias("negative_other_regimes")
+        )
+        out = out.join(worse, "rule_id", "left").withColumn("negative_other_regimes", F.coalesce("negative_other_regimes", F.array().cast("array<string>")))
     order = Window.orderBy(
         F.desc("positive_horizons"), F.desc(F.coalesce("minimum_positive_ci_lower", F.lit(-1e99))), F.desc("mean_unique_event_fraction"), "rule_id"
     )  # one row per rule of the run
     return out.withColumn("position", F.row_number().over(order))
 
 
+def drop_redundant(ranked: DataFrame, overlaps: DataFrame, rules: list[str], families: dict[str, str] | None = None, threshold: float = 0.6) -> DataFrame:
+    """Of two survivors that overlap much, the one ranked lower is eliminated.
+
+    Two rules overlap much when they are of one family, or when the larger of
+    exact Jaccard and both near shares reaches ``threshold``. Pairs are looked at
+    in the order of ``rules``, and a rule that has gone takes no other with it.
+    The fold runs over the pairs of a short list of rules, in one row.
+    """
+    number = lambda c: F.array_position(F.array(*[F.lit(r) for r in rules]), c)
+    kin = F.create_map(*[F.lit(x) for r in rules for x in (r, (families or {}).get(r, r))])
+    much = (kin[F.col("left_rule")] == kin[F.col("right_rule")]) | (F.greatest("jaccard", "left_near", "right_near") >= threshold)
+    place = ranked.select("rule_id", "position", (F.col("status") == "event_study_survivor").alias("alive"))
+    pairs = (
+        overlaps.where(much).select("left_rule", "right_rule")
+        .join(place.select(F.col("rule_id").alias("left_rule"), F.col("position").alias("lp")), "left_rule")
+        .join(place.select(F.col("rule_id").alias("right_rule"), F.col("position").alias("rp")), "right_rule")
+    )
+    weaker = F.when(F.col("lp") < F.col("rp"), F.col("right_rule")).otherwise(F.col("left_rule"))
+    pair = F.struct(number(F.col("left_rule")).alias("i"), number(F.col("right_rule")).alias("j"), "left_rule", "right_rule", weaker.alias("weaker"))
+    todo = pairs.agg(F.sort_array(F.collect_list(pair)).alias("pairs"))
+    alive = place.where("alive").agg(F.collect_list("rule_id").alias("alive"))
+    left = F.aggregate(
+        "pairs", F.col("alive"), lambda acc, x: F.when(F.array_contains(acc, x["left_rule"]) & F.array_contains(acc, x["right_rule"]), F.array_remove(acc, x["weaker"])).otherwise(acc)
+    )
+    kept = todo.join(alive, F.lit(True)).select(F.explode(left).alias("rule_id"), F.lit(True).alias("__kept"))
+    gone = (F.col("status") == "event_study_survivor") & F.col("__kept").isNull()
+    out = ranked.join(kept, "rule_id", "left")
+    return out.withColumn("status", F.when(gone, "research_eliminated_redundant_high_overlap").otherwise(F.col("status"))).drop("__kept")
+
+
 def run_summary(outcomes: DataFrame, runs: DataFrame) -> DataFrame:
     """Statistics across runs of one rule, out of sample only.
 

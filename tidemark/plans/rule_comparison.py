@@ -49,9 +49,11 @@ def stressed_tests(daily: DataFrame, study: oc.Study) -> DataFrame:
     return stats.hac(moved, by=[*stats.SERIES, "multiple"], max_lag=max(study.horizons))
 
 
-def ranking(bars: DataFrame, rules: list[Rule], benchmark: DataFrame, study: oc.Study, cooldown: int = 20, required_multiple: float = 2.0, **gates) -> DataFrame:
+def ranking(bars: DataFrame, rules: list[Rule], benchmark: DataFrame, study: oc.Study, cooldown: int = 20, required_multiple: float = 2.0, families: dict[str, str] | None = None, overlap_threshold: float = 0.6, **gates) -> DataFrame:
     """All of the above; the outcome rows are used five times, so they are staged."""
     rows = cooled(stage(rule_outcomes(bars, rules, benchmark, study), "outcomes"), cooldown)
     primary, stress, years = dated_tests(rows, study)
     overlaps = ev.overlap(rows.select("rule_id", "symbol", "bar_ix").distinct(), [r.id for r in rules])
-    return stats.rank_rules(primary, stress.where(F.col("multiple") == required_multiple), years, ev.mean_uniqueness(overlaps), **gates)
+    others = stats.hac(stats.daily_effects(rows).where(F.col("regime") != "bearish"), max_lag=max(study.horizons))
+    ranked = stats.rank_rules(primary, stress.where(F.col("multiple") == required_multiple), years, ev.mean_uniqueness(overlaps), others=others, **gates)
+    return stats.drop_redundant(ranked, overlaps, [r.id for r in rules], families, overlap_threshold)

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import datetime as dt
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.signals import lookback
 from tidemark.runtime import scratch
+from tidemark.sources.store import Store
 from tidemark.streaming import incremental as inc
 from workload import common as c
 from workload.common import query, r, with_bars
@@ -30,11 +32,14 @@ def followed(spark, sf, repeat: bool = False) -> inc.FutureRun:
     root = scratch(spark, "future")
     bars = c.raw_bars(spark, sf).select(*[f.split()[0] for f in inc.BAR_SCHEMA.split(", ")])
     run = inc.FutureRun(BREAKDOWN, c.benchmark(spark, sf), c.memberships(spark, sf), root, STUDY)
+    overdue = F.col("session").between(F.lit(D(1997, 11, 1)), F.lit(D(1997, 11, 20))) & F.col("symbol").endswith("5")
     for lo, hi in zip(CUTS, CUTS[1:]):
         since = F.lit(True) if lo is None else F.col("session") >= F.lit(lo)
         part = bars.where(since if hi is None else since & (F.col("session") < F.lit(hi)))
         if repeat and lo is not None:  # the last weeks of the period before come again
             part = part.unionByName(bars.where((F.col("session") >= F.date_sub(F.lit(lo), 20)) & (F.col("session") < F.lit(lo))))
+        if repeat and lo in CUTS[:2]:  # a few bars of the first period come with the second
+            part = part.where(~overdue) if lo is None else part.unionByName(bars.where(overdue))
         part.write.mode("append").parquet(f"{root}/in")
         run.start(inc.read_bar_stream(spark, f"{root}/in", files_per_batch=100_000), f"{root}/checkpoint").awaitTermination()
     run.finish(spark)
@@ -56,9 +61,11 @@ def incremental_tail(spark, sf):
     return c.publish(followed(spark, sf).tail_purged(spark).select("symbol", "session", "horizon", "status"))
 
 
-@query(with_bars(select=f"SELECT symbol, {S}, 'repeated_session' AS reason, 1::BIGINT AS rows FROM (SELECT *, CASE WHEN session < DATE '1998-01-01' THEN 1 WHEN session < DATE '2000-06-01' THEN 2 ELSE 3 END AS per FROM rawbars) QUALIFY (per = 1 AND session >= DATE '1998-01-01' - 20) OR (per = 2 AND session >= DATE '2000-06-01' - 20)"))
+@query(with_bars("per AS (SELECT *, CASE WHEN session < DATE '1998-01-01' THEN 1 WHEN session < DATE '2000-06-01' THEN 2 ELSE 3 END AS per FROM rawbars)",
+    select=f"""SELECT symbol, {S}, 'repeated_session' AS reason, 1::BIGINT AS rows FROM per WHERE (per = 1 AND session >= DATE '1998-01-01' - 20) OR (per = 2 AND session >= DATE '2000-06-01' - 20)
+  UNION ALL SELECT symbol, {S}, 'out_of_order', 1 FROM per WHERE session BETWEEN DATE '1997-11-01' AND DATE '1997-11-20' AND symbol LIKE '%5'"""))
 def incremental_rejects(spark, sf):
-    """Bars that arrive again a batch later are turned away with a reason."""
+    """Bars that arrive again a batch later, or for the first time a period late, are turned away with a reason."""
     return c.publish(followed(spark, sf, repeat=True).rejects(spark).select("symbol", "session", "reason", "rows"))
 
 
@@ -69,6 +76,35 @@ def append_once(spark, sf):
     return c.publish(inc.append_once(old, li, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber"))
 
 
+_LINES = ("l_orderkey", "l_linenumber", "shipped")
+_IN_STORE = "SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber, CAST(CAST(l_shipdate AS DATE) AS VARCHAR) AS shipped, {value} AS l_quantity FROM lineitem GROUP BY 1, 2, 3"
+
+
+def _line_store(spark, sf) -> tuple[Store, DataFrame]:
+    """An empty store of line items by year and bucket of the order, and its rows."""
+    rows = c.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", F.to_date("l_shipdate").alias("shipped"), "l_quantity")
+    parts = {"year": F.year("shipped"), "bucket": F.pmod("l_orderkey", F.lit(4)).cast("int")}
+    return Store(scratch(spark, "lines"), _LINES, parts), rows
+
+
+@query(_IN_STORE.format(value="coalesce(max(l_quantity) FILTER (WHERE l_quantity < 25), max(l_quantity))"))
+def store_append(spark, sf):
+    """Small quantities first, then all, then the first batch again: what was stored stays."""
+    store, rows = _line_store(spark, sf)
+    for batch in (rows.where("l_quantity < 25"), rows, rows.where("l_quantity < 25")):
+        store.append(batch)
+    return c.publish(store.read(spark).select(*_LINES, "l_quantity"))
+
+
+@query(_IN_STORE.format(value="coalesce(max(l_quantity) FILTER (WHERE l_quantity >= 25 AND CAST(l_shipdate AS DATE) >= DATE '2001-01-01'), max(l_quantity) FILTER (WHERE l_quantity < 25), max(l_quantity))"))
+def store_upsert(spark, sf):
+    """All rows, then the small quantities, then the large ones of the last year, which rewrites that year alone."""
+    store, rows = _line_store(spark, sf)
+    for batch in (rows, rows.where("l_quantity < 25"), rows.where("l_quantity >= 25 and shipped >= date'2001-01-01'")):
+        store.upsert(batch)
+    return c.publish(store.read(spark).select(*_LINES, "l_quantity"))
+
+
 @query(with_bars(*_ctes, "cd AS (SELECT session, count(*) OVER (ORDER BY session ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM (SELECT DISTINCT session FROM rawbars WHERE session <= DATE '2001-03-01'))",
     select="SELECT count(*) AS window_dates, count(*) FILTER (WHERE later >= 20) AS committed_dates, (SELECT count(*) FROM outc WHERE session BETWEEN DATE '1999-01-01' AND DATE '2001-06-30') AS events, 'accumulating_not_adjudicable' AS status FROM cd WHERE session >= DATE '1999-01-01'"))
 def run_status(spark, sf):
