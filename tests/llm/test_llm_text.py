@@ -254,3 +254,13 @@ def test_url_models_against_brute_force(spark):
 
     for r in got.values():
         assert abs(r["score"] - score(symbols(r))) < 1e-3
+
+
+def test_language_needs_letters_and_reads_whole_runs(spark):
+    """Signs that count as numbers are no letters; what follows the first letters of a long run counts."""
+    learn = spark.createDataFrame([(i, w * 3, lang) for i in range(20) for lang, w in (("xx", "xxxx xxx xxxxx "), ("yy", "yyyy yyy yyyyy "))], "doc_id long, text string, lang string")
+    model = language_id.fit(learn)
+    rows = [(1, "½ ² 12 Ⅷ"), (2, "x" * 64 + "y" * 5000), (3, "y" * 64 + "x" * 5000), (4, "12xx½xxx"), (5, None), (6, "_ - 3"), (7, "xxx")]
+    got = by_id(language_id.predict(spark.createDataFrame(rows, "doc_id long, text string"), model, [F.col("doc_id")]))
+    assert [got[i]["lang_pred"] for i in range(1, 8)] == ["und", "yy", "xx", "xx", "und", "und", "xx"]
+    assert language_id.letter_runs("Aé½b ²c Ⅷ d_e") == ["aé", "b", "c", "d", "e"]

@@ -36,6 +36,14 @@ LONGEST_GRAM = 5
 UNSEEN_WEIGHT = 0.5
 
 
+def letter_runs(text: str) -> list[str]:
+    """Whole runs of letters, lower case. The pattern lets numeric signs such as one half pass; they end a run."""
+    found = LETTERS.findall(text.lower())
+    if text.isascii() or all(map(str.isalpha, found)):
+        return found
+    return [run for x in found for run in "".join(c if c.isalpha() else " " for c in x).split()]
+
+
 @dataclass
 class LanguageModel:
     """Languages, and per known word or n-gram one row of log shares over them."""
@@ -48,7 +56,7 @@ class LanguageModel:
         known = self.words.get(word)
         if known is not None:
             return known
-        marked = f"^{word[:64]}$"  # what follows in a longer run tells no more about the language
+        marked = f"^{word}$"
         total, at, n = np.zeros(len(self.languages)), 0, len(marked)
         while at < n:
             for size in range(min(LONGEST_GRAM, n - at), 0, -1):
@@ -64,8 +72,8 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: Counter = Counter()
     for batch in slices(batches):
         for text, lang in zip(batch["text"].to_pylist(), batch["lang"].to_pylist()):
-            for word, n in Counter(LETTERS.findall(text.lower())).items():
-                counts[lang, word[:64]] += n
+            for word, n in Counter(letter_runs(text)).items():
+                counts[lang, word] += n
     yield pa.RecordBatch.from_pydict(
         {"lang": [k[0] for k in counts], "word": [k[1] for k in counts], "n": list(counts.values())},
         schema=pa.schema([("lang", pa.string()), ("word", pa.string()), ("n", pa.int64())]),
@@ -139,7 +147,7 @@ def predict(docs: DataFrame, model: LanguageModel, keep: list[Column]) -> DataFr
         for batch in slices(batches):
             langs, scores = [], []
             for text in batch["__text"].to_pylist():
-                found = LETTERS.findall(text.lower()) if text and m.languages else None
+                found = letter_runs(text) if text and m.languages else None
                 if not found:
                     langs.append(UNDETERMINED)
                     scores.append(0.0)
