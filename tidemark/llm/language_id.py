@@ -7,8 +7,8 @@ over the languages before it is added, which keeps rare and common words on one
 scale.
 
 Training uses a sample of at most about ``max_docs`` labelled documents; the
-tables are cut to ``max_words`` and ``max_grams`` entries, which bounds what is
-broadcast (a few megabytes).
+tables are cut to the ``max_words`` and ``max_grams`` commonest entries, each with
+all its languages, which bounds what is broadcast (a few megabytes).
 
 Defined cases: a NULL text or one without a letter gives ``und`` and score 0; no
 labelled document at all gives ``und`` everywhere; ties go to the language that
@@ -24,7 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_sample, slices
@@ -80,11 +80,19 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     )
 
 
-def _shares(rows: list, key: str, index: dict[str, int], smoothing: float) -> dict[str, np.ndarray]:
+def _commonest(counts: DataFrame, item: str, most: int, least: int = 1) -> list:
+    """(item, each (lang, n)) of the commonest items over all languages, each with every language that has it."""
+    whole = counts.groupBy(F.col(item).alias("item")).agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("each"))  # an entry a language
+    return whole.filter(F.col("total") >= least).orderBy(F.desc("total"), "item").limit(most).select("item", "each").collect()
+
+
+def _shares(rows: list, index: dict[str, int], smoothing: float) -> dict[str, np.ndarray]:
     """log p(item | language), normalised over the languages."""
     counts: dict[str, np.ndarray] = {}
     for r in rows:
-        counts.setdefault(r[key], np.zeros(len(index)))[index[r["lang"]]] += r["n"]
+        own = counts[r["item"]] = np.zeros(len(index))
+        for x in r["each"]:
+            own[index[x["lang"]]] += x["n"]
     if not counts:
         return {}
     totals = np.maximum(sum(counts.values()), 1.0)
@@ -104,16 +112,15 @@ def fit(labelled: DataFrame, max_docs: int = 6_000, max_words: int = 40_000, max
     sample = bounded_sample(rows, F.col("doc_id"), max_docs)
     counted = sample.select("text", "lang").mapInArrow(_count_words, "lang string, word string, n long")
     counts = counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("total", F.sum("n").over(Window.partitionBy("word")))
     counts = stage(counts, "language-words")
-    top = counts.orderBy(F.desc("total"), "word", "lang").limit(max_words).select("lang", "word", "n").collect()
+    top = _commonest(counts, "word", max_words)
     marked = F.concat(F.lit("^"), F.col("word"), F.lit("$"))
     pieces = F.flatten(F.transform(F.sequence(F.lit(1), F.length(marked)), lambda i: F.transform(F.sequence(F.lit(1), F.lit(LONGEST_GRAM)), lambda k: F.when(i + k - 1 <= F.length(marked), F.substring(marked, i, k)))))
     grams = counts.select("lang", "n", F.explode(F.array_compact(pieces)).alias("gram")).groupBy("lang", "gram").agg(F.sum("n").alias("n"))
-    gram_rows = grams.filter("n > 1").orderBy(F.desc("n"), "gram", "lang").limit(max_grams).collect()
-    languages = sorted({r["lang"] for r in top})
+    gram_rows = _commonest(grams, "gram", max_grams, least=2)
+    languages = sorted({x["lang"] for r in [*top, *gram_rows] for x in r["each"]})
     index = {x: i for i, x in enumerate(languages)}
-    return LanguageModel(languages, _shares(top, "word", index, 0.1), _shares([r for r in gram_rows if r["lang"] in index], "gram", index, 0.1))
+    return LanguageModel(languages, _shares(top, index, 0.1), _shares(gram_rows, index, 0.1))
 
 
 class _Rows(dict):

@@ -15,7 +15,7 @@ the square root of a leaf's rows each), so no leaf is sorted in one task.
 
 Defined cases: NULL source, language or text count as ''; documents without tokens
 cost nothing and come with every epoch begun; a weight of 0 or below gives
-nothing; unnamed nodes weigh ``default``; a budget over what there is takes all
+nothing; unnamed nodes weigh ``default``, by itself the least that their level names; a budget over what there is takes all
 epochs; NULL ids share one place in the order; repeated rows are taken together or
 cut between; an empty table gives an empty table.
 """
@@ -38,14 +38,17 @@ class Mixture:
     domains: dict[str, float] = field(default_factory=dict)
     languages: dict[str, float] = field(default_factory=dict)
     sources: dict[str, float] = field(default_factory=dict)
-    default: float = 1.0
+    #: weight of what a level does not name; None: the least positive weight that level names, 1 if it names none
+    default: float | None = None
     #: budget as a share of all tokens there are
     share: float = 1.0
     max_epochs: int = 2
     seed: int = 7
 
 
-def _weight(name: Column, weights: dict[str, float], default: float) -> Column:
+def _weight(name: Column, weights: dict[str, float], default: float | None) -> Column:
+    if default is None:
+        default = min((x for x in weights.values() if x > 0), default=1.0)
     out = F.lit(float(default))
     for key, value in weights.items():
         out = F.when(name == key, F.lit(float(value))).otherwise(out)
