@@ -7,6 +7,8 @@ import datetime as dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.selection import select_rank
+
 # Thresholds of the coverage audit.
 ADEQUATE_RATIO = 0.99
 MAX_INTERNAL_MISSING = 3
@@ -163,7 +165,7 @@ def price_basis(base: DataFrame, donor: DataFrame, by: tuple[str, ...] = ("symbo
     """Whether a donor's prices are the base prices times one constant.
 
     The scale is the upper median of the close ratios: the element at n/2 of
-    the sorted overlap (one ratio per session, so at most a calendar of them).
+    the sorted overlap, selected by histograms, so no overlap is ever listed.
     """
     prices = ("open", "high", "low", "close")
     left = base.select(*by, "session", *[F.col(p).alias(f"__b_{p}") for p in prices]) if "source_id" not in by else base
@@ -171,12 +173,14 @@ def price_basis(base: DataFrame, donor: DataFrame, by: tuple[str, ...] = ("symbo
     scale = F.col("close") / F.col("__b_close")
     spread = F.greatest(*[F.abs((F.col(p) / F.col(f"__b_{p}")) / scale - 1.0) for p in prices])
     out = both.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("overlap_sessions"), F.array_sort(F.collect_list(scale)).alias("__r"), F.max(spread).alias("ohlc_dispersion")
+        F.count(F.lit(1)).alias("overlap_sessions"), F.max(spread).alias("ohlc_dispersion"), F.min(scale).alias("__lo"), F.max(scale).alias("__hi")
     )
-    out = out.withColumn("close_ratio_median", F.element_at("__r", (F.floor(F.col("overlap_sessions") / 2) + 1).cast("int")))
+    ranks = out.select(*by, F.expr("overlap_sessions div 2 + 1").alias("rank"))
+    median = select_rank(both.select(*by, scale.alias("close_ratio_median")), list(by), "close_ratio_median", ranks)
+    out = out.join(median, list(by), "left")
     m = F.col("close_ratio_median")
-    worst = F.greatest(F.abs(F.element_at("__r", 1) / m - 1.0), F.abs(F.element_at("__r", -1) / m - 1.0))
-    out = out.withColumn("close_dispersion", worst).drop("__r")
+    worst = F.greatest(F.abs(F.col("__lo") / m - 1.0), F.abs(F.col("__hi") / m - 1.0))
+    out = out.select(*by, "overlap_sessions", "ohlc_dispersion", "close_ratio_median", worst.alias("close_dispersion"))
     reason = (
         F.when(F.col("overlap_sessions") < MIN_OVERLAP, "insufficient_overlap")
         .when((F.col("close_dispersion") <= SCALE_TOLERANCE) & (F.col("ohlc_dispersion") <= SCALE_TOLERANCE), "accepted_constant_ohlc_scale")

@@ -14,15 +14,30 @@ def _covers(day: Column) -> Column:
     return (day >= F.col("active_from")) & (F.col("active_to").isNull() | (day <= F.col("active_to")))
 
 
+def _year(day: Column) -> Column:
+    """Year of a day; days outside the calendar fall into its first or last year."""
+    return F.least(F.greatest(F.year(day), F.lit(FIRST_DAY.year)), F.lit(LAST_DAY.year))
+
+
+def _by_year(spans: DataFrame, start: str, end: str) -> DataFrame:
+    """Each span once for every year it touches, as ``__y``; a reversed or unbegun span has none."""
+    last = F.coalesce(_year(F.col(end)), F.lit(LAST_DAY.year))
+    right = F.col(start).isNotNull() & (F.col(end).isNull() | (F.col(start) <= F.col(end)))
+    upto = F.when(F.col(end).isNull(), F.lit(LAST_DAY.year)).otherwise(last)
+    return spans.where(right).withColumn("__y", F.explode(F.sequence(_year(F.col(start)), upto)))
+
+
 def members_only(rows: DataFrame, memberships: DataFrame, day: str = "session") -> DataFrame:
     """Rows whose symbol is a member on the row's own date (left semi join).
 
-    Equi join on symbol with the range as residual.  The interval table grows
-    with the universe, so no broadcast is forced: Spark picks one under its own
-    size limit, and AQE splits a hot symbol of the row side.
+    Equi join on symbol and year with the range as residual: a bar meets the
+    intervals that touch its year, not all of its symbol.  The interval table
+    grows with the universe, so no broadcast is forced: Spark picks one under its
+    own size limit, and AQE splits a hot symbol of the row side.
     """
-    m = memberships.select(F.col("symbol").alias("__s"), "active_from", "active_to")
-    return rows.join(m, (F.col("symbol") == F.col("__s")) & _covers(F.col(day)), "left_semi")
+    m = _by_year(memberships.select(F.col("symbol").alias("__s"), "active_from", "active_to"), "active_from", "active_to")
+    met = (F.col("symbol") == F.col("__s")) & (_year(F.col(day)) == F.col("__y"))
+    return rows.join(m, met & _covers(F.col(day)), "left_semi")
 
 
 def covered(memberships: DataFrame) -> DataFrame:
@@ -50,11 +65,12 @@ def covered(memberships: DataFrame) -> DataFrame:
 def active(rows: DataFrame, memberships: DataFrame, day: str = "session", flag: str = "is_member") -> DataFrame:
     """All rows with a membership flag, each row once.
 
-    A day lies in at most one disjoint span, so the left join repeats nothing.
+    A day lies in at most one disjoint span, so the left join repeats nothing; the
+    years a span touches are keys beside the symbol.
     """
     spans = covered(memberships).select(F.col("symbol").alias("__s"), F.col("active_from").alias("__from"), F.col("active_to").alias("__to"))
-    inside = (F.col("symbol") == F.col("__s")) & F.col(day).between(F.col("__from"), F.col("__to"))
-    return rows.join(spans, inside, "left").withColumn(flag, F.col("__s").isNotNull()).drop("__s", "__from", "__to")
+    inside = (F.col("symbol") == F.col("__s")) & (_year(F.col(day)) == F.col("__y")) & F.col(day).between(F.col("__from"), F.col("__to"))
+    return rows.join(_by_year(spans, "__from", "__to"), inside, "left").withColumn(flag, F.col("__s").isNotNull()).drop("__s", "__from", "__to", "__y")
 
 
 def members_on(memberships: DataFrame, day: dt.date) -> DataFrame:

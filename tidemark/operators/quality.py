@@ -11,6 +11,8 @@ from tidemark.functions.identity import row_identity
 from tidemark.functions.numeric import finite
 
 PRICES = ("open", "high", "low", "close")
+#: Days whose rows share one digest in a content entry.
+STRETCH_DAYS = 256
 
 
 def _first(*cases: tuple[Column, str]) -> Column:
@@ -103,17 +105,21 @@ def window_admission(audited: DataFrame, start: dt.date, end: dt.date) -> DataFr
 def content_entries(rows: DataFrame, start: dt.date, end: dt.date) -> DataFrame:
     """Per symbol: selected rows, first and last session, content digest.
 
-    The digest is the hash of the row hashes in session order.  One clean row
-    per session makes the list as long as the calendar at most.
+    The digest is a tree of two levels: the row hashes of a fixed stretch of days
+    in session order, then the stretches in order.  With one clean row per session
+    no list is longer than a stretch, nor than the stretches of the calendar.
     """
     chosen = rows.where(F.col("session").between(F.lit(start), F.lit(end)))
     hashed = chosen.withColumn("__hash", row_identity(chosen, ["symbol", "session", *PRICES, "volume"]))
-    listed = F.array_sort(F.collect_list(F.struct("session", "__hash")))
-    return hashed.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("selected_rows"),
-        F.min("session").alias("min_session"),
-        F.max("session").alias("max_session"),
-        F.concat(F.lit("sha256:"), F.sha2(F.array_join(F.transform(listed, lambda x: x["__hash"]), ","), 256)).alias("content_hash"),
+    folded = lambda key, digest: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, digest))), lambda x: x[digest]), ","), 256)
+    stretches = hashed.groupBy("symbol", F.floor(F.unix_date("session") / STRETCH_DAYS).alias("__stretch")).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("session").alias("__first"), F.max("session").alias("__last"), folded("session", "__hash").alias("__part")
+    )
+    return stretches.groupBy("symbol").agg(
+        F.sum("__n").alias("selected_rows"),
+        F.min("__first").alias("min_session"),
+        F.max("__last").alias("max_session"),
+        F.concat(F.lit("sha256:"), folded("__stretch", "__part")).alias("content_hash"),
     )
 
 

@@ -242,7 +242,8 @@ _hash_sql = "'sha256:' || sha256(concat_ws('|', {})) ".format(", ".join(
 
 
 @query(with_bars(f"h AS (SELECT symbol, session, {_hash_sql} AS rh FROM rawbars WHERE session BETWEEN DATE '1999-01-01' AND DATE '2000-12-31')",
-    select="SELECT symbol, count(*) AS selected_rows, CAST(min(session) AS VARCHAR) AS min_session, CAST(max(session) AS VARCHAR) AS max_session, 'sha256:' || sha256(string_agg(rh, ',' ORDER BY session)) AS content_hash FROM h GROUP BY symbol"))
+    "st AS (SELECT symbol, floor((session - DATE '1970-01-01') / 256) AS k, count(*) AS n, min(session) AS a, max(session) AS b, sha256(string_agg(rh, ',' ORDER BY session)) AS d FROM h GROUP BY 1, 2)",
+    select="SELECT symbol, CAST(sum(n) AS BIGINT) AS selected_rows, CAST(min(a) AS VARCHAR) AS min_session, CAST(max(b) AS VARCHAR) AS max_session, 'sha256:' || sha256(string_agg(d, ',' ORDER BY k)) AS content_hash FROM st GROUP BY symbol"))
 def content_entries(spark, sf):
     return c.publish(quality.content_entries(c.raw_bars(spark, sf), D(1999, 1, 1), D(2000, 12, 31)))
 
