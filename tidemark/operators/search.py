@@ -17,6 +17,7 @@ K1 = 1.5
 B = 0.75
 # Title bonuses.
 EXACT, PREFIX, INSIDE, ENTITY = 8.0, 5.0, 2.0, 4.0
+MOST_BONUS = EXACT + ENTITY
 
 
 def searchable(cards: DataFrame) -> DataFrame:
@@ -26,8 +27,8 @@ def searchable(cards: DataFrame) -> DataFrame:
     return cards.where(F.col("status") == "published").withColumn("body", body)
 
 
-def term_weights(cards: DataFrame, queries: DataFrame) -> DataFrame:
-    """BM25 weight of every (card, term) for the terms the queries use.
+def term_weights(cards: DataFrame, queries: DataFrame | None = None) -> DataFrame:
+    """BM25 weight of every (card, term) for the terms the queries use, or for all terms.
 
     Card length is known before the explode, and tokens outside the query
     vocabulary leave before the shuffle; all tokens of a card sit in one row, so
@@ -37,8 +38,9 @@ def term_weights(cards: DataFrame, queries: DataFrame) -> DataFrame:
     published = searchable(cards).select("card_id", "body")
     totals = published.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(token_count(F.col("body"))).alias("mean"))
     docs = published.select("card_id", tokens(F.col("body")).alias("t")).withColumn("len", F.size("t"))
-    vocabulary = queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct()
-    hits = docs.select("card_id", "len", F.explode("t").alias("term")).join(vocabulary, "term", "left_semi")
+    hits = docs.select("card_id", "len", F.explode("t").alias("term"))
+    if queries is not None:
+        hits = hits.join(queries.select(F.explode(tokens(F.col("text"))).alias("term")).distinct(), "term", "left_semi")
     # read twice below; without the table every card would be tokenised for each
     tf = stage(hits.groupBy("card_id", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
     df = tf.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
@@ -80,18 +82,20 @@ def title_bonus(title: Column, query: Column) -> Column:
     return _bonus(key_text(title), title_entities(title), key_text(query))
 
 
-def search(cards: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def search(cards: DataFrame, queries: DataFrame, k: int = 5, scores: DataFrame | None = None) -> DataFrame:
     """Top k cards per query by BM25 and title bonus together.
 
     Every card that shares a term gets its bonus before the only cut, so a title
     counts however low its terms rank.  Keys of titles and questions are made
     once per card and question; the other columns join the k winners.
+    ``scores`` (query_id, card_id, bm25) may come from a stored index, which then
+    has to allow for the bonus (``MOST_BONUS``).
     """
     asked = queries.where(F.trim("text") != "")
     published = cards.where(F.col("status") == "published")
     titles = published.select("card_id", key_text(F.col("title")).alias("__t"), title_entities(F.col("title")).alias("__e"))
     questions = asked.select("query_id", key_text(F.col("text")).alias("__q"))
-    scored = term_scores(cards, asked).join(questions, "query_id").join(titles, "card_id")
+    scored = (term_scores(cards, asked) if scores is None else scores).join(questions, "query_id").join(titles, "card_id")
     scored = scored.select("query_id", "card_id", "bm25", (F.col("bm25") + _bonus(F.col("__t"), F.col("__e"), F.col("__q"))).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "card_id")
     top = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
