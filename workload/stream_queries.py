@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.operators.signals import lookback
-from tidemark.runtime import scratch
+from tidemark.runtime import scratch, stage
 from tidemark.sources.store import Store
 from tidemark.streaming import incremental as inc
+from tidemark.streaming import symbol_state as ss
 from workload import common as c
 from workload.common import query, r, with_bars
 from workload.screen_queries import hac_sql
-from workload.study_queries import BREAKDOWN, STUDY, study_ctes, study_rows
+from workload.study_queries import BREAKDOWN, RSI_LOW, STUDY, study_ctes, study_rows
 
 S = "CAST(session AS VARCHAR) AS session"
 D = dt.date
@@ -69,6 +70,67 @@ def incremental_rejects(spark, sf):
     return c.publish(followed(spark, sf, repeat=True).rejects(spark).select("symbol", "session", "reason", "rows"))
 
 
+_rsi_ctes = [x.replace(f"AND n_bars >= {lookback(RSI_LOW) + max(STUDY.horizons) + 1} AND bar_ix < n_bars - 1 ", "") for x in study_ctes(RSI_LOW)]
+FAR = dt.datetime(2099, 1, 1)
+
+
+def in_store(spark, sf, rule, files, delay: str, at_once: bool) -> ss.SymbolRun:
+    """The rule followed with its state in the state store, a file a batch; at the end a heartbeat releases what is held."""
+    run = ss.SymbolRun(rule, c.memberships(spark, sf), scratch(spark, "state"), STUDY, delay)
+    take = lambda: run.start(inc.read_bar_stream(spark, f"{run.root}/in")).awaitTermination()
+    for part in files:
+        part.coalesce(1).write.mode("append").parquet(f"{run.root}/in")
+        if not at_once:
+            take()
+    if at_once:
+        take()
+    ss.heartbeat(spark, f"{run.root}/in", FAR, inc.BAR_SCHEMA)
+    take()
+    return run
+
+
+def _arriving(spark, sf) -> DataFrame:
+    return c.raw_bars(spark, sf).select(*[f.split()[0] for f in inc.BAR_SCHEMA.split(", ")])
+
+
+@query(with_bars(*_rsi_ctes, select=f"""SELECT symbol, {S}, bar_ix, horizon::BIGINT AS horizon, CAST(entry_at AS VARCHAR) AS entry_at, CAST(exit_at AS VARCHAR) AS exit_at, {r('net_return', 'net_return')}, {r('benchmark_return', 'benchmark_return')},
+  {r('net_excess_return', 'excess_return')} FROM outc WHERE benchmark_return IS NOT NULL""", recursive=True))
+def state_outcomes(spark, sf):
+    """A rule on a recursive indicator; four files in turns of a month, which come in no order."""
+    bars = stage(_arriving(spark, sf), "arriving")
+    files = [bars.where(F.month("session") % 4 == k) for k in (2, 0, 3, 1)]
+    run = in_store(spark, sf, RSI_LOW, files, "4000 days", at_once=True)
+    return c.publish(run.outcomes(spark, c.benchmark(spark, sf)).where("status = 'completed'").select(*_COLS))
+
+
+@query(with_bars(*_rsi_ctes, select=f"""SELECT horizon::BIGINT AS horizon, count(*) AS outcomes, count(DISTINCT symbol) AS symbols, count(DISTINCT session) AS sessions, {r('avg(net_excess_return)', 'mean_excess', 6)}
+  FROM outc WHERE benchmark_return IS NOT NULL GROUP BY 1""", recursive=True))
+def state_outcomes_resumed(spark, sf):
+    """The same from three files, each consumed by a query of its own that takes the state up from storage."""
+    bars = stage(_arriving(spark, sf), "arriving")
+    years = [bars.where(f"year(session) {cut}") for cut in ("< 1995", "between 1995 and 1997", "> 1997")]
+    rows = in_store(spark, sf, RSI_LOW, years, "10 days", at_once=False).outcomes(spark, c.benchmark(spark, sf)).where("status = 'completed'")
+    return c.publish(rows.groupBy("horizon").agg(
+        F.count(F.lit(1)).alias("outcomes"), F.count_distinct("symbol").alias("symbols"), F.count_distinct("session").alias("sessions"), F.avg("excess_return").alias("mean_excess")
+    ), 6)
+
+
+@query(with_bars(select=f"""SELECT symbol, {S}, 'repeated_session' AS reason, 1::BIGINT AS rows FROM rawbars WHERE session >= DATE '1998-01-01' - 20 AND session < DATE '1998-01-01'
+  UNION ALL SELECT symbol, {S}, 'out_of_order', 1 FROM rawbars WHERE session BETWEEN DATE '1997-12-01' AND DATE '1997-12-05' AND symbol LIKE '%5'
+  UNION ALL SELECT symbol, {S}, 'before_kept_bars', 1 FROM rawbars WHERE session BETWEEN DATE '1996-06-01' AND DATE '1996-06-05' AND symbol LIKE '%7'"""))
+def state_rejects(spark, sf):
+    """Bars that come once more while held, or after the watermark let their symbol pass them."""
+    bars = stage(_arriving(spark, sf), "arriving")
+    overdue = (F.col("session").between(F.lit(D(1997, 12, 1)), F.lit(D(1997, 12, 5))) & F.col("symbol").endswith("5")) | (
+        F.col("session").between(F.lit(D(1996, 6, 1)), F.lit(D(1996, 6, 5))) & F.col("symbol").endswith("7")
+    )
+    turn = F.lit(D(1998, 1, 1))
+    first = bars.where((F.col("session") < turn) & ~overdue)
+    second = bars.where((F.col("session") >= F.date_sub(turn, 20)) | overdue)
+    run = in_store(spark, sf, BREAKDOWN, [first, second], "20 days", at_once=False)
+    return c.publish(run.rejects(spark).select("symbol", "session", "reason", "rows"))
+
+
 @query("SELECT l_orderkey, l_linenumber::BIGINT AS l_linenumber FROM lineitem GROUP BY 1, 2 HAVING NOT bool_or(l_shipdate < TIMESTAMP '1998-01-01')")
 def append_once(spark, sf):
     li = c.table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
