@@ -177,6 +177,27 @@ def test_average_rank_with_ties(spark):
     assert (got["rank"] == got["want"]).all() and len(got) == 400
 
 
+def test_rank_buckets_stay_even_under_outliers(spark):
+    """One value far out, and a third of the rows tied: no bucket holds over 1.5 times the mean."""
+    rng = np.random.default_rng(3)
+    pdf = pd.DataFrame({"g": 1, "v": np.r_[rng.lognormal(0, 3, 6000), [1e15, -1e15, np.nan], np.full(3000, 7.0)]})
+    df = spark.createDataFrame(pdf)
+    cut = cs.in_buckets(df.groupBy("g", "v").agg(F.count(F.lit(1)).alias("__n")), ["g"], "v", 32)
+    sizes = [r["count"] for r in cut.groupBy("__b").count().collect()]
+    assert len(sizes) == 32 and max(sizes) <= 1.5 * sum(sizes) / 32 + 1
+    got = cs.average_rank(df, "g", "v", "rank").where("not isnan(v)").toPandas()
+    assert (got["rank"] == got["v"].rank()).all()
+
+
+def test_daily_ic_against_pandas(spark):
+    rng = np.random.default_rng(4)
+    pdf = pd.DataFrame({"symbol": [str(i) for i in range(90)] * 2, "session": [D(2020, 1, 1)] * 90 + [D(2020, 1, 2)] * 90, "score": rng.integers(0, 9, 180).astype(float), "label": rng.normal(size=180)})
+    got = {r["session"]: r for r in cs.daily_ic(spark.createDataFrame(pdf)).collect()}
+    for day, part in pdf.groupby("session"):
+        assert got[day]["symbols"] == 90
+        assert got[day]["ic"] == pytest.approx(part["score"].corr(part["label"])) and got[day]["rank_ic"] == pytest.approx(part["score"].rank().corr(part["label"].rank()))
+
+
 def test_drawdown_counts_the_starting_capital(spark):
     rows = [(D(2020, 1, 1), -0.5), (D(2020, 1, 2), 1.0), (D(2021, 1, 1), 0.1)]
     got = {r["year"]: r for r in cs.path_statistics(spark.createDataFrame(rows, "session date, daily_return double")).collect()}
