@@ -8,8 +8,8 @@ one sample in common with a probability equal to their generalised Jaccard
 similarity sum(min) / sum(max), so the share of equal samples estimates it. The
 place itself, a double that only one (term, t) yields, is the sample.
 
-One exchange carries texts: documents are dealt into ranges of ids (at most
-``MAX_RANGES``), a window inside a range gives each its successor, and the
+One exchange carries texts: documents are dealt into ranges of ids (about
+``MAX_RANGES`` at most, borders by quantiles), a window inside a range gives each its successor, and the
 aggregations over terms and samples reuse that partitioning.
 
 Defined cases: a NULL text counts as empty; wordless texts share one fingerprint
@@ -26,9 +26,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import words
 from tidemark.runtime import stage
 
-SAMPLES = 16
+SAMPLES = 32
 MAX_RANGES = 65_536
 RANGE_ROWS = 256
+BORDERS = 64  # quantiles of the ids
+SPLITS = 256  # ranges of a crowded id
 
 
 def _uniform(bits: Column, shift: int, width: int) -> Column:
@@ -63,14 +65,36 @@ def as_text(samples: Column, n: int = SAMPLES) -> Column:
     return F.concat(*[F.lower(F.lpad(F.hex(F.element_at(samples, k + 1).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")) for k in range(n)])
 
 
+def _ranges(work: DataFrame) -> Column:
+    """The range of a row: an ascending number for ascending ids, NULL ids below all others.
+
+    Borders are quantiles of the ids from a mergeable sketch, so an outlying id moves
+    few rows. Between two borders lie ranges of equal width. An id that fills more
+    than a border's share, and the NULL ids, are split by the text's hash, which is
+    also what orders them.
+    """
+    shares = [k / BORDERS for k in range(1, BORDERS)]
+    row = work.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", shares, F.lit(8 * BORDERS))).first()
+    n, low, high, borders = row[0], row[1] or 0, row[2] or 0, row[3] or [0] * (BORDERS - 1)
+    parts = max(1, min(MAX_RANGES // BORDERS, n // (BORDERS * RANGE_ROWS)))
+    edges = F.array(*[F.lit(b).cast("long") for b in borders])
+    bounds = F.array(*[F.lit(b).cast("long") for b in [max(low - 1, -(2**63)), *borders, high]])
+    below = F.size(F.filter(edges, lambda b: b < F.col("doc_id")))
+    heavy = sorted({b for b, c in zip(borders, borders[1:]) if b == c})
+    crowded = F.col("doc_id").isin(heavy) if heavy else F.lit(False)
+    left, right = F.element_at(bounds, below + 1).cast("double"), F.element_at(bounds, below + 2).cast("double")
+    inside = F.floor((F.col("doc_id").cast("double") - left - 1.0) * parts / F.greatest(right - left, F.lit(1.0)))
+    inside = F.least(F.greatest(inside, F.lit(0)), F.lit(parts - 1))
+    by_hash = F.lit(SPLITS - 1) - (F.shiftright(F.xxhash64("text"), 64 - 8) + F.lit(SPLITS // 2))
+    step = max(parts, SPLITS)
+    at = (2 * below + F.when(crowded, 1).otherwise(0)) * F.lit(step) + F.when(crowded, by_hash).otherwise(inside)
+    return F.when(F.col("doc_id").isNull(), by_hash - F.lit(SPLITS)).otherwise(at).cast("long")
+
+
 def successors(docs: DataFrame) -> DataFrame:
     """range, place, next_range, next_place, doc_id, text, next_text, by descending id in a circle."""
     work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    low, high, n = work.agg(F.min("doc_id"), F.max("doc_id"), F.count(F.lit(1))).first()
-    ranges = max(1, min(MAX_RANGES, n // RANGE_ROWS))
-    width = max(1, -(-((high - low + 1) if low is not None else 1) // ranges))
-    at = F.coalesce(F.floor((F.col("doc_id") - F.lit(low if low is not None else 0)) / F.lit(width)).cast("long"), F.lit(-1).cast("long"))
-    work = work.withColumn("range", at)
+    work = work.withColumn("range", _ranges(work))
     order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text")]
     w = Window.partitionBy("range").orderBy(*order)
     lined = work.select("range", "doc_id", "text", F.row_number().over(w).alias("place"), F.lead("text").over(w).alias("lead_text"))
