@@ -11,7 +11,10 @@ from tidemark.operators import rules as ru
 from tidemark.operators import signals as sg
 from tidemark.operators import stats
 from tidemark.operators.intervals import members_only
+from tidemark.operators.series import number_bars
 from tidemark.plans import event_study as es
+from tidemark.runtime import scratch
+from tidemark.sources import layout
 from workload import common as c
 from workload import sql_rules as sr
 from workload.common import query, r, with_bars
@@ -203,6 +206,17 @@ def rsi_outcomes(spark, sf):
     return c.publish(study_rows(spark, sf, RSI_LOW).select(*cols))
 
 
+@query(with_bars(*study_ctes(), select=f"SELECT {_OUT_COLS} FROM outc"))
+def laid_out_study(spark, sf):
+    """The study over bars stored in buckets by symbol, which it reads without an exchange of their own."""
+    path = scratch(spark, "laid")
+    laid = layout.save_bars(c.raw_bars(spark, sf), path.rsplit("/", 1)[1].replace("-", "_"), buckets=8, path=path)
+    rows = es.run(number_bars(laid), BREAKDOWN, c.benchmark(spark, sf), c.memberships(spark, sf), STUDY)
+    cols = ["symbol", "session", "bar_ix", "horizon", "entry_at", "exit_at", "entry_price", "exit_price", "raw_return", "net_return", "benchmark_return",
+            "excess_return", "net_excess_return", "mfe", "mae", "sample_split", "regime", "signal_amount"]
+    return c.publish(rows.select(*cols))
+
+
 @query(with_bars(*study_ctes(), select="SELECT count(*) AS outcomes_received, count(*) FILTER (WHERE net_excess_return IS NULL OR NOT (horizon > 0)) AS outcomes_excluded FROM outc"))
 def outcome_exclusions(spark, sf):
     return stats.exclusions(study_rows(spark, sf))
