@@ -181,8 +181,9 @@ def file_snapshot_verification(spark, sf):
 @query(with_bars(*study_ctes(), select="SELECT 'breakdown' AS rule_id, symbol, horizon::BIGINT AS horizon, count(*) AS outcomes FROM outc GROUP BY 1, 2, 3"))
 def write_events(spark, sf):
     path = scratch(spark, "events")
-    sinks.write_events(study_rows(spark, sf).select("rule_id", "symbol", "session", "horizon", "net_return"), path)
-    back = sinks.read_events(spark, path, "breakdown")
+    rows = study_rows(spark, sf).select("rule_id", "symbol", "session", "horizon", "net_return")
+    sinks.write_events(rows, path)
+    back = sinks.read_events(spark, path, "breakdown", rows.schema)
     return c.publish(back.groupBy("rule_id", "symbol", "horizon").agg(F.count(F.lit(1)).alias("outcomes")))
 
 
