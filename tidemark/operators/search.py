@@ -6,15 +6,15 @@ limitations array<string>.  Queries: query_id, text.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import cjk_grams, key_text, title_entities, token_count, tokens
+from tidemark.operators import card_scores as cs
+from tidemark.operators.card_scores import B, K1
 from tidemark.runtime import stage
 
-# Our stated choice of the formula: idf = ln(1 + (N - df + 0.5) / (df + 0.5)).
-K1 = 1.5
-B = 0.75
 # Title bonuses.
 EXACT, PREFIX, INSIDE, ENTITY = 8.0, 5.0, 2.0, 4.0
 MOST_BONUS = EXACT + ENTITY
@@ -56,15 +56,41 @@ def term_weights(cards: DataFrame, queries: DataFrame | None = None) -> DataFram
 
 
 def term_scores(cards: DataFrame, queries: DataFrame) -> DataFrame:
-    """BM25 of every (query, card) that share a term; scores add up in the map tasks."""
-    q = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    return term_weights(cards, queries).join(q, "term").groupBy("query_id", "card_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25"))
+    """BM25 of every (query, card) that share a term: as many rows as pairs; ``best_scores`` is the form for many cards."""
+    return term_weights(cards, queries).join(cs.query_terms(queries), "term").groupBy("query_id", "card_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("bm25"))
+
+
+def best_scores(cards: DataFrame, queries: DataFrame, k: int, slack: float = 0.0) -> DataFrame:
+    """query_id, card_id, bm25 of every card that may be among the k best of its query; both ids are unique.
+
+    ``slack`` is the most that anything later can add to a score.  Each block of queries
+    takes one pass over the cards, whose terms among the block's are written once.
+    """
+    spark, published = cards.sparkSession, searchable(cards).select("card_id", "body")
+    kind, card = (d.schema[c].dataType.simpleString() for d, c in ((queries, "query_id"), (cards, "card_id")))
+    found = None
+    for block in cs.blocks(queries):
+        rows = stage(cs.counted(published, block.vocabulary), "postings")
+        n, mean = rows.agg(F.count(F.lit(1)), F.avg("len")).first()
+        df = np.zeros(len(block.vocabulary))
+        for term, holding in rows.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1))).collect():  # one block's vocabulary
+            df[term] = holding
+        ids = spark.createDataFrame(list(enumerate(block.ids)), f"query int, query_id {kind}")
+        hits = cs.best_cards(rows, block, k, slack, float(n), mean or 1.0, df)
+        hits = hits.join(F.broadcast(ids), "query").select("query_id", "card_id", "bm25")
+        found = hits if found is None else found.unionByName(hits)
+    return spark.createDataFrame([], f"query_id {kind}, card_id {card}, bm25 double") if found is None else found
+
+
+def first_by_score(scores: DataFrame, k: int) -> DataFrame:
+    """The k rows of each query with the highest score, pruned to k rows per task and query."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(cs.rank_key(F.col("bm25"))), "card_id")
+    return scores.withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
 
 
 def bm25(cards: DataFrame, queries: DataFrame, k: int) -> DataFrame:
-    """The k best cards of each query by term weight alone; the rank is pruned to k rows per task and query."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("bm25", 9)), "card_id")
-    return term_scores(cards, queries).withColumn("__n", F.row_number().over(order)).where(F.col("__n") <= k).drop("__n")
+    """The k best cards of each query by term weight alone."""
+    return first_by_score(best_scores(cards, queries, k), k)
 
 
 def _bonus(title_key: Column, entities: Column, query_key: Column) -> Column:
@@ -85,8 +111,8 @@ def title_bonus(title: Column, query: Column) -> Column:
 def search(cards: DataFrame, queries: DataFrame, k: int = 5, scores: DataFrame | None = None) -> DataFrame:
     """Top k cards per query by BM25 and title bonus together.
 
-    Every card that shares a term gets its bonus before the only cut, so a title
-    counts however low its terms rank.  Keys of titles and questions are made
+    A card is left out early only if no bonus could bring it among the k best, so a
+    title counts however low its terms rank.  Keys of titles and questions are made
     once per card and question; the other columns join the k winners.
     ``scores`` (query_id, card_id, bm25) may come from a stored index, which then
     has to allow for the bonus (``MOST_BONUS``).
@@ -95,7 +121,7 @@ def search(cards: DataFrame, queries: DataFrame, k: int = 5, scores: DataFrame |
     published = cards.where(F.col("status") == "published")
     titles = published.select("card_id", key_text(F.col("title")).alias("__t"), title_entities(F.col("title")).alias("__e"))
     questions = asked.select("query_id", key_text(F.col("text")).alias("__q"))
-    scored = (term_scores(cards, asked) if scores is None else scores).join(questions, "query_id").join(titles, "card_id")
+    scored = (best_scores(cards, asked, k, MOST_BONUS) if scores is None else scores).join(questions, "query_id").join(titles, "card_id")
     scored = scored.select("query_id", "card_id", "bm25", (F.col("bm25") + _bonus(F.col("__t"), F.col("__e"), F.col("__q"))).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "card_id")
     top = scored.withColumn("position", F.row_number().over(order)).where(F.col("position") <= k)
