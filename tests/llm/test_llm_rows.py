@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -146,6 +147,55 @@ def test_keys_and_bounds():
             assert set(kx[small]) & set(ky), (len(a), len(other), common)
 
 
+def test_texts_that_share_a_key_and_little_else_go_no_further(spark, monkeypatch):
+    """Pairs share half of their words, and only one text has a near copy."""
+    rng = random.Random(7)
+    texts = {}
+    for _ in range(40):
+        passage = [f"p{rng.randrange(10**9)}" for _ in range(100)]
+        for _ in range(2):
+            texts[len(texts)] = " ".join(passage + [f"w{rng.randrange(10**9)}" for _ in range(100)])
+    texts[500] = texts[0] + " end"
+    staged, real = {}, ngram_join.stage
+
+    def spy(df, label):
+        out = real(df, label)
+        staged[label] = out.count()
+        return out
+
+    monkeypatch.setattr(ngram_join, "stage", spy)
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["component_id"] for r in ngram_join.join_components(df).collect()}
+    assert got == {d: 0 if d == 500 else d for d in texts}
+    assert staged["tile-rows"] <= 2 * 2 * ngram_join.first_members(200, 90)[0]  # rows of the two copies, in two bands each
+
+
+@pytest.mark.parametrize("percent", [50, 80, 90, 99])
+def test_counts_leave_every_link(percent, monkeypatch):
+    """Sets of few to thousands of members, some with crowded buckets, in batches that cut keys."""
+    rng = np.random.default_rng(percent)
+    sets = []
+    for size in [3, 20, 200, 1500, 6000] * 5:
+        base = rng.integers(0, 2**64 - 1, size, dtype=np.uint64)
+        for _ in range(int(rng.integers(1, 5))):
+            k = int(rng.integers(0, 1 + size // 12))
+            sets.append(np.unique(np.concatenate([base[k:], rng.integers(0, 2**64 - 1, k, dtype=np.uint64)])))
+    sets += [np.unique(np.concatenate([np.arange(400, dtype=np.uint64) << np.uint64(20), rng.integers(0, 2**64 - 1, k, dtype=np.uint64)])) for k in (0, 2, 5)]
+    sets = [sets[i] for i in rng.permutation(len(sets))]
+    key, size, small = np.sort(rng.integers(0, 9, len(sets))), np.array([len(x) for x in sets]), rng.random(len(sets)) < 0.8
+    counts = [ngram_join._counts(x, percent) for x in sets]
+    got = ngram_join._have_partner(key, size, small, counts, percent)
+    for i, x in enumerate(sets):
+        for j in np.flatnonzero(key == key[i]):
+            if i != j and small[i] and size[j] >= size[i] and ngram_join._exact(x.tobytes(), sets[j].tobytes(), percent):
+                assert got[i] and got[j]
+    rows = pa.table({"key": key, "node": np.arange(len(sets)), "n": size, "small": small, "counts": pa.array(counts, pa.binary())})
+    for limit, batch in ((5, 1), (5, 3), (10**6, 4)):
+        monkeypatch.setattr(ngram_join, "MEET_ROWS", limit)
+        out = [x for b in ngram_join._partnered(percent)(iter(rows.to_batches(max_chunksize=batch))) for x in b["node"].to_pylist()]
+        assert out == np.flatnonzero(got | (np.bincount(key)[key] > limit)).tolist()
+
+
 def test_components_of_chains_and_stars(spark):
     edges = [(i, i + 1) for i in range(100, 160)] + [(1, x) for x in range(2, 40)] + [(500, 499), (499, 498), (7, 7)]
     got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -8,13 +8,17 @@ group of copies costs a row a task. How a link is found:
    sets have one in common: of a set of n members the first ``n - x + 1``, x being
    the least overlap a link of that set can have. The order puts n-grams that a
    sample of documents shares last, so most keys stand in one set only and end there.
-2. **Tiles.** Sizes are cut into bands no linked pair can skip. A tile is a key and
+2. **Counts.** Most sets that share a key share little else. Members are counted in
+   some tens of hashed buckets, a byte each: what one side has more in a bucket, it
+   has alone, which bounds the overlap. Rows whose bounds leave no partner under
+   their key go no further; keys of many rows are left as they are.
+3. **Tiles.** Sizes are cut into bands no linked pair can skip. A tile is a key and
    a band: smaller sets of that band, and sets of it or the next one that may be
    their larger partner. Tiles of many rows are dealt into blocks.
-3. **Bounds.** Every set has a bitmap of hashed bits, four to eight a member. A bit
+4. **Bounds.** Every set has a bitmap of hashed bits, four to eight a member. A bit
    that only one side has is a member that only this side has, so bit counts bound
    the overlap from above; most pairs of a tile end there.
-4. **Exact.** What is left is settled by intersecting the sorted arrays.
+5. **Exact.** What is left is settled by intersecting the sorted arrays.
 
 Only components are asked for, so no task puts out pairs by the square. First each
 block gives a forest: of the pairs its bounds allow, those that join parts of the
@@ -52,6 +56,7 @@ BLOCK_BYTES = 4 << 20
 BLOCK_ROWS = 1024
 SAMPLE_DOCS, SHARED_BY, SHARED_MOST = 5_000, 3, 200_000
 FILTER_ROWS = 4_000_000
+MEET_ROWS = 256
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
@@ -100,12 +105,19 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
 
 
+def _counts(hashes: np.ndarray, percent: int) -> bytes:
+    """Members by bucket, 255 for that and more; buckets enough that sets with little in common differ by twice what a link allows."""
+    slack = (100 - percent) / (100 + percent)
+    width = max(32, 1 << int(13 * slack * slack * len(hashes)).bit_length())
+    return np.minimum(np.bincount((hashes % np.uint64(width)).astype(np.int64), minlength=width), 255).astype(np.uint8).tobytes()
+
+
 _NODE = [("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64())]
 
 
-def _digests(n: int):
-    """Every row's digest; its bitmap with the first row of a task that has this digest."""
-    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *_NODE, ("bitmap", pa.binary())])
+def _digests(n: int, percent: int):
+    """Every row's digest; its bitmap and counts with the first row of a task that has this digest."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), *_NODE, ("bitmap", pa.binary()), ("counts", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, seen = _WordHashes(), set()
@@ -119,7 +131,7 @@ def _digests(n: int):
                     if len(seen) >= 500_000:
                         seen.clear()
                     seen.add(d)
-                rows.append((doc, h, len(s), *d, _bitmap(s) if fresh else None))
+                rows.append((doc, h, len(s), *d, *((_bitmap(s), _counts(s, percent)) if fresh else (None, None))))
             yield _batch(rows, schema)
 
     return run
@@ -203,6 +215,83 @@ def _shared_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(x[out]) for x in (k, d, small)], names=["key", "d1", "small"])
 
 
+def _folded_counts(data: np.ndarray, at: np.ndarray, widths: np.ndarray, rows: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of ``rows`` in ``width`` buckets, and whether all of them are exact."""
+    out, exact = np.empty((len(rows), width), np.int32), np.empty(len(rows), bool)
+    for w in np.unique(widths[rows]):
+        own = np.flatnonzero(widths[rows] == w)
+        found = data[at[rows[own], None] + np.arange(w)]
+        out[own] = found.reshape(len(own), -1, width).sum(axis=1, dtype=np.int32)
+        exact[own] = (found < 255).all(axis=1)
+    return out, exact
+
+
+def _have_partner(key, size, small, counts: list[bytes], percent: int) -> np.ndarray:
+    """Of rows sorted by key: those with a row of their key that, by sizes and counts, they may link with."""
+    keep = np.zeros(len(key), bool)
+    widths = np.fromiter(map(len, counts), np.int64, len(counts))
+    data, at = np.frombuffer(b"".join(counts), np.uint8), np.cumsum(widths) - widths
+    ends = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key))
+    after = ends[np.searchsorted(ends, np.arange(len(key)), side="right")] - 1 - np.arange(len(key))
+    i = np.arange(len(key))
+    for step in range(1, int(after.max(initial=0)) + 1):
+        i = i[after[i] >= step]
+        one = i[~(keep[i] & keep[i + step])]
+        a, b = size[one], size[one + step]
+        fit = (small[one] & (b >= a) & (percent * b <= 100 * a)) | (small[one + step] & (a >= b) & (percent * a <= 100 * b))
+        one = one[fit]
+        width = np.minimum(widths[one], widths[one + step])
+        for w in np.unique(width):
+            left, most = one[width == w], max(1, (1 << 20) // int(w))
+            for part in (left[k : k + most] for k in range(0, len(left), most)):
+                (x, x_exact), (y, y_exact) = (_folded_counts(data, at, widths, rows, int(w)) for rows in (part, part + step))
+                more = x - y
+                only_x = np.where(x_exact & y_exact, np.maximum(more, 0).sum(axis=1), 0)
+                only_y = np.where(x_exact & y_exact, np.maximum(-more, 0).sum(axis=1), 0)
+                a, b = size[part], size[part + step]
+                allowed = part[_links(_most_common(a, b, only_x, only_y), a, b, percent)]
+                keep[allowed] = keep[allowed + step] = True
+    return keep
+
+
+def _partnered(percent: int):
+    """Rows (key, node, n, small, counts) sorted by key -> without counts, those that may link under their key. Of a key
+    with over MEET_ROWS rows all go on."""
+    names = ["key", "node", "n", "small"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, through = None, None  # the last key's rows so far; a key too common to be looked at
+        for batch in batches:
+            rows = pa.Table.from_batches([batch])
+            if through is not None:
+                other = int(np.searchsorted(rows["key"].to_numpy(), through, side="right"))
+                yield from rows.slice(0, other).select(names).to_batches()
+                rows = rows.slice(other)
+            if held is not None:
+                rows = pa.concat_tables([held, rows])
+            if not rows.num_rows:
+                continue
+            key = rows["key"].to_numpy()
+            last = int(np.searchsorted(key, key[-1]))
+            held, through = rows.slice(last), None
+            yield from settle(rows.slice(0, last))
+            if held.num_rows > MEET_ROWS:
+                yield from held.select(names).to_batches()
+                held, through = None, key[-1]
+        if held is not None:
+            yield from settle(held)
+
+    def settle(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+        key, size, small = (rows[c].to_numpy() for c in ("key", "n", "small"))
+        _, nth, of = np.unique(key, return_inverse=True, return_counts=True)
+        common = of[nth] > MEET_ROWS
+        keep, few = common.copy(), np.flatnonzero(~common)
+        keep[few] = _have_partner(key[few], size[few], small[few], rows["counts"].take(pa.array(few)).to_pylist(), percent)
+        yield from rows.select(names).filter(pa.array(keep)).to_batches()
+
+    return run
+
+
 def _band_edges(percent: int) -> list[int]:
     edges = [1]  # at 100 percent only equal sets link, and they are one node
     while percent < 100 and edges[-1] < 1 << 40:
@@ -436,8 +525,8 @@ def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     """(doc_id, h, n, component) for every row: h is ``xxhash64(text)``, component a number (NULL for an empty set)."""
     spark = docs.sparkSession
     work = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), "text")
-    digests = stage(work.mapInArrow(_digests(n), "doc_id long, h long, n long, d1 long, d2 long, bitmap binary"), "digests")
-    nodes = digests.filter("n > 0").groupBy("d1", "d2").agg(F.max("n").alias("n"), F.min("h").alias("h"), F.max("bitmap").alias("bitmap"))
+    digests = stage(work.mapInArrow(_digests(n, percent), "doc_id long, h long, n long, d1 long, d2 long, bitmap binary, counts binary"), "digests")
+    nodes = digests.filter("n > 0").groupBy("d1", "d2").agg(F.max("n").alias("n"), F.min("h").alias("h"), F.max("bitmap").alias("bitmap"), F.max("counts").alias("counts"))
     nodes = stage(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
     sample = bounded_sample(work.filter(F.col("text").isNotNull()), F.col("h"), SAMPLE_DOCS).select("text")
@@ -446,7 +535,8 @@ def classes(docs: DataFrame, n: int, percent: int) -> DataFrame:
     order = spark.sparkContext.broadcast(np.sort(common.astype(np.int64).view(np.uint64)))
     keys = work.select("text").mapInArrow(_keys(n, percent, order), "key long, d1 long, small boolean")
     shared = keys.repartition("key").sortWithinPartitions("key", F.desc("small"), "d1").mapInArrow(_shared_keys, "key long, d1 long, small boolean")
-    groups = shared.join(nodes.select("d1", "node", "n"), "d1").select("key", "node", "n", "small")
+    met = shared.join(nodes.select("d1", "node", "n", "counts"), "d1").select("key", "node", "n", "small", "counts")
+    groups = met.repartition("key").sortWithinPartitions("key").mapInArrow(_partnered(percent), "key long, node long, n long, small boolean")
     tiles = stage(_tiles(groups, percent), "tiles")
 
     # one pass of forests inside blocks, settled exactly
