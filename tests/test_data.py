@@ -1,3 +1,4 @@
+import collections
 import datetime as dt
 
 import numpy as np
@@ -213,3 +214,28 @@ def test_bad_symbols_and_dates_are_not_cut_or_lost(spark):
             sb.normalize_bars(rows(symbol, day)).collect()
     listing = spark.createDataFrame([(1234567, "20200101", None, "L", 1), (12, "20200101", None, "L", 2)], "symbol long, list_date string, delist_date string, list_status string, row_number long")
     assert [r["symbol"] for r in ref.normalize_listing(listing).collect()] == ["000012"]
+
+
+def test_revision_conflicts_against_a_count(spark):
+    """Copies, one revision with most rows and thousands of contents, NULLs in all columns, an empty table."""
+    rows = [("hot", 1, 1, f"c{i % 4000}") for i in range(25_000)] + [("hot", 2, 1, "same")] * 12_000
+    rows += [("s", i, i % 3, f"h{i % 5}") for i in range(500)] + [("s", i, i % 3, f"h{i % 7}") for i in range(0, 500, 9)]
+    rows += [(None, 1, 1, "x"), (None, 1, 1, "x"), ("n", None, 1, "x"), ("n", None, 1, None), ("n", 5, None, None), ("n", 5, None, None), ("n", 6, 1, None)]
+    copies = collections.defaultdict(list)
+    for row, n in collections.Counter(rows).items():
+        copies[row[:3]].append(n)
+    want = {(*k, len(n), max(n), "conflicting_content" if len(n) > 1 else "duplicate_identity") for k, n in copies.items() if len(n) > 1 or max(n) > 1}
+    df = spark.createDataFrame(rows, "source string, source_record_id long, revision_id int, content_hash string")
+    assert {tuple(r) for r in pit.revision_conflicts(df.repartition(3)).collect()} == want
+    assert pit.revision_conflicts(df.limit(0)).count() == 0
+
+
+def test_revision_conflicts_hold_no_split(spark, monkeypatch):
+    """Map tasks build no hash table, and partitions of many rows aren't joined by their compressed bytes."""
+    monkeypatch.setattr(pit, "PARTITION_ROWS", 1000)
+    df = spark.range(5000).selectExpr("'s' AS source", "id AS source_record_id", "1 AS revision_id", "sha2('x', 256) AS content_hash")
+    out = pit.revision_conflicts(df)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("REPARTITION_BY_NUM") == 2 and "ENSURE_REQUIREMENTS" not in plan
+    assert plan.count("Aggregate") and plan.rindex("Aggregate") < plan.rindex("Exchange") < plan.index("MapInArrow")
+    assert out.rdd.getNumPartitions() == 6

@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MARKET_ZONE = "Asia/Shanghai"
+PARTITIONS = 200  # up to this number Spark's shuffle writes rows without holding them
+PARTITION_ROWS = 250_000
+SPREAD = 16
 
 
 def next_session_table(calendar: DataFrame) -> DataFrame:
@@ -36,15 +43,31 @@ def effective_session(records: DataFrame, calendar: DataFrame, zone: str = MARKE
     ).drop("__known", "__first", "day", "next_session")
 
 
+def _copies_of_batch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Equal rows of an Arrow batch as one, with their number; holds one batch at a time."""
+    for batch in batches:
+        counted = pa.Table.from_batches([batch]).group_by(batch.schema.names, use_threads=False).aggregate([([], "count_all")])
+        yield from counted.rename_columns([*batch.schema.names, "copies"]).to_batches()
+
+
 def revision_conflicts(records: DataFrame) -> DataFrame:
     """Revisions with several contents, and identities that occur twice.
 
-    Copies are counted per (revision, content) first, so a revision holding most
-    rows reaches the second step as one row per content.
+    Nearly every identity stands once, so a map-side aggregate would hold a whole
+    split: copies are folded inside Arrow batches instead. Contents are counted in
+    ``SPREAD`` parts of a revision, so one that holds most rows is spread over tasks
+    and reaches the second exchange as ``SPREAD`` rows at most. The number of
+    partitions follows from a count of the rows, because partitions joined by their
+    compressed bytes hold many times as much in memory.
     """
     key = ["source", "source_record_id", "revision_id"]
-    contents = records.groupBy(*key, "content_hash").agg(F.count(F.lit(1)).alias("copies"))
-    out = contents.groupBy(*key).agg(F.count(F.lit(1)).alias("contents"), F.max("copies").alias("most_copies"))
+    rows = records.select(*key, "content_hash")
+    folded = rows.mapInArrow(_copies_of_batch, T.StructType([*rows.schema.fields, T.StructField("copies", T.LongType())]))
+    tasks = min(PARTITIONS, 1 + rows.count() // PARTITION_ROWS)
+    spread = folded.withColumn("part", F.pmod(F.xxhash64("content_hash"), F.lit(SPREAD))).repartition(tasks, *key, "part")
+    contents = spread.groupBy(*key, "part", "content_hash").agg(F.sum("copies").alias("copies"))
+    parts = contents.groupBy(*key, "part").agg(F.count(F.lit(1)).alias("contents"), F.max("copies").alias("most_copies"))
+    out = parts.repartition(tasks, *key).groupBy(*key).agg(F.sum("contents").alias("contents"), F.max("most_copies").alias("most_copies"))
     issue = F.when(F.col("contents") > 1, "conflicting_content").when(F.col("most_copies") > 1, "duplicate_identity")
     return out.withColumn("issue", issue).where(F.col("issue").isNotNull())
 
